@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm._common import file_bytes, map_arrow, slices, strings
+from quillspan.llm.words import splitter
 
-CACHED, CACHED_CHARS = 300_000, 128
+CACHED, CACHED_CHARS, SLICE = 600_000, 128, 8_000_000
 NONE = np.int64(1 << 40)
 #: Fixed value: the published pre-tokenizer pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,6 +28,13 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary in the tokenizers library's JSON form."""
 
@@ -39,7 +47,7 @@ class ByteBpe:
             raise ValueError("not a plain byte-level BPE vocabulary")
         letters = byte_alphabet()
         back = {c: b for b, c in letters.items()}
-        self.findall = regex.compile(PATTERN).findall
+        self.findall = splitter(PATTERN)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.byte_id = np.array([vocab[letters[b]] for b in range(256)], np.int64)
@@ -102,7 +110,7 @@ class ByteBpe:
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
-            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = lists[0] if len(lists) == 1 else _sorted_set(np.concatenate(lists))
             at = at[rank[at] == r]
             if not len(at):
                 continue
@@ -122,7 +130,7 @@ class ByteBpe:
             has = beyond >= 0
             before[beyond[has]] = at[has]
             prior = before[at]
-            touched = np.unique(np.concatenate((at, prior[prior >= 0])))
+            touched = _sorted_set(np.concatenate((at, prior[prior >= 0])))
             to = after[touched]
             rank[touched] = np.where(to >= 0, self.ranks(sym[touched], sym[to]), NONE)
             enter(touched)
@@ -142,7 +150,7 @@ class ByteBpe:
                 parts.append(own)
             else:
                 parts.append(self.findall(text))
-        fresh = {x for own in parts for x in own if x not in self.cache}
+        fresh = set().union(*parts).difference(self.cache)
         words = [x for x in fresh if isinstance(x, str)]
         known = self.cache
         if words:
@@ -150,7 +158,7 @@ class ByteBpe:
         for x in fresh:
             if isinstance(x, int):
                 known[x] = x.to_bytes(4, "little")
-        out = [b"".join([known[x] for x in own]) for own in parts]
+        out = [b"".join(map(known.__getitem__, own)) for own in parts]
         if len(known) > CACHED:
             known.clear()
         for x in words:
@@ -185,7 +193,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     def work(batch: pa.RecordBatch):
         own = _worker(key, shared.value)
-        for start, texts in slices(strings(batch.column(1))):
+        for start, texts in slices(strings(batch.column(1)), SLICE):
             found = own.encode(texts)
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)

@@ -6,14 +6,17 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, strings
+from quillspan.llm._common import file_bytes, slices, strings
 
 #: Entries of the broadcast tier, of each partition's summary, and of a worker's cache.
-FREQUENT, CACHED, CACHED_CHARS = 32_768, 400_000, 64
+FREQUENT, CACHED, CACHED_CHARS = 32_768, 600_000, 64
+#: Words that the library encodes in one call.
+TOGETHER = 64
 _workers: dict[int, PieceCounter] = {}
 
 
@@ -35,35 +38,53 @@ class PieceCounter:
         plain = spec.name == "identity" and not spec.precompiled_charsmap and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
         free = plain and proto.trainer_spec.model_type == 2 and not any(x.type == 4 for x in proto.pieces) and not any("▁" in x.lstrip("▁") or "\n" in x and len(x) > 1 for x in pieces)
         self.cut = re.compile(r" *[^ \n]+|\n[^ \n]*| +").findall if free else None
+        self.opens = np.array([x.startswith("▁") for x in pieces])
         self.known: dict[str, int] = {}
         self.cache: dict[str, int] = {}
 
+    def learn(self, tokens: str, lengths: list[int]) -> None:
+        """Take the broadcast table, unless this worker has it."""
+        if len(lengths) != len(self.known):
+            self.known = dict(zip(tokens.split("\0"), lengths, strict=False))
+            self.cache = self.known | self.cache
+
     def pre_tokens(self, text: str) -> list[str]:
         return self.cut(" " + text.replace("▁", " ")) if text else []
 
-    def length(self, token: str) -> int:
-        if token[0] == "\n":
-            return len(self.library.encode(token)) - 1
-        if token.strip(" "):
-            return len(self.library.encode(token[1:])) if token[0] == " " else len(self.library.encode("\n" + token)) - 2
-        return len(self.library.encode("a" + token)) - len(self.library.encode("a"))
-
-    def count(self, text: str) -> int:
+    def lengths(self, tokens: list[str]) -> list[int]:
+        """Of pre-tokens. Those with one space in front and none elsewhere are encoded as one text of TOGETHER words and told apart by
+        the spaces with which their first pieces begin, which saves a call of the library for each."""
+        plain = [x for x in tokens if x[0] == " " and x[1:2] not in ("", " ")]
+        rest = [x for x in tokens if not (x[0] == " " and x[1:2] not in ("", " "))]
+        found: dict[str, int] = {}
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self.library.encode(["".join(x)[1:] for x in groups], num_threads=1), strict=True):
+            first = np.flatnonzero(self.opens[ids])
+            found.update(zip(group, np.diff(first, append=len(ids)).tolist(), strict=True))
+        for x in rest:
+            if x[0] == "\n":
+                found[x] = len(self.library.encode(x)) - 1
+            elif x.strip(" "):
+                found[x] = len(self.library.encode(x[1:]))
+            else:
+                found[x] = len(self.library.encode("a" + x)) - len(self.library.encode("a"))
+        return [found[x] for x in tokens]
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: known lengths first, then this worker's cache, then the library for all misses at once."""
         if self.cut is None:
-            return len(self.library.encode(text))
-        total, known, cache = 0, self.known, self.cache
-        for token in self.pre_tokens(text):
-            n = known.get(token)
-            if n is None:
-                n = cache.get(token)
-                if n is None:
-                    n = self.length(token)
-                    if len(token) <= CACHED_CHARS:
-                        if len(cache) >= CACHED:
-                            cache.clear()
-                        cache[token] = n
-            total += n
-        return total
+            return [len(x) for x in self.library.encode(texts)]
+        parts = [self.pre_tokens(x) for x in texts]
+        cache = self.cache
+        if len(cache) > CACHED:
+            cache = self.cache = dict(self.known)
+        fresh = list(set().union(*parts).difference(cache))
+        cache.update(zip(fresh, self.lengths(fresh), strict=True))
+        counts = [sum(map(cache.__getitem__, own)) for own in parts]
+        for x in fresh:
+            if len(x) > CACHED_CHARS:
+                del cache[x]
+        return counts
 
 
 def _worker(key: int, model: bytes) -> PieceCounter:
@@ -135,16 +156,16 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
     spark, model = docs.sparkSession, file_bytes(model_path)
     key, own = zlib.crc32(model), PieceCounter(model)
-    frequent = {k: own.length(k) for k in frequent_pre_tokens(docs, model, text_col)} if own.cut else {}
-    shared = spark.sparkContext.broadcast((model, "\0".join(frequent), list(frequent.values())))
+    frequent = list(frequent_pre_tokens(docs, model, text_col)) if own.cut else []
+    shared = spark.sparkContext.broadcast((model, "\0".join(frequent), own.lengths(frequent)))
 
     def run(batches):
         own = _worker(key, shared.value[0])
-        own.known = dict(zip(shared.value[1].split("\0"), shared.value[2], strict=False))
+        own.learn(shared.value[1], shared.value[2])
         for batch in batches:
-            texts = strings(batch.column(1))
-            sizes = [len(x.encode()) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([own.count(x) for x in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for start, texts in slices(strings(batch.column(1))):
+                sizes = [len(x.encode()) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(own.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
