@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, token_counts, url_filter
+from quillspan.llm import bpe, exact_dedup, line_dedup, packing, token_counts, url_filter
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,32 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines
+), common AS (
+  SELECT line_key, max(doc_id) AS keeper FROM keyed WHERE length(line_key) >= 20
+  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT k.*, coalesce(c.keeper <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN common c USING (line_key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -51,6 +77,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 #: The rules of the page query: verdict, host, path.
 PAGE_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -81,12 +111,14 @@ FROM parts p LEFT JOIN best b USING (page_id)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_bpe": op4_bpe,
+        "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
