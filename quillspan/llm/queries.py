@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, packing, token_counts, url_filter
+from quillspan.llm import bpe, exact_dedup, line_dedup, packing, token_counts, toxicity, url_filter
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,17 @@ FROM parts p LEFT JOIN best b USING (page_id)
 """
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity_scores(docs, labels, ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -117,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
+        "op8_toxicity": op8_toxicity,
     }
 
 
