@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, packing, token_counts, toxicity, url_filter
+from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), words=3, numer=90, denom=100)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -129,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
+        "op9_ngram_join": op9_ngram_join,
     }
 
 
