@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter
+from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter, warc_zip
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,31 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), words=3, numer=90, denom=100)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_zip.warc_round_trip(read_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(string_split(hex, ''),
+            lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+         + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT)
+         + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT) + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT)
+         + CAST(substr(bits, i * 5 + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -134,8 +159,9 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL}
