@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter, warc_zip
+from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, spotsigs, token_counts, toxicity, url_filter, warc_zip
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,37 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document beside an edited form: its last quarter gives way to the beginning of the next document.
+
+    Texts are shuffled by id once, for the documents and for their successors alike; of a successor only the beginning
+    that is needed and its signatures go on. Repeated ids give a row for each of the next document's rows.
+    """
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = spotsigs.next_ids(docs, "id", F.length("text")).withColumnRenamed("carried_0", "n_chars")
+    own = docs.join(order.select(F.col("id").alias("own_id")), F.col("id").eqNullSafe(F.col("own_id"))).select("own_id", "text")
+    wanted = order.select(F.col("id").alias("prior_id"), "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
+    following = docs.join(wanted, F.col("id").eqNullSafe(F.col("next_id"))).select(
+        "prior_id", F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("head"), spotsigs.signatures(F.col("text")).alias("next_set")
+    )
+    n = F.length("text")
+    both = own.join(following, F.col("own_id").eqNullSafe(F.col("prior_id"))).select(
+        "own_id", n.alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head").alias("edited"), "next_set"
+    )
+    sets = both.select(
+        "own_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("own_set"), spotsigs.signatures(F.col("edited")).alias("edited_set"), "next_set"
+    )
+    return sets.select(
+        F.col("own_id").alias("doc_id"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+        "edited_sha256",
+        spotsigs.fingerprint(F.col("own_set")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
+        spotsigs.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+    )
+
+
 #: The rules of the page query: verdict, host, path.
 PAGE_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -156,6 +187,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op6_spotsigs": op6_spotsigs,
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
