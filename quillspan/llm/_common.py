@@ -79,6 +79,18 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def carried(names: Iterable[str], taken: Iterable[str]) -> Column:
+    """Columns to pass through an Arrow function as one struct, without those whose names the result uses itself."""
+    kept = [F.col(n) for n in names if n not in set(taken)]
+    return (F.struct(*kept) if kept else F.struct(F.lit(True).alias("_none"))).alias("carried")
+
+
+def uncarried(df: DataFrame, *own: str) -> DataFrame:
+    """The columns `own`, then those that were carried."""
+    inner = [f.name for f in df.schema["carried"].dataType.fields if f.name != "_none"]
+    return df.select(*own, *(F.col("carried")[n].alias(n) for n in inner))
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file, read on the driver; such files are a few MB whatever the corpus."""
     with open(path, "rb") as file:

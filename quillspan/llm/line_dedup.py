@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import ASCII_SPACE, shuffle_partitions, spool, strings
+from quillspan.llm._common import ASCII_SPACE, carried, shuffle_partitions, spool, strings, uncarried
 from quillspan.llm.mph import MinimalPerfectHash
 
 #: Keys a shard holds on average, and the index size up to which every task probes all shards by itself.
@@ -109,8 +111,8 @@ def _rebuilt(doc_id: int, text: str, lines: list[str], counts: np.ndarray, keepe
     return ("\n".join([x for x, d in zip(lines, drop.tolist(), strict=True) if not d]) if n else text), n
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row for each row of `docs`: id_col (long), text (without the dropped lines), n_lines, n_dropped.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of `docs`: id_col (long), text (without the dropped lines), n_lines, n_dropped, then `carry`.
 
     Texts are split at line feeds. Lines whose keys (see line_key) have at least min_chars code points and stand in at
     least min_docs rows are dropped, except in the row with the largest id that holds them; other lines stay.
@@ -122,13 +124,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty, which is one empty line. A null id is below all others. Every row counts as a document:
     rows that repeat an id count each, and all rows with the largest id keep the line. Texts of any length are split
-    whole. An empty table gives no rows. Other columns are not read.
+    whole. An empty table gives no rows. Columns in `carry` are passed on, but for names that the result uses itself;
+    others are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    index, shards = line_index(rows, min_docs, min_chars)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(carry, (id_col, "text", "n_lines", "n_dropped")))
+    own = ("id", "text", "n_lines", "n_dropped")
+    index, shards = line_index(rows.select("id", "text"), min_docs, min_chars)
     sizes = index.agg(F.sum(sum(F.length(c) for c in ("mph", "prints", "counts", "keepers")))).first()[0] or 0
-    schema = "id long, text string, n_lines long, n_dropped long"
+    schema = f"id long, text string, n_lines long, n_dropped long, carried {rows.schema['carried'].dataType.simpleString()}"
     if sizes <= broadcast_bytes:
         shared = spark.sparkContext.broadcast([tuple(r) for r in index.collect()])
 
@@ -144,12 +148,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counts[blank] = 0
                 done = [_rebuilt(NO_ID if i is None else i, t, x, counts[a:b], keepers[a:b]) for i, t, x, a, b in zip(ids, texts, parts, ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x[1] for x in done], pa.int64())],
-                    ["id", "text", "n_lines", "n_dropped"],
+                    [batch.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x[1] for x in done], pa.int64()), batch.column(2)],
+                    ["id", "text", "n_lines", "n_dropped", "carried"],
                 )
 
-        return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
-    return _sharded(rows, index, shards, min_chars, schema).withColumnRenamed("id", id_col)
+        found = rows.mapInArrow(run, schema)
+    else:
+        found = _sharded(rows, index, shards, min_chars, schema)
+    return uncarried(found, *own).withColumnRenamed("id", id_col)
 
 
 def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, schema: str) -> DataFrame:
@@ -184,7 +190,7 @@ def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, sch
         return left[(counts > 0) & (keepers != left["id"].to_numpy())][["id", "h2"]]
 
     hits = (
-        rows.mapInArrow(probes, "id long, shard int, h1 long, h2 long")
+        rows.select("id", "text").mapInArrow(probes, "id long, shard int, h1 long, h2 long")
         .groupBy("shard")
         .cogroup(index.groupBy("shard"))
         .applyInPandas(probe, "id long, h2 long")
@@ -195,7 +201,7 @@ def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, sch
     def run(batches):
         known = shared.value
         for batch in batches:
-            ids, texts, drops = batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()
+            ids, texts, drops = batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(3).to_pylist()
             out, n_lines, n_dropped = [], [], []
             for i, text, drop in zip(ids, texts, drops, strict=True):
                 lines = text.split("\n")
@@ -205,7 +211,7 @@ def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, sch
                 out.append("\n".join(kept))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(2)], ["id", "text", "n_lines", "n_dropped", "carried"])
 
-    joined = rows.join(hits.withColumnRenamed("id", "hit_id"), F.coalesce(F.col("id"), F.lit(int(NO_ID))) == F.col("hit_id"), "left").select("id", "text", "drop")
+    joined = rows.join(hits.withColumnRenamed("id", "hit_id"), F.coalesce(F.col("id"), F.lit(int(NO_ID))) == F.col("hit_id"), "left").select("id", "text", "carried", "drop")
     return joined.mapInArrow(run, schema)

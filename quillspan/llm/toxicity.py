@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import map_arrow, spool, strings
+from quillspan.llm._common import carried, map_arrow, spool, strings, uncarried
 
 #: Labelled rows that the model is fitted on, at most, and terms of the learned lexicon.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
@@ -96,8 +97,8 @@ def features(text: str, classes: TokenClasses) -> list[float]:
     ]
 
 
-def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id_col, features (array of double). Null texts count as empty."""
+def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of `docs`: id_col, features (array of double), carried (struct). Null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(learned))
 
     def run(batches):
@@ -105,10 +106,11 @@ def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", te
         for batch in batches:
             flat = np.array([features(x, classes) for x in strings(batch.column(1))], np.float64).reshape(-1, len(FEATURES))
             ends = np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], ["id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel())), batch.column(2)], ["id", "features", "carried"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, features array<double>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), carried(carry, (id_col, "score")))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "carried")]
+    return rows.mapInArrow(run, f"id {kinds[0]}, features array<double>, carried {kinds[1]}").withColumnRenamed("id", id_col)
 
 
 def learned_lexicon(sample: DataFrame) -> list[str]:
@@ -141,14 +143,15 @@ class ToxicityModel:
     def __init__(self, learned: list[str], trees=None, curve=None, constant: float = 0.0):
         self.learned, self.trees, self.curve, self.constant = learned, trees, curve, constant
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row for each row of `docs`: id_col, score (0 to 1). See `toxicity_scores`."""
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+        """One row for each row of `docs`: id_col, score (0 to 1), then `carry`. See `toxicity_scores`."""
         if self.trees is None:
-            return docs.select(id_col, F.lit(float(self.constant)).alias("score"))
-        rows = feature_rows(docs, self.learned, id_col, text_col).withColumn("features", array_to_vector("features"))
+            return uncarried(docs.select(id_col, F.lit(float(self.constant)).alias("score"), carried(carry, (id_col, "score"))), id_col, "score")
+        rows = feature_rows(docs, self.learned, id_col, text_col, carry).withColumn("features", array_to_vector("features"))
         raw = _raw(self.trees.transform(rows))
         # the curve is flat in places: a thousandth of the trees' own probability keeps their order there
-        return self.curve.transform(raw).select(id_col, ((F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))) + 0.001 * F.col("raw")) / 1.001).alias("score"))
+        score = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))) + 0.001 * F.col("raw")) / 1.001
+        return uncarried(self.curve.transform(raw).select(id_col, score.alias("score"), "carried"), id_col, "score")
 
 
 def _raw(scored: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def fit_toxicity(
     sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     sample = spool(sample, "toxicity-sample")
     learned = learned_lexicon(sample)
-    rows = feature_rows(sample, learned, "id").join(F.broadcast(chosen), "id").withColumn("features", array_to_vector("features")).withColumn("curve", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0)
+    rows = feature_rows(sample, learned, "id").drop("carried").join(F.broadcast(chosen), "id").withColumn("features", array_to_vector("features")).withColumn("curve", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0)
     rows = spool(rows.coalesce(6), "toxicity-features")
     n = {(r["curve"], r["label"]): r["count"] for r in rows.groupBy("curve", "label").count().collect()}
     if not n.get((False, 0.0)) or not n.get((False, 1.0)):
