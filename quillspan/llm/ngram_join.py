@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import shuffle_partitions, spool, strings
+from quillspan.llm._common import shuffle_partitions, slices, spool, strings
 from quillspan.llm.components import connected_components
 from quillspan.llm.mph import mix
 
@@ -18,6 +20,8 @@ HOT_DF, HOT_TOKENS = 32, 65_536
 #: Entries of a posting list, or of a part of one, that one task compares with one another.
 BLOCK = 2048
 SKETCH_BITS = 512
+#: Bits of the bitmap that picks documents for verification.
+FILTER_BITS = 1 << 24
 CACHED = 400_000
 
 
@@ -31,22 +35,32 @@ class WordHashes(dict):
         return value
 
 
-def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
-    """The distinct word shingles of a text, A-Z lower-cased, as ascending 64-bit hashes.
+def shingle_sets(texts: list[str], words: int, hashes: WordHashes) -> list[np.ndarray]:
+    """The distinct word shingles of each text, A-Z lower-cased, as ascending 64-bit hashes.
 
-    Words stand between ASCII white space. A text with fewer words is one shingle, one without words has none.
+    Words stand between ASCII white space. A text with fewer words is one shingle, one without words has none. The
+    texts' words lie behind one another while they are hashed; shingles that would cross from text to text are left out.
     """
-    found = text.encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    own = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = len(own) - words + 1
+    found = [x.encode().lower().split() for x in texts]
+    size = [len(x) for x in found]
+    own = np.fromiter(map(hashes.__getitem__, chain.from_iterable(found)), np.uint64, sum(size))
+    n = max(0, len(own) - words + 1)
     total = np.zeros(n, np.uint64)
     for k in range(words):
         total = mix(total + own[k : k + n], k)
-    return np.unique(total)
+    out, at = [], 0
+    for these, k in zip(found, size, strict=True):
+        if k >= words:
+            part = np.sort(total[at : at + k - words + 1])
+            keep = np.ones(len(part), bool)
+            np.not_equal(part[1:], part[:-1], out=keep[1:])
+            out.append(part[keep])
+        elif k:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(these), seed=k)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += k
+    return out
 
 
 def prefix_length(n: np.ndarray | int, numer: int, denom: int):
@@ -54,9 +68,25 @@ def prefix_length(n: np.ndarray | int, numer: int, denom: int):
     return n - -(-numer * n // denom) + 1
 
 
-def _sketch(members: np.ndarray) -> bytes:
+def sketch(members: np.ndarray, bits: int) -> bytes:
     """For each bin whether an odd number of members fall in it. Two sketches differ in no more bits than the sets in members."""
-    return np.packbits(np.bincount((members & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def wide_bits(n: int) -> int:
+    """Bins of a set's second sketch: twice its members, as a power of two."""
+    return max(SKETCH_BITS, 1 << (2 * n - 1).bit_length()) if n else SKETCH_BITS
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(y) < len(x):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +99,9 @@ def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(x, words, hashes) for x in strings(batch.column(1))]
-            flat = [x[: prefix_length(len(x), numer, denom)] for x in sets if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+            for _, texts in slices(strings(batch.column(1))):
+                flat = [x[: prefix_length(len(x), numer, denom)] for x in shingle_sets(texts, words, hashes) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
 
     found = docs.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DF).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
     tokens = np.array([r["token"] for r in found], np.int64).view(np.uint64)
@@ -80,7 +110,7 @@ def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.
 
 
 def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """(id, n, key, prefix, sketch): size, 128-bit hash of the set, first members in the common order, and sketch."""
+    """(id, n, key, prefix, sketch, wide): size, 128-bit hash of the set, first members in the common order, two sketches."""
     tokens, counts = hot_tokens(docs, words, numer, denom)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
@@ -88,20 +118,24 @@ def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame
         hot, df = shared.value
         hashes = WordHashes()
         for batch in batches:
-            n, key, prefix, sketch = [], [], [], []
-            for text in strings(batch.column(1)):
-                own = shingles(text, words, hashes)
-                first = own
-                if len(hot) and len(own):
-                    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                    first = own[np.argsort(np.where(hot[at] == own, df[at], 0), kind="stable")]
-                n.append(len(own))
-                key.append(xxhash.xxh3_128_digest(own.tobytes()))
-                prefix.append(first[: prefix_length(len(own), numer, denom)].tobytes() if len(own) else b"")
-                sketch.append(_sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, prefix, sketch))], ["id", "n", "key", "prefix", "sketch"])
-
-    return docs.mapInArrow(run, "id long, n long, key binary, prefix binary, sketch binary")
+            for start, texts in slices(strings(batch.column(1))):
+                n, key, prefix, short, wide = [], [], [], [], []
+                for own in shingle_sets(texts, words, hashes):
+                    first = own
+                    if len(hot) and len(own):
+                        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+                        is_hot = hot[at] == own
+                        if is_hot.any():
+                            first = own[np.argsort(np.where(is_hot, df[at], 0), kind="stable")]
+                    n.append(len(own))
+                    key.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    prefix.append(first[: prefix_length(len(own), numer, denom)].tobytes() if len(own) else b"")
+                    short.append(sketch(own, SKETCH_BITS))
+                    wide.append(sketch(own, wide_bits(len(own))))
+                columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, prefix, short, wide))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "prefix", "sketch", "wide"])
+
+    return docs.mapInArrow(run, "id long, n long, key binary, prefix binary, sketch binary, wide binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -125,14 +159,14 @@ def _pairs_of(pdf: pd.DataFrame, numer: int, denom: int, every: bool, turn: int)
 
     Sets with the same prefix and size are one group: pairs of groups whose sizes or positions rule the similarity out
     are dropped first, then their members are compared by sketch. `every` gives all candidates, otherwise each set's
-    best in an order dealt anew each turn.
+    best in an order dealt anew each turn. Pairs come as (a, b, token), b the one earlier in that order.
     """
     order = np.lexsort((pdf["n"].to_numpy(), pdf["token"].to_numpy()))
     token, n, pos, node, comp, group, part = (pdf[c].to_numpy()[order] for c in ("token", "n", "pos", "node", "component", "group_id", "part"))
     two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
     sketch = np.frombuffer(b"".join(pdf["sketch"].to_numpy()[order].tolist()), np.uint64).reshape(len(order), -1)
     deal = mix(node.astype(np.int64).view(np.uint64), turn)
-    out_a, out_b = [], []
+    out_a, out_b, out_token = [], [], []
 
     def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = n[x], n[y]
@@ -153,8 +187,10 @@ def _pairs_of(pdf: pd.DataFrame, numer: int, denom: int, every: bool, turn: int)
             own, other = own[by], other[by]
             first = np.concatenate(([True], own[1:] != own[:-1]))
             x, y = own[first], other[first]
-        out_a.append(np.minimum(node[x], node[y]))
-        out_b.append(np.maximum(node[x], node[y]))
+        swap = deal[x] < deal[y]
+        out_a.append(node[np.where(swap, y, x)])
+        out_b.append(node[np.where(swap, x, y)])
+        out_token.append(token[x])
 
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     sizes = np.diff(np.append(starts, len(token)))
@@ -176,8 +212,8 @@ def _pairs_of(pdf: pd.DataFrame, numer: int, denom: int, every: bool, turn: int)
             x, y = np.meshgrid(np.arange(first, last), np.arange(first + 1, reach), indexing="ij")
             above = y > x
             keep(*passing(x[above], y[above]))
-    pairs = pd.DataFrame({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
-    return pairs.drop_duplicates()
+    found = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (out_a, out_b, out_token)]
+    return pd.DataFrame(dict(zip(("a", "b", "token"), found, strict=True))).drop_duplicates(["a", "b"] if every else None)
 
 
 def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, denom: int, every: bool, turn: int, buckets: int) -> DataFrame:
@@ -195,26 +231,67 @@ def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, d
     )
     dealt = lists.withColumn("bucket", F.when(parts == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.col("token"))).withColumn("at", F.explode(own))
     dealt = dealt.select("bucket", "at.i", "at.j", "token", "n", "pos", "node", "component", "group_id", "part", "sketch")
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _pairs_of(pdf, numer, denom, every, turn), "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _pairs_of(pdf, numer, denom, every, turn), "a long, b long, token long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
-    """The pairs whose whole sets are as similar as numer / denom."""
+def _filtered(pairs: DataFrame, test, values: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) for which test(value of a, value of b) holds; `values` has a row for each node."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(denom * common >= numer * (len(x) + len(y) - common))
-            keep = pa.array(ok, pa.bool_())
+            keep = pa.array([test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    left, right = values.select(F.col("node").alias("a"), F.col(value).alias("left")), values.select(F.col("node").alias("b"), F.col(value).alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of 2^24 bits in which two bits of each node are set. Built in Spark; at most 2^18 words come to the driver."""
+    bit = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2))))
+    words = nodes.select(bit.alias("bit")).groupBy(F.expr("bit DIV 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, members): whole sets of the documents in `nodes`, and of the few others that the bitmap lets pass.
+
+    The bitmap has a fixed size and goes to all tasks, so that texts are neither shuffled nor all split.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    marked = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"bit{k}") for k in (1, 2)))
+
+    def run(batches):
+        bits, hashes = shared.value, WordHashes()
+        for batch in batches:
+            at = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
+            ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
+            kept = batch.filter(pa.array(ok))
+            for start, texts in slices(strings(kept.column(1))):
+                sets = [x.tobytes() for x in shingle_sets(texts, words, hashes)]
+                yield pa.RecordBatch.from_arrays([kept.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["node", "members"])
+
+    return marked.mapInArrow(run, "node long, members binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
+    """The pairs whose whole sets are as similar as numer / denom. Wide sketches, a thirtieth of the sets' size, go first."""
+
+    def may(a: tuple, b: tuple) -> bool:
+        return sketches_differ(a["wide"], b["wide"]) * (numer + denom) <= (a["n"] + b["n"]) * (denom - numer)
+
+    def alike(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = np.sort(np.concatenate((x, y)))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return denom * common >= numer * (len(x) + len(y) - common)
+
+    near = spool(_filtered(pairs, may, wide.select("node", F.struct("wide", "n").alias("value")), "value"), "near-pairs")
+    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    return spool(_filtered(near, alike, spool(_members(docs, nodes, words), "sets"), "members"), "links")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numer: int = 80, denom: int = 100) -> DataFrame:
@@ -241,20 +318,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = spool(_postings(classes), "postings")
     buckets = max(shuffle_partitions(spark) * 2, postings.count() // 50_000)
 
-    pairs = spool(_candidates(postings, None, numer, denom, False, 1, buckets), "pairs")
-    active = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def members(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, words, hashes).tobytes() for x in strings(batch.column(1))], pa.binary())], ["node", "members"])
-
-    sets = spool(rows.join(active, "id", "left_semi").mapInArrow(members, "node long, members binary"), "sets")
-    links = spool(_verified(pairs, sets, numer, denom), "links")
-    components = connected_components(links)
+    raw = spool(_candidates(postings, None, numer, denom, False, 1, buckets), "pairs")
+    # a list or node without a candidate now has none later: what may pass doesn't change
+    active = raw.select(F.col("a").alias("node")).union(raw.select(F.col("b").alias("node"))).distinct()
+    wide = spool(signed.select(F.col("id").alias("node"), "n", "wide").join(active, "node", "left_semi"), "wide")
+    components = connected_components(_verified(raw.select("a", "b").distinct(), rows, wide, words, numer, denom))
+    postings = spool(postings.join(raw.select("token").distinct(), "token", "left_semi").join(active, "node", "left_semi"), "postings")
     for turn, every in ((2, False), (3, True)):
         more = spool(_candidates(postings, components, numer, denom, every, turn, buckets), "pairs")
-        new = spool(_verified(more, sets, numer, denom), "links")
+        new = _verified(more.select("a", "b").distinct(), rows, wide, words, numer, denom)
         if new.isEmpty():
             continue
         # components so far are links to their smallest nodes
