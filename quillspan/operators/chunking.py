@@ -39,6 +39,18 @@ def cut_text(text: str, limit: int) -> list[str]:
     return [*parts, text] if text else parts
 
 
+def hard_split(texts: DataFrame, max_chars: int = 2000) -> DataFrame:
+    """(id, part, text) of texts (id, text): cut_text's parts, counted from 0. Null texts give no rows."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(i, k, x) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t is not None for k, x in enumerate(cut_text(t, max_chars))]
+            yield pd.DataFrame(rows, columns=["id", "part", "text"]).astype({"id": pdf["id"].dtype, "part": "int32"})
+
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, part int, text string")
+
+
 def packed_parts(text: str, limit: int) -> list[str]:
     """A section's parts: paragraphs in order, as many together as stay within the limit without counting separators."""
     if len(text) <= limit:

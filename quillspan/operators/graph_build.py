@@ -17,7 +17,7 @@ def ordered_union(rows: DataFrame, by: list[str], list_col: str, seq: str = "seq
     """
     items = rows.select(*by, seq, F.posexplode(list_col).alias("pos", "item")).where("item IS NOT NULL")
     form = F.lower("item") if fold_case else F.col("item")
-    first = items.groupBy(*by, form.alias("form")).agg(F.min(F.struct(seq, "pos", "item")).alias("at"))
+    first = items.groupBy(*by, form.alias("_item_form")).agg(F.min(F.struct(seq, "pos", "item")).alias("at"))
     return first.groupBy(*by).agg(F.sort_array(F.collect_list("at")).alias("all")).select(*by, F.transform("all", lambda x: x["item"]).alias(list_col))
 
 

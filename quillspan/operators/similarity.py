@@ -47,7 +47,8 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     kind, query_kind = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     blocks = queries.where("embedding IS NOT NULL").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
-    parts = corpus.where("embedding IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    n_parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = corpus.where("embedding IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)))
     schema = f"query_id {query_kind}, id {kind}, score double"
 
     def best(pdf: pd.DataFrame, queries_: list) -> pd.DataFrame:
@@ -65,15 +66,15 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": row[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-    pairs = parts.select("part").distinct().join(F.broadcast(blocks.select("block")))
-    shared = blocks.join(pairs, "block")
+    # every block of queries meets every part of the corpus once
+    shared = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("at", F.col("at").cast("long"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         return pd.concat([best(left, q) for q in right["queries"]])
 
-    found = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(run, schema)
+    found = parts.groupBy("part").cogroup(shared.groupBy("at")).applyInPandas(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
