@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +53,18 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def slices(texts: Iterable[str], limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of consecutive texts of about `limit` characters: (index of the first, the texts)."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text)
-        size += len(text)
-        if size >= limit:
-            yield start, held
-            start, held, size = i + 1, [], 0
-    if held:
-        yield start, held
+def text_slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of consecutive texts of about `limit` bytes of an Arrow column: (index of the first, the texts, null as empty).
+
+    Only one run's texts are Python strings at a time.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = min(len(column), int(np.searchsorted(ends, before + limit)) + 1)
+        yield start, strings(column.slice(start, stop - start))
+        start = stop
 
 
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

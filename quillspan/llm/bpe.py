@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, map_arrow, slices, strings
+from quillspan.llm._common import file_bytes, map_arrow, strings, text_slices
 from quillspan.llm.words import splitter
 
 CACHED, CACHED_CHARS, SLICE = 600_000, 128, 8_000_000
@@ -193,7 +193,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     def work(batch: pa.RecordBatch):
         own = _worker(key, shared.value)
-        for start, texts in slices(strings(batch.column(1)), SLICE):
+        for start, texts in text_slices(batch.column(1), SLICE):
             found = own.encode(texts)
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import shuffle_partitions, slices, spool, strings
+from quillspan.llm._common import shuffle_partitions, spool, text_slices
 from quillspan.llm.components import connected_components
 from quillspan.llm.mph import mix
 
@@ -22,7 +21,11 @@ BLOCK = 2048
 SKETCH_BITS = 512
 #: Bits of the bitmap that picks documents for verification.
 FILTER_BITS = 1 << 24
-CACHED = 400_000
+CACHED = 200_000
+#: Bytes of text that a task holds as words at a time.
+SLICE = 2_000_000
+#: Entries of a long list that are compared with the rest of it at once.
+ROWS_AT_ONCE = 64
 
 
 class WordHashes(dict):
@@ -99,7 +102,7 @@ def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for _, texts in slices(strings(batch.column(1))):
+            for _, texts in text_slices(batch.column(1), SLICE):
                 flat = [x[: prefix_length(len(x), numer, denom)] for x in shingle_sets(texts, words, hashes) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
 
@@ -118,7 +121,7 @@ def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame
         hot, df = shared.value
         hashes = WordHashes()
         for batch in batches:
-            for start, texts in slices(strings(batch.column(1))):
+            for start, texts in text_slices(batch.column(1), SLICE):
                 n, key, prefix, short, wide = [], [], [], [], []
                 for own in shingle_sets(texts, words, hashes):
                     first = own
@@ -154,17 +157,17 @@ def _postings(classes: DataFrame) -> DataFrame:
     return entries.join(shared, "token").join(classes.select("node", "n", F.xxhash64("prefix", "n").alias("group_id"), "sketch"), "node")
 
 
-def _pairs_of(pdf: pd.DataFrame, numer: int, denom: int, every: bool, turn: int) -> pd.DataFrame:
+def _pairs_of(table: pa.Table, numer: int, denom: int, every: bool, turn: int) -> pa.Table:
     """Candidate pairs (a < b) of different components within each token's list.
 
     Sets with the same prefix and size are one group: pairs of groups whose sizes or positions rule the similarity out
     are dropped first, then their members are compared by sketch. `every` gives all candidates, otherwise each set's
     best in an order dealt anew each turn. Pairs come as (a, b, token), b the one earlier in that order.
     """
-    order = np.lexsort((pdf["n"].to_numpy(), pdf["token"].to_numpy()))
-    token, n, pos, node, comp, group, part = (pdf[c].to_numpy()[order] for c in ("token", "n", "pos", "node", "component", "group_id", "part"))
-    two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    sketch = np.frombuffer(b"".join(pdf["sketch"].to_numpy()[order].tolist()), np.uint64).reshape(len(order), -1)
+    order = np.lexsort((table["n"].to_numpy(), table["token"].to_numpy()))
+    token, n, pos, node, comp, group, part = (table[c].to_numpy()[order] for c in ("token", "n", "pos", "node", "component", "group_id", "part"))
+    two = table["i"][0].as_py() != table["j"][0].as_py()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
     deal = mix(node.astype(np.int64).view(np.uint64), turn)
     out_a, out_b, out_token = [], [], []
 
@@ -206,14 +209,14 @@ def _pairs_of(pdf: pd.DataFrame, numer: int, denom: int, every: bool, turn: int)
         keep(np.concatenate(found_x), np.concatenate(found_y))
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         stop = start + size
-        for first in range(start, stop, 256):
-            last = min(first + 256, stop)
+        for first in range(start, stop, ROWS_AT_ONCE):
+            last = min(first + ROWS_AT_ONCE, stop)
             reach = int(np.searchsorted(n[start:stop], denom * n[last - 1] // numer, side="right")) + start
             x, y = np.meshgrid(np.arange(first, last), np.arange(first + 1, reach), indexing="ij")
             above = y > x
             keep(*passing(x[above], y[above]))
     found = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (out_a, out_b, out_token)]
-    return pd.DataFrame(dict(zip(("a", "b", "token"), found, strict=True))).drop_duplicates(["a", "b"] if every else None)
+    return pa.table(dict(zip(("a", "b", "token"), found, strict=True))).group_by(["a", "b", "token"]).aggregate([])
 
 
 def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, denom: int, every: bool, turn: int, buckets: int) -> DataFrame:
@@ -231,7 +234,7 @@ def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, d
     )
     dealt = lists.withColumn("bucket", F.when(parts == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.col("token"))).withColumn("at", F.explode(own))
     dealt = dealt.select("bucket", "at.i", "at.j", "token", "n", "pos", "node", "component", "group_id", "part", "sketch")
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _pairs_of(pdf, numer, denom, every, turn), "a long, b long, token long")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: _pairs_of(table, numer, denom, every, turn), "a long, b long, token long")
 
 
 def _filtered(pairs: DataFrame, test, values: DataFrame, value: str) -> DataFrame:
@@ -270,7 +273,7 @@ def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             at = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
             ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
             kept = batch.filter(pa.array(ok))
-            for start, texts in slices(strings(kept.column(1))):
+            for start, texts in text_slices(kept.column(1), SLICE):
                 sets = [x.tobytes() for x in shingle_sets(texts, words, hashes)]
                 yield pa.RecordBatch.from_arrays([kept.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["node", "members"])
 

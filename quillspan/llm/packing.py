@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, map_arrow, shuffle_partitions, slices, spool, strings
+from quillspan.llm._common import file_bytes, map_arrow, shuffle_partitions, spool, text_slices
 from quillspan.llm.bpe import byte_alphabet
 from quillspan.llm.words import splitter
 
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def work(batch: pa.RecordBatch):
         own = _worker(key, shared.value)
-        for first, texts in slices(strings(batch.column(1))):
+        for first, texts in text_slices(batch.column(1)):
             found = [x + tail for x in own.ids(texts)]
             rows, piece, start, size, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(found):

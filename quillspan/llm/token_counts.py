@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, slices, strings
+from quillspan.llm._common import file_bytes, strings, text_slices
 
 #: Entries of the broadcast tier, of each partition's summary, and of a worker's cache.
 FREQUENT, CACHED, CACHED_CHARS = 32_768, 600_000, 64
@@ -163,7 +163,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         own = _worker(key, shared.value[0])
         own.learn(shared.value[1], shared.value[2])
         for batch in batches:
-            for start, texts in slices(strings(batch.column(1))):
+            for start, texts in text_slices(batch.column(1)):
                 sizes = [len(x.encode()) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(own.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
