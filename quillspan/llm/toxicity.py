@@ -14,13 +14,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import carried, map_arrow, spool, strings, uncarried
+from quillspan.llm._common import carried, map_arrow, spool, strings, text_slices, uncarried
 
 #: Labelled rows that the model is fitted on, at most, and terms of the learned lexicon.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
 #: Chance that a term of no bearing enters the learned lexicon, over all terms.
 LEXICON_ERROR = 0.01
-CACHED = 300_000
+CACHED = 150_000
 
 #: Common English insults.
 INSULTS = frozenset(
@@ -104,7 +104,7 @@ def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", te
     def run(batches):
         classes = TokenClasses(shared.value)
         for batch in batches:
-            flat = np.array([features(x, classes) for x in strings(batch.column(1))], np.float64).reshape(-1, len(FEATURES))
+            flat = np.array([features(x, classes) for _, texts in text_slices(batch.column(1)) for x in texts], np.float64).reshape(-1, len(FEATURES))
             ends = np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel())), batch.column(2)], ["id", "features", "carried"])
 
