@@ -7,7 +7,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm._common import shuffle_partitions, spool, text_slices
@@ -24,6 +24,8 @@ FILTER_BITS = 1 << 24
 CACHED = 200_000
 #: Bytes of text that a task holds as words at a time.
 SLICE = 2_000_000
+#: Candidates that a class has verified in a turn, but for the last turn, which verifies all.
+BEST = 3
 #: Entries of a long list that are compared with the rest of it at once.
 ROWS_AT_ONCE = 64
 
@@ -237,6 +239,12 @@ def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, d
     return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: _pairs_of(table, numer, denom, every, turn), "a long, b long, token long")
 
 
+def _best(found: DataFrame, turn: int) -> DataFrame:
+    """Of the candidates of each class from all its lists a few, in one order for all classes, so that many choose the same."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)), "b"))
+    return found.select("a", "b").distinct().withColumn("rank", rank).where(F.col("rank") <= BEST).drop("rank")
+
+
 def _filtered(pairs: DataFrame, test, values: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b) for which test(value of a, value of b) holds; `values` has a row for each node."""
 
@@ -325,11 +333,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a list or node without a candidate now has none later: what may pass doesn't change
     active = raw.select(F.col("a").alias("node")).union(raw.select(F.col("b").alias("node"))).distinct()
     wide = spool(signed.select(F.col("id").alias("node"), "n", "wide").join(active, "node", "left_semi"), "wide")
-    components = connected_components(_verified(raw.select("a", "b").distinct(), rows, wide, words, numer, denom))
+    components = connected_components(_verified(_best(raw, 1), rows, wide, words, numer, denom))
     postings = spool(postings.join(raw.select("token").distinct(), "token", "left_semi").join(active, "node", "left_semi"), "postings")
     for turn, every in ((2, False), (3, True)):
         more = spool(_candidates(postings, components, numer, denom, every, turn, buckets), "pairs")
-        new = _verified(more.select("a", "b").distinct(), rows, wide, words, numer, denom)
+        new = _verified(more.select("a", "b").distinct() if every else _best(more, turn), rows, wide, words, numer, denom)
         if new.isEmpty():
             continue
         # components so far are links to their smallest nodes
