@@ -125,9 +125,10 @@ def learned_lexicon(sample: DataFrame) -> list[str]:
         return []
 
     def work(batch: pa.RecordBatch):
-        own = [{t for x in set(text.split()) for t in terms_of(x)} for text in strings(batch.column(0))]
-        labels = np.repeat(np.array(batch.column(1).to_pylist(), np.int64), [len(x) for x in own])
-        yield pa.RecordBatch.from_arrays([pa.array([y for x in own for y in x], pa.string()), pa.array(labels)], ["term", "label"])
+        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for start, held in text_slices(batch.column(0), 1_000_000):
+            own = [{t for x in set(text.split()) for t in terms_of(x)} for text in held]
+            yield pa.RecordBatch.from_arrays([pa.array([y for x in own for y in x], pa.string()), pa.array(np.repeat(labels[start : start + len(held)], [len(x) for x in own]))], ["term", "label"])
 
     terms = map_arrow(texts.select("text", F.col("label").cast("long")), work, "term string, label long").groupBy("term").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
     p, q = F.lit(toxic / total), F.col("k") / F.col("n")
