@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -101,16 +101,15 @@ def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", te
     """One row for each row of `docs`: id_col, features (array of double), carried (struct). Null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(learned))
 
-    def run(batches):
+    @F.arrow_udf("array<double>")
+    def of_texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classes = TokenClasses(shared.value)
-        for batch in batches:
-            flat = np.array([features(x, classes) for _, texts in text_slices(batch.column(1)) for x in texts], np.float64).reshape(-1, len(FEATURES))
-            ends = np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel())), batch.column(2)], ["id", "features", "carried"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), carried(carry, (id_col, "score")))
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "carried")]
-    return rows.mapInArrow(run, f"id {kinds[0]}, features array<double>, carried {kinds[1]}").withColumnRenamed("id", id_col)
+        for column in columns:
+            flat = np.array([features(x, classes) for _, texts in text_slices(column) for x in texts], np.float64).reshape(-1, len(FEATURES))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32)), pa.array(flat.ravel()))
+
+    # only texts go to Python: the other columns wait in Spark
+    return docs.select(F.col(id_col), of_texts(F.col(text_col).cast("string")).alias("features"), carried(carry, (id_col, "score")))
 
 
 def learned_lexicon(sample: DataFrame) -> list[str]:
