@@ -202,3 +202,9 @@ def sigmoid4(x: Column) -> Column:
 
 def relationship_line(head: Column, relation: Column, tail: Column) -> Column:
     return F.concat(F.lit("- "), head, F.lit(" —["), relation, F.lit("]→ "), tail)
+
+
+def to_text(value: Column) -> Column:
+    """A variant as text: lists joined by spaces, null as empty."""
+    items = F.array_join(F.try_variant_get(value, "$", "array<string>"), " ")
+    return F.coalesce(F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), items).otherwise(F.try_variant_get(value, "$", "string")), F.lit(""))

@@ -106,3 +106,35 @@ def sourced_first(evidence: DataFrame, sourced: DataFrame) -> DataFrame:
     flagged = evidence.join(sourced.select("question_id", "chunk_id").distinct().withColumn("_own", F.lit(0)), ["question_id", "chunk_id"], "left")
     order = Window.partitionBy("question_id").orderBy(F.coalesce("_own", F.lit(1)), "rank", "chunk_id")
     return flagged.withColumn("new_rank", F.row_number().over(order)).drop("rank", "_own").withColumnRenamed("new_rank", "rank")
+
+
+def quiz_context(chunks: DataFrame, triples: DataFrame, budget: int = 24000) -> tuple[DataFrame, DataFrame]:
+    """(lines (quiz_id, ord, line), id map (quiz_id, short_id, chunk_id)): numbered chunks, then relationships, in one budget.
+
+    chunks: quiz_id, chunk_id, ord, page, text. Relationships (quiz_id, ord, line) take what the chunks that fit leave.
+    """
+    named = short_ids(chunks)
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(" (p. "), F.col("page").cast("string"), F.lit(")"))).otherwise("")
+    entries = named.select("quiz_id", "ord", "short_id", "chunk_id", F.concat(F.lit("["), "short_id", F.lit("]"), page, F.lit(" "), "text").alias("line"), F.lit(0).alias("tier"))
+    both = entries.unionByName(triples.select("quiz_id", "ord", F.lit(None).cast("string").alias("short_id"), F.lit(None).cast("string").alias("chunk_id"), "line", F.lit(1).alias("tier")))
+
+    def fitting(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
+        so_far = Window.partitionBy("quiz_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+        counted = rows.withColumn("_total", F.sum(F.length("line")).over(so_far))
+        counted = counted.withColumn("_taken", F.lit(0)) if taken is None else counted.join(taken, "quiz_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+        return counted.where(F.col("_total") + F.col("_taken") <= budget)
+
+    first = fitting(both.where("tier = 0"), None)
+    rest = fitting(both.where("tier = 1"), first.groupBy("quiz_id").agg(F.max("_total").alias("_taken")))
+    columns = ["quiz_id", "tier", "ord", "line"]
+    return first.select(*columns).unionByName(rest.select(*columns)), first.select("quiz_id", "short_id", "chunk_id")
+
+
+def deep_dive_context(dense: DataFrame, graph: DataFrame, sourced: DataFrame, chunks: DataFrame, max_chars: int = 4000) -> DataFrame:
+    """(question_id, chunk_id, rank): evidence of both kinds (question_id, chunk_id, rank), each chunk once, its own sources first, within max_chars."""
+    both = dense.select("question_id", "chunk_id", F.struct(F.lit(0).alias("way"), F.col("rank").cast("long").alias("rank")).alias("at")).unionByName(graph.select("question_id", "chunk_id", F.struct(F.lit(1).alias("way"), F.col("rank").cast("long").alias("rank")).alias("at")))
+    once = both.groupBy("question_id", "chunk_id").agg(F.min("at").alias("at"))
+    ranked = once.select("question_id", "chunk_id", F.row_number().over(Window.partitionBy("question_id").orderBy("at", "chunk_id")).alias("rank"))
+    texts = sourced_first(ranked, sourced).join(chunks.select("chunk_id", "text"), "chunk_id")
+    so_far = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return texts.withColumn("_total", F.sum(F.length("text")).over(so_far)).where(F.col("_total") <= max_chars).select("question_id", "chunk_id", "rank")

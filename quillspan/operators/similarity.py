@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import canon, norm_label
@@ -20,10 +22,8 @@ def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series],
     """`df` with a unit vector of its text: by embed_fn in batches, else by hashed word counts. Null and empty texts give zeros."""
     if embed_fn is None:
         words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return df.withColumn("embedding", F.transform(counts, lambda x: (x / F.when(norm > 0, norm).otherwise(1.0)).cast("float")))
+        counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_counts").transform(df.withColumn("_words", words))
+        return counted.withColumn("embedding", _unit(vector_to_array("_counts"))).drop("_words", "_counts")
 
     def run(frames):
         for pdf in frames:
@@ -35,6 +35,12 @@ def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series],
     return df.drop("embedding").mapInPandas(run, f"{schema}, embedding array<float>")
 
 
+def _unit(counts: Column) -> Column:
+    """The array over its length, as floats; zeros stay zeros."""
+    with_norm = F.struct(counts.alias("x"), F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    return F.get(F.transform(F.array(with_norm), lambda s: F.transform(s["x"], lambda x: (x / F.greatest(s["norm"], F.lit(1e-30))).cast("float"))), F.lit(0))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 

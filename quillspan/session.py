@@ -41,6 +41,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder named in spark.checkpoint.dir as checkpoint folder; one of our own only where none is named."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, by whatever store Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
