@@ -155,7 +155,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = rows.mapInArrow(run, schema)
     else:
         found = _sharded(rows, index, shards, min_chars, schema)
-    return uncarried(found, *own).withColumnRenamed("id", id_col)
+    return uncarried(found.withColumnRenamed("id", id_col), id_col, *own[1:])
 
 
 def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, schema: str) -> DataFrame:
