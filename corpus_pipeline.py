@@ -19,9 +19,12 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC by a model fitted on the labels that are not held out. Columns and texts stay as they are."""
+    """Documents scored below TOXIC. Columns and texts stay as they are.
+
+    The model is fitted on the table of documents and those of its labels that are not held out.
+    """
     ship_package(spark)
-    model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"), ~held_out())
+    model = toxicity.fit_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out())
     return model.score(docs, carry=docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
