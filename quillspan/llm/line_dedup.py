@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import ASCII_SPACE, carried, shuffle_partitions, spool, strings, uncarried
+from quillspan.llm._common import ASCII_SPACE, carried, shuffle_partitions, spool, text_slices, uncarried
 from quillspan.llm.mph import MinimalPerfectHash
 
 #: Keys a shard holds on average, and the index size up to which every task probes all shards by itself.
@@ -34,11 +34,18 @@ def _hashes(lines: list[str], min_chars: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(k) if k is not None else bytes(16) for k in keys]), np.uint64).reshape(-1, 2)
 
 
-def _distinct(batch: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches in parts of about 2 MB of text, with their texts."""
+    for batch in batches:
+        for start, texts in text_slices(batch.column(1), 2_000_000):
+            yield batch.slice(start, len(texts)), texts
+
+
+def _distinct(batch: pa.RecordBatch, texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and the two words of each line key, once a row."""
     ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
     digest = xxhash.xxh3_128_digest
-    own = [{digest(k) for x in text.split("\n") if (k := line_key(x, min_chars)) is not None} for text in strings(batch.column(1))]
+    own = [{digest(k) for x in text.split("\n") if (k := line_key(x, min_chars)) is not None} for text in texts]
     flat = np.frombuffer(b"".join([y for x in own for y in x]), np.int64).reshape(-1, 2)
     return np.repeat(np.array(ids, np.int64), [len(x) for x in own]), flat
 
@@ -87,8 +94,8 @@ def line_index(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFram
     spark = docs.sparkSession
 
     def lines(batches):
-        for batch in batches:
-            ids, h = _distinct(batch, min_chars)
+        for batch, texts in _runs(batches):
+            ids, h = _distinct(batch, texts, min_chars)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "h1", "h2"])
 
     counted = (
@@ -138,8 +145,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def run(batches):
             own = Shards(shared.value)
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
+            for batch, texts in _runs(batches):
+                ids = batch.column(0).to_pylist()
                 parts = [x.split("\n") for x in texts]
                 ends = np.cumsum([0, *map(len, parts)])
                 h = _hashes([y for x in parts for y in x], min_chars)
@@ -175,8 +182,8 @@ def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, sch
 
     def probes(batches):
         known = np.array(sorted(shared.value), np.int64)
-        for batch in batches:
-            ids, h = _distinct(batch, min_chars)
+        for batch, texts in _runs(batches):
+            ids, h = _distinct(batch, texts, min_chars)
             cold = ~np.isin(h[:, 1], known)
             ids, first, second = ids[cold], h[cold, 0], h[cold, 1]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((second % shards).astype(np.int32)), pa.array(first), pa.array(second)], ["id", "shard", "h1", "h2"])
@@ -200,8 +207,8 @@ def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, sch
 
     def run(batches):
         known = shared.value
-        for batch in batches:
-            ids, texts, drops = batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(3).to_pylist()
+        for batch, texts in _runs(batches):
+            ids, drops = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             out, n_lines, n_dropped = [], [], []
             for i, text, drop in zip(ids, texts, drops, strict=True):
                 lines = text.split("\n")
