@@ -86,6 +86,9 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Texts are shuffled by id once, for the documents and for their successors alike; of a successor only the beginning
     that is needed and its signatures go on. Repeated ids give a row for each of the next document's rows.
+
+    near_group is the smallest id among a document's near copies in the whole table; near_edited and near_next are given
+    whole, also where they are below the similarity of near copies.
     """
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     order = spotsigs.next_ids(docs, "id", F.length("text")).withColumnRenamed("carried_0", "n_chars")
@@ -98,8 +101,10 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = own.join(following, F.col("own_id").eqNullSafe(F.col("prior_id"))).select(
         "own_id", n.alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head").alias("edited"), "next_set"
     )
+    groups = spotsigs.near_groups(docs.select("id", spotsigs.signatures(F.col("text")).alias("signatures")))
+    both = both.join(groups, F.col("own_id").eqNullSafe(F.col("id")))
     sets = both.select(
-        "own_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("own_set"), spotsigs.signatures(F.col("edited")).alias("edited_set"), "next_set"
+        "own_id", "near_group", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("own_set"), spotsigs.signatures(F.col("edited")).alias("edited_set"), "next_set"
     )
     return sets.select(
         F.col("own_id").alias("doc_id"),
@@ -109,6 +114,7 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
         spotsigs.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+        "near_group",
     )
 
 

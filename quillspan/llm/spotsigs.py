@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm._common import spool, text_of
+from quillspan.llm.components import connected_components
+
+#: Sets at least so similar are near copies.
+LEAST = 0.5
+#: Entries of a signature's list, or of a part of one, that are compared with one another in one place.
+BLOCK = 2048
+#: Sets from which frequent signatures are counted, and how many of those come last in the common order, by tiers.
+SAMPLED, TIERS = 50_000, (64, 512, 4096)
 
 #: Common words of the languages at hand; the mark . stands for any end of a clause or line, and for a text's start.
 COMMON_WORDS = {
@@ -72,7 +80,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     if least <= 0:
         return exact
     far = F.abs(length_class(F.size(a), least) - length_class(F.size(b), least)) >= 2
-    return F.when((large > 0) & (far | (small < least * large)), 0.0).otherwise(exact)
+    return F.when((large > 0) & (far | (small / large < least)), 0.0).otherwise(exact)
 
 
 def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,6 +92,105 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col), signatures(F.col(text_col).cast("string")).alias("signatures")).withColumn("fingerprint", fingerprint(F.col("signatures")))
 
 
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`sets` (id, signatures) with a 128-bit hash of the set, and its distinct sets (node, signatures, k1, k2); both spooled."""
+    keyed = spool(sets.select("id", "signatures", F.xxhash64(F.lit(1), "signatures").alias("k1"), F.xxhash64(F.lit(2), "signatures").alias("k2")), "sets")
+    classes = keyed.where(F.size("signatures") > 0).groupBy("k1", "k2").agg(F.first("signatures").alias("signatures"))
+    return keyed, spool(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _first_members(n: Column, share: Column | float) -> Column:
+    """Sets of n members that have `share` of them in common with another share one of the first so many, in any common order."""
+    return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
+
+
+def _postings(classes: DataFrame, least: float) -> DataFrame:
+    """(token, node, n, pos, df): the first members of each set, rare signatures first, that two sets or more have there.
+
+    Which signatures count as frequent is told from at most about SAMPLED sets. It only sets the order of members,
+    which may be any: it decides how long lists are, not what is found.
+    """
+    some = classes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-classes.count() // SAMPLED)))) == 0).select(F.explode("signatures").alias("token"))
+    hot = [r["token"] for r in some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(TIERS[-1]).collect()]
+
+    def placed(x: Column) -> Column:
+        tier = sum((x.isin(*hot[:k]).cast("int") for k in TIERS if hot), F.lit(0))
+        return F.struct(tier.alias("tier"), x.alias("token"))
+
+    n = F.size("signatures")
+    first = F.slice(F.sort_array(F.transform("signatures", placed)), F.lit(1), _first_members(n, least))
+    entries = classes.select("node", n.alias("n"), F.posexplode(first)).select("col.token", "node", "n", "pos")
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return spool(entries.join(shared, "token"), "postings")
+
+
+def _candidates(postings: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of sets that lengths and first members allow to be as similar as `least`; with labels (node, component) those of different components.
+
+    Lists are partitioned by length class: the smaller set of a pair lies in its own, the larger one in its own and in
+    the one below. A list of more than BLOCK entries is dealt in parts. A pair goes on if what the two share among
+    first members, and all that may follow the last of these, is enough.
+    """
+    if labels is None:
+        lists = postings.withColumn("component", F.col("node"))
+    else:
+        lists = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        lists = lists.join(mixed.select("token"), "token")
+    own, parts = length_class(F.col("n"), least), F.ceil(F.col("df") / BLOCK).cast("int")
+    entry = lambda side: F.struct("node", "n", "pos", "component").alias(side)
+    small = lists.where(F.col("pos") < _first_members(F.col("n"), 2 * least / (1 + least)))
+    small = small.select("token", own.alias("band"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), entry("x"))
+    large = lists.select("token", F.explode(F.array(own, own - 1)).alias("band"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), entry("y"))
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    met = small.join(large, ["token", "band", "part"]).where(ordered & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") / F.col("y.n") >= least))
+    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
+    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    return pairs.where(F.col("shared") + rest >= F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
+
+
+def _heads(postings: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each set the one that is first, in one order for all, in most of its lists. A row for each set at most."""
+    lists = postings.withColumn("band", length_class(F.col("n"), least))
+    heads = lists.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node").alias("turn"), F.col("node").alias("b"))).alias("head"))
+    met = lists.join(heads, ["token", "band"]).select(F.col("node").alias("a"), "head.b").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    return met.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", "best.b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of the pairs whose whole sets are as similar as `least`; spooled."""
+    x, y = classes.select(F.col("node").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
+    return spool(pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).where(F.col("likeness") >= least), "links")
+
+
+def near_pairs(classes: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, likeness): every pair of `classes` (node, signatures: distinct, not empty sets) whose Jaccard similarity is at least `least`, once.
+
+    Exact. The result grows with the square of a group of near copies; near_groups does without all its pairs.
+    """
+    return _verified(_candidates(_postings(classes, least), least), classes, least)
+
+
+def near_groups(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(id, near_group) for each distinct id of `sets` (id, signatures): the smallest id reachable by near copies.
+
+    Two sets link when their Jaccard similarity is at least `least`; equal sets are one. First each set is compared with
+    one other, so that a large group is mostly joined; then all candidates between different components are, so no
+    link between components is lost. Sets without members link with nothing. Of an id that repeats the smallest group is
+    given; null ids are one row, whose group is null where no other id has one.
+    """
+    keyed, classes = set_classes(sets)
+    postings = _postings(classes, least)
+    links = _verified(_heads(postings, least), classes, least).select("a", "b")
+    more = _verified(_candidates(postings, least, connected_components(links)), classes, least).select("a", "b")
+    components = connected_components(links.unionByName(more))
+    placed = classes.select("k1", "k2", "node").join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    members = keyed.select("id", "k1", "k2").join(placed, ["k1", "k2"], "left").select("id", "component")
+    smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
+    found = members.join(smallest, "component", "left").select("id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
+    return spool(found.groupBy("id").agg(F.min("near_group").alias("near_group")), "near-groups")
+
+
 def next_ids(docs: DataFrame, id_col: str, *carried: Column) -> DataFrame:
     """(id, next_id, carried...): each id's successor in ascending order, the first after the last.
 

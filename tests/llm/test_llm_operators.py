@@ -195,6 +195,44 @@ def test_spotsigs_query_edits_and_tells_apart(spark):
     assert np.median([r.near_edited for r in got.values()]) > 0.45 > 0.1 > np.median([r.near_next for r in got.values()])
 
 
+def brute_near(sets, least):
+    """Pairs of ids whose sets are at least so similar, and the smallest id reachable by them."""
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+    label, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return links, label
+
+
+@pytest.mark.parametrize("least", [0.4, 0.55, 0.8])
+def test_spotsigs_near_copies_of_a_table_by_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(spotsigs, "BLOCK", 16)  # lists of the group of near copies are dealt in parts
+    monkeypatch.setattr(spotsigs, "TIERS", (4, 16, 64))
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**31), 2**31, 20)
+    sets = {i: {int(x) for x in base if rng.random() < 0.9} | {int(x) for x in rng.integers(0, 1000, int(rng.integers(0, 9)))} for i in range(120)}
+    sets |= {i: {int(x) for x in rng.integers(0, 60, int(rng.integers(1, 40)))} for i in range(120, 260)}
+    sets |= {300: set(), 301: set(), 302: sets[200], 303: set(range(11)), 304: set(range(20))}
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, signatures array<int>").repartition(5)
+    links, label = brute_near(sets, least)
+    keyed, classes = spotsigs.set_classes(rows)
+    first = {r.node: frozenset(r.signatures) for r in classes.collect()}
+    got = [frozenset((first[r.a], first[r.b])) for r in spotsigs.near_pairs(classes, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == {frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in links if sets[a] != sets[b]}
+    assert {r.id: r.near_group for r in spotsigs.near_groups(rows, least).collect()} == label
+    assert spotsigs.near_groups(rows.limit(0), least).collect() == []
+
+
+def test_spotsigs_query_finds_near_copies_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r.doc_id: set(r.signatures) for r in spotsigs.spot_fingerprints(docs).collect()}
+    assert {r.doc_id: r.near_group for r in queries.op6_spotsigs(spark, SF).collect()} == brute_near(sets, spotsigs.LEAST)[1]
+
+
 def test_next_ids_wrap_around(spark):
     rows = {r.id: r.next_id for r in spotsigs.next_ids(spark.range(0, 100, 7).withColumnRenamed("id", "k"), "k").collect()}
     ids = sorted(rows)
