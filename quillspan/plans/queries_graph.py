@@ -156,6 +156,12 @@ def ratio(nodes, tree):
     return B.prune_to_ratio(small, edges, max_rounds=1)[0].select("key")
 
 
+@register.add("g10_ratio_all", "nodes", "tree")
+def ratio_all(nodes, tree):
+    """Every node and edge; a third of the parts count as topics, so that their tier is too large."""
+    return B.prune_to_ratio(nodes.withColumn("node_type", F.expr("CASE WHEN node_type = 'content' AND seq % 3 = 0 THEN 'topic' ELSE node_type END")), tree)[0].select("key")
+
+
 @register.add("f30_patch", "nodes", oracle="SELECT key, CASE WHEN seq % 10 = 3 THEN 'patched' ELSE summary END AS summary, node_type FROM nodes")
 def patch(nodes):
     patches = nodes.where("seq % 10 = 3").select("key", F.lit("patched").alias("summary"), F.lit("topic").alias("node_type"))

@@ -101,3 +101,23 @@ def test_grading(spark):
     got = {r.question_id: (r.is_correct, r.score) for r in Q.grade(questions, given, judged).collect()}
     assert got == {"1": (True, 1.0), "2": (True, 1.0), "3": (True, 0.75), "4": (True, 1.0), "5": (False, 0.0)}
     assert tuple(Q.quiz_totals(Q.grade(questions, given, judged)).first()) == ("z", 75.0, 4, 5)
+
+
+def test_ratio_query_over_the_whole_graph(spark):
+    import __spark_entry__ as entry
+    from quillspan.plans.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    nodes = {r.key: ("topic" if r.node_type == "content" and r.seq % 3 == 0 else r.node_type, r.seq) for r in view(spark, sf, "nodes").collect()}
+    edges = [(r.src, r.dst) for r in view(spark, sf, "tree").collect()]
+    while True:
+        tiers = {t: [k for k, (kind, _) in nodes.items() if kind == t] for t in ("topic", "subtopic", "content")}
+        large = next(((u, v) for u, v in (("topic", "subtopic"), ("subtopic", "content")) if tiers[v] and len(tiers[u]) >= len(tiers[v])), None)
+        if large is None:
+            break
+        upper, lower = (tiers[t] for t in large)
+        degree = {k: sum((a == k) + (b == k) for a, b in edges) for k in upper}
+        for k in sorted(upper, key=lambda k: (degree[k], nodes[k][1]))[: len(upper) - len(lower) + 1]:
+            del nodes[k]
+        edges = [(a, b) for a, b in edges if a in nodes and b in nodes]
+    assert sorted(r.key for r in entry.queries()["g10_ratio_all"](spark, sf).collect()) == sorted(nodes)
