@@ -90,16 +90,24 @@ def score_pairs(pairs: DataFrame, a: str = "embedding", b: str = "query_embeddin
     return pairs.withColumn("score", cosine(F.col(a), F.col(b)))
 
 
-def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs: int | None = None, blocks: int | None = None) -> DataFrame:
+def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs: int | None = None, blocks: int | None = None, new_ids: DataFrame | None = None) -> DataFrame:
     """(a, b, score) of unordered pairs (a < b) with lo <= score <= hi; with max_pairs the highest, ties by a and b.
 
     Exact: vectors are dealt in blocks of about 2000 and each pair of blocks is one task's matrix product. The work
-    grows with the square of the vectors, as the task is stated; each vector travels once for each block.
+    grows with the square of the vectors, as the task is stated; each vector travels once for each block. With new_ids
+    (id) only pairs with a new vector are given; old and new ones have blocks of their own, and old blocks don't meet.
     """
-    n = vectors.count()
-    blocks = blocks or max(1, -(-n // 2000))
-    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
-    pair = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k.cast("long"), F.col("own")).alias("i"), F.greatest(k.cast("long"), F.col("own")).alias("j")))
+    many = lambda rows: blocks or max(1, -(-rows.count() // 2000))
+    if new_ids is None:
+        marked, old = vectors.withColumn("new", F.lit(True)), 0
+    else:
+        marked = vectors.join(new_ids.select("id", F.lit(True).alias("new")).distinct(), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+        old = many(marked.where("NOT new"))
+    total = old + many(marked.where("new"))
+    hashed = F.xxhash64("id")
+    dealt = marked.select("id", "embedding", F.when(F.col("new"), old + F.pmod(hashed, F.lit(total - old))).otherwise(F.pmod(hashed, F.lit(max(1, old)))).alias("own"))
+    met = F.sequence(F.when(F.col("own") < old, F.lit(old)).otherwise(F.lit(0)), F.lit(total - 1))
+    pair = F.transform(met, lambda k: F.struct(F.least(k.cast("long"), F.col("own")).alias("i"), F.greatest(k.cast("long"), F.col("own")).alias("j")))
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

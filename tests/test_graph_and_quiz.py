@@ -121,3 +121,15 @@ def test_ratio_query_over_the_whole_graph(spark):
             del nodes[k]
         edges = [(a, b) for a, b in edges if a in nodes and b in nodes]
     assert sorted(r.key for r in entry.queries()["g10_ratio_all"](spark, sf).collect()) == sorted(nodes)
+
+
+def test_band_join_of_new_with_all_by_numpy(spark):
+    matrix = np.random.default_rng(7).normal(size=(60, 8))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "id long, embedding array<double>")
+    scores, new = matrix @ matrix.T, {3, 10, 11, 59}
+    ids = spark.createDataFrame([(i,) for i in [*new, 3, 999]], "id long")
+    for blocks in (None, 3):
+        got = [(r.a, r.b) for r in V.band_join(rows, 0.2, 0.8, blocks=blocks, new_ids=ids).collect()]
+        assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if 0.2 <= scores[i, j] <= 0.8 and {i, j} & new]
+    assert V.band_join(rows, 0.2, 0.8, new_ids=ids.limit(0)).collect() == []
