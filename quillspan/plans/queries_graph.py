@@ -70,6 +70,13 @@ def synonyms(vectors):
     return V.resolve_synonyms(named.where("id % 10 = 1").select("name", "embedding"), named.where("id % 2 = 0").select("name", "embedding"), 0.35).withColumn("score", F.round("score", 6))
 
 
+@register.add("v7_synonyms_all", "vectors")
+def synonyms_all(vectors):
+    """Every row takes part: odd ids are names, even ids exist."""
+    named = vectors.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), "embedding", "id")
+    return V.resolve_synonyms(named.where("id % 2 <> 0").select("name", "embedding"), named.where("id % 2 = 0").select("name", "embedding"), 0.35).withColumn("score", F.round("score", 6))
+
+
 # --- graph ---------------------------------------------------------------------------------------------------------
 
 

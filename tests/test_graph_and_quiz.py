@@ -133,3 +133,16 @@ def test_band_join_of_new_with_all_by_numpy(spark):
         got = [(r.a, r.b) for r in V.band_join(rows, 0.2, 0.8, blocks=blocks, new_ids=ids).collect()]
         assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if 0.2 <= scores[i, j] <= 0.8 and {i, j} & new]
     assert V.band_join(rows, 0.2, 0.8, new_ids=ids.limit(0)).collect() == []
+
+
+def test_synonyms_query_takes_every_vector(spark):
+    import __spark_entry__ as entry
+    from quillspan.plans.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.id: np.array(r.embedding, np.float64) for r in view(spark, sf, "vectors").collect()}
+    want = {}
+    for i in (i for i in rows if i % 2):
+        score, name = min((-round(float(rows[i] @ v), 9), f"v{j}") for j, v in rows.items() if j % 2 == 0)
+        want[f"v{i}"] = name if -score >= 0.35 else f"v{i}"
+    assert {r.name: r.resolved for r in entry.queries()["v7_synonyms_all"](spark, sf).collect()} == want
