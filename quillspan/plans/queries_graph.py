@@ -257,7 +257,7 @@ def triples(nodes, tree, embeddings):
 
 @register.add("g19_components", "nodes", "tree")
 def components(nodes, tree):
-    return G.components(nodes, tree.where("seq % 5 = 0 OR relation = 'HAS_SUBTOPIC'"))
+    return G.components(nodes, tree)
 
 
 @register.add("g20_collapse", "nodes", "tree", oracle="""WITH d AS (SELECT src AS root, dst AS node FROM tree WHERE relation = 'HAS_SUBTOPIC' UNION SELECT a.src, b.dst FROM tree a JOIN tree b ON a.dst = b.src WHERE a.relation = 'HAS_SUBTOPIC')

@@ -1,6 +1,7 @@
 """Graph, retrieval and quiz operators on small literal tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspan.operators import graph_build as B
 from quillspan.operators import graph_walk as G
@@ -146,3 +147,13 @@ def test_synonyms_query_takes_every_vector(spark):
         score, name = min((-round(float(rows[i] @ v), 9), f"v{j}") for j, v in rows.items() if j % 2 == 0)
         want[f"v{i}"] = name if -score >= 0.35 else f"v{i}"
     assert {r.name: r.resolved for r in entry.queries()["v7_synonyms_all"](spark, sf).collect()} == want
+
+
+def test_components_query_keeps_every_edge(spark):
+    import __spark_entry__ as entry
+    from quillspan.plans.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    label = {r.node: r.component for r in entry.queries()["g19_components"](spark, sf).select(F.col("key").alias("node"), "component").collect()}
+    keys = {r.key for r in view(spark, sf, "nodes").collect()}
+    assert set(label) == keys and all(label[r.src] == label[r.dst] for r in view(spark, sf, "tree").collect() if {r.src, r.dst} <= keys)
