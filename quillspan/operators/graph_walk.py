@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,23 @@ from quillspan.operators.chunking import cosine
 from quillspan.operators.graph_build import STRUCTURAL
 
 
-def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", relations: tuple[str, ...] = STRUCTURAL, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", relations: tuple[str, ...] = STRUCTURAL, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) of all nodes below (or above) each of roots (root), at their least depth; cycles end.
 
-    The frontier is checkpointed each step, and only whether it is empty comes to the driver.
+    The frontier is checkpointed each step, and only whether it is empty comes to the driver. Nodes deeper than
+    max_depth, where it is given, are an error.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     steps = edges.where(F.col("relation").isin(*relations)).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         reached = frontier.join(steps, "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
         frontier = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"nodes deeper than {max_depth}")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 

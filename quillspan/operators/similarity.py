@@ -49,7 +49,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, embedding) the k nearest of corpus by inner product, ties by id.
 
     Queries are dealt in blocks of QUERY_BLOCK, each as one matrix; every part of the corpus keeps its k best for each
-    query, and only those are ranked together. Vectors that are null or of another length are left out.
+    query, and only those are ranked together. Vectors that are null or of another length than the query's are left out.
     """
     kind, query_kind = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     blocks = queries.where("embedding IS NOT NULL").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
@@ -61,14 +61,14 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         wanted = [(r["query_id"], np.asarray(r["embedding"], np.float64)) for r in queries_]
         out = []
         pdf = pdf.sort_values("id")
-        size = len(pdf["embedding"].iloc[0])
-        pdf = pdf[pdf["embedding"].map(len) == size]
-        matrix, ids = _matrix(pdf["embedding"]), pdf["id"].to_numpy()
-        wanted = [(q, v) for q, v in wanted if len(v) == size]
-        if wanted and len(ids):
-            scores = np.stack([v for _, v in wanted]) @ matrix.T
-            for (q, _), row in zip(wanted, scores, strict=True):
-                order = np.argsort(-row, kind="stable")[:k]
+        for size, same in pdf.groupby(pdf["embedding"].map(len)):
+            asked = [(q, v) for q, v in wanted if len(v) == size]
+            if not asked:
+                continue
+            ids = same["id"].to_numpy()
+            scores = np.stack([v for _, v in asked]) @ _matrix(same["embedding"]).T
+            for (q, _), row in zip(asked, scores, strict=True):
+                order = np.argsort(-np.round(row, 9), kind="stable")[:k]
                 out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": row[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 

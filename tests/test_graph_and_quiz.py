@@ -157,3 +157,22 @@ def test_components_query_keeps_every_edge(spark):
     label = {r.node: r.component for r in entry.queries()["g19_components"](spark, sf).select(F.col("key").alias("node"), "component").collect()}
     keys = {r.key for r in view(spark, sf, "nodes").collect()}
     assert set(label) == keys and all(label[r.src] == label[r.dst] for r in view(spark, sf, "tree").collect() if {r.src, r.dst} <= keys)
+
+
+def test_topk_keeps_lengths_and_near_ties_and_closure_tells_its_bound(spark):
+    import pytest
+
+    # in one part: a malformed vector first, then copies that differ by less than the score's nine digits
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = spark.createDataFrame([(0, [1.0]), *((i, [1.0, i * 1e-12]) for i in range(1, 6))], "id long, embedding array<double>")
+        asked = spark.createDataFrame([(7, [0.5, 1.0])], "query_id long, embedding array<double>")
+        assert [r.id for r in V.topk(rows, asked, 2).orderBy("rank").collect()] == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "HAS_SUBTOPIC") for i in range(4)], "src string, dst string, relation string")
+    roots = spark.createDataFrame([("n0",)], "root string")
+    assert G.closure(chain, roots, max_depth=4).count() == 4
+    with pytest.raises(ValueError):
+        G.closure(chain, roots, max_depth=3)
