@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import key_term_hit, name_hit
+from quillspan.functions.text import strip
 from quillspan.operators.chunking import cosine
 from quillspan.operators.graph_build import STRUCTURAL
+from quillspan.operators.similarity import topk
+
+#: Characters by which names and terms are looked up in texts.
+GRAM = 6
 
 
 def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", relations: tuple[str, ...] = STRUCTURAL, max_depth: int | None = None) -> DataFrame:
@@ -34,37 +39,91 @@ def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", relatio
 
 
 def scope_topics(queries: DataFrame, nodes: DataFrame, edges: DataFrame, second_min: float = 0.25) -> DataFrame:
-    """(query_id, node): what lies below a query's best topic, and below the second if that scores above second_min; all nodes if nothing does."""
-    topics = nodes.where("node_type = 'topic'").select(F.col("key").alias("root"), F.col("embedding").alias("topic_embedding"))
-    scored = queries.select("query_id", "embedding").join(F.broadcast(topics)).withColumn("score", cosine(F.col("embedding"), F.col("topic_embedding")))
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "root"))
-    chosen = scored.withColumn("turn", turn).where((F.col("turn") == 1) | ((F.col("turn") == 2) & (F.col("score") > second_min))).select("query_id", "root")
-    below = closure(edges, topics.select("root"))
-    pool = chosen.join(below, "root").select("query_id", "node").distinct()
-    bare = queries.select("query_id").join(pool, "query_id", "left_anti")
-    return pool.unionByName(bare.join(F.broadcast(nodes.select(F.col("key").alias("node")))))
+    """(query_id, node): what lies below a query's best topic, and below the second if that scores above second_min.
+
+    A query without rows has nothing below its topics, and all nodes are open to it. The best topics come from topk, and
+    only what is below those is looked up.
+    """
+    topics = nodes.where("node_type = 'topic'").select(F.col("key").alias("id"), "embedding")
+    best = topk(topics, queries.select("query_id", "embedding"), 2)
+    chosen = best.where((F.col("rank") == 1) | (F.col("score") > second_min)).select("query_id", F.col("id").alias("root")).checkpoint()
+    below = closure(edges, chosen.select("root").distinct())
+    return chosen.join(below, "root").select("query_id", "node").distinct()
+
+
+def term_hits(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node) of nodes (key, name, key_terms) whose name or any key term stands in a query's text, without regard to case.
+
+    Names and terms are found by their first GRAM characters among those substrings of the texts that are as long; only
+    what meets so is searched whole. Blank names, blank terms and null texts hit nothing.
+    """
+    terms = F.transform(F.coalesce("key_terms", F.array().cast("array<string>")), lambda t: F.lower(strip(t)))
+    needles = nodes.select(F.col("key").alias("node"), F.explode(F.array_distinct(F.concat(F.array(F.lower("name")), terms))).alias("needle")).where("needle <> ''")
+    needles = needles.withColumn("gram", F.substring("needle", 1, GRAM))
+    asked = queries.select("query_id", F.lower("text").alias("question")).where("question <> ''")
+    windows = f"flatten(transform(sequence(1, {GRAM}), n -> transform(sequence(1, greatest(length(question) - n + 1, 1)), i -> substring(question, i, n))))"
+    grams = asked.select("query_id", F.explode(F.array_distinct(F.expr(windows))).alias("gram"))
+    met = grams.join(needles, "gram").select("query_id", "node", "needle").join(asked, "query_id")
+    return met.where(F.contains("question", F.col("needle"))).select("query_id", "node").distinct()
 
 
 def anchors(queries: DataFrame, nodes: DataFrame, pool: DataFrame | None = None, k: int = 3, boost: float = 0.15) -> DataFrame:
     """(query_id, node, rank): k nodes of a query (query_id, text, embedding) where its walk begins.
 
-    Nodes of the pool (query_id, node; all nodes if not given) that the query names, or a key term of which it holds,
-    come first in order of seq; the rest follow by score. Nodes outside the pool count only where it has fewer than k,
-    with `boost` for a hit.
+    Nodes of the pool (query_id, node; all nodes for queries without rows there) that the query names, or a key term of
+    which it holds, come first in order of seq; the rest follow by score. Nodes outside the pool count only where it has
+    fewer than k, with `boost` for a hit. Queries and nodes meet by terms, by pool rows and by topk, never all with all.
     """
-    scored = queries.select("query_id", F.col("text").alias("question"), F.col("embedding").alias("query_embedding")).join(F.broadcast(nodes.select(F.col("key").alias("node"), "name", "key_terms", "seq", "embedding")))
-    hit = name_hit("name", "question") | key_term_hit("key_terms", "question")
-    scored = scored.select("query_id", "node", "seq", hit.alias("hit"), cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
+    asked = queries.select("query_id", F.col("embedding").alias("query_embedding"))
+    vectors = nodes.select(F.col("key").alias("node"), "seq", "embedding")
+    corpus = nodes.select(F.col("key").alias("id"), "embedding")
+    hits = term_hits(queries, nodes).withColumn("hit", F.lit(True)).checkpoint()
+    scored = lambda rows: rows.join(vectors, "node").join(asked, "query_id").select("query_id", "node", "seq", "inside", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
+    # hits among the 2 k highest are no loss: k of them, or k others, are left
     if pool is None:
-        scored = scored.withColumn("inside", F.lit(True))
+        rows = topk(corpus, queries, 2 * k).select("query_id", F.col("id").alias("node"), F.lit(True).alias("inside"))
     else:
-        sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool_size"))
-        scored = scored.join(pool.withColumn("inside", F.lit(True)), ["query_id", "node"], "left").join(sizes, "query_id", "left")
-        scored = scored.withColumn("inside", F.coalesce("inside", F.lit(False))).where(F.col("inside") | (F.coalesce("pool_size", F.lit(0)) < k))
+        pool = pool.select("query_id", "node").join(vectors.select("node"), "node", "left_semi").distinct()
+        sizes = queries.select("query_id").join(pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id", "left").checkpoint()
+        free, short = (queries.join(sizes.where(c), "query_id", "left_semi") for c in ("size IS NULL", f"size < {k}"))
+        own = scored(pool.withColumn("inside", F.lit(True)))
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "node"))
+        own = own.withColumn("turn", order).where(F.col("turn") <= 2 * k).select("query_id", "node", "inside")
+        named = hits.join(pool, ["query_id", "node"], "left_semi").select("query_id", "node", F.lit(True).alias("inside"))
+        outside = topk(corpus, short, 3 * k).select("query_id", F.col("id").alias("node")).union(hits.select("query_id", "node").join(short.select("query_id"), "query_id", "left_semi"))
+        outside = outside.join(pool, ["query_id", "node"], "left_anti").withColumn("inside", F.lit(False))
+        every = topk(corpus, free, 2 * k).select("query_id", F.col("id").alias("node"), F.lit(True).alias("inside"))
+        named = named.unionByName(hits.join(free.select("query_id"), "query_id", "left_semi").select("query_id", "node", F.lit(True).alias("inside")))
+        rows = own.unionByName(named).unionByName(outside).unionByName(every)
+    if pool is None:
+        rows = rows.unionByName(hits.select("query_id", "node", F.lit(True).alias("inside")))
+    found = scored(rows.distinct()).join(hits, ["query_id", "node"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     first = F.col("inside") & F.col("hit")
     weight = F.col("score") + F.when(F.col("hit") & ~F.col("inside"), F.lit(boost)).otherwise(0.0)
     order = [F.desc(first), F.when(first, F.col("seq")), F.desc(F.round(weight, 9)), F.col("node")]
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "node", "rank")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "node", "rank")
+
+
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3, second_min: float = 0.25, max_hops: int = 3, threshold: float = 0.4, max_per_hop: int = 10, boost: float = 0.15) -> GraphEvidence:
+    """Graph evidence of all queries (query_id, text, embedding): anchors, the walk from them, its triples and its nodes' chunks.
+
+    Chunks are ranked by hop, then by rank within it, then by id. A graph without nodes, and a query without anchors,
+    give nothing.
+    """
+    shown = nodes.where("node_type <> 'chunk_ref'")
+    starts = anchors(queries, shown, scope_topics(queries, shown, edges, second_min), k, boost).checkpoint()
+    reached, walked = walk(queries, starts, shown, edges, max_hops, threshold, max_per_hop)
+    sourced = reached.join(shown.select(F.col("key").alias("node"), F.explode("source_ids").alias("chunk_id")), "node")
+    first = sourced.groupBy("query_id", "chunk_id").agg(F.min(F.struct("hop", "rank")).alias("at"))
+    chunks = first.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "chunk_id")).alias("rank"))
+    return GraphEvidence(starts, reached, triples(walked, shown), chunks)
+
+
+class GraphEvidence(NamedTuple):
+    anchors: DataFrame
+    nodes: DataFrame
+    triples: DataFrame
+    chunks: DataFrame
 
 
 def walk(queries: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 3, threshold: float = 0.4, max_per_hop: int = 10) -> tuple[DataFrame, DataFrame]:

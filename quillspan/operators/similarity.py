@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import canon, norm_label
 from quillspan.operators.chunking import cosine
 
-#: Queries that one pass over the corpus compares with at once.
-QUERY_BLOCK = 1024
+#: Bytes of queries that go to all tasks, at most; queries of a block and vectors of a part beyond that.
+QUERY_BYTES, QUERY_BLOCK, PART_VECTORS = 32 << 20, 1024, 50_000
+#: Vectors of a block of band_join, and rows of a product of two matrices that are held at once.
+BLOCK_VECTORS, ROWS_AT_ONCE = 2000, 256
 
 
-def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series], np.ndarray] | None = None, features: int = 256) -> DataFrame:
-    """`df` with a unit vector of its text: by embed_fn in batches, else by hashed word counts. Null and empty texts give zeros."""
+def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series], np.ndarray] | None = None, features: int = 256, idf: bool = False) -> DataFrame:
+    """`df` with a unit vector of its text: by embed_fn in batches, else by hashed word counts. Null and empty texts give zeros.
+
+    With `idf` counts are weighted by how rare their words are in `df`, log((n + 1) / (rows with the word + 1)).
+    """
     if embed_fn is None:
         words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_counts").transform(df.withColumn("_words", words))
+        if idf:
+            counted = IDF(inputCol="_counts", outputCol="_weighed").fit(counted).transform(counted).drop("_counts").withColumnRenamed("_weighed", "_counts")
         return counted.withColumn("embedding", _unit(vector_to_array("_counts"))).drop("_words", "_counts")
 
     def run(frames):
@@ -41,50 +51,89 @@ def _unit(counts: Column) -> Column:
     return F.get(F.transform(F.array(with_norm), lambda s: F.transform(s["x"], lambda x: (x / F.greatest(s["norm"], F.lit(1e-30))).cast("float"))), F.lit(0))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+def _same_length(ids: pa.Array, vectors: pa.Array, length: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and matrix of the vectors of that length, in ascending order of id."""
+    fits = pc.fill_null(pc.and_(pc.equal(pc.list_value_length(vectors), length), pc.is_valid(ids)), False)
+    ids, vectors = ids.filter(fits), vectors.filter(fits)
+    order = pc.sort_indices(ids)
+    flat = vectors.take(order).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return ids.take(order), flat.reshape(len(ids), length)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k highest scores at nine digits, the smaller column on ties; what isn't a number comes last."""
+    rounded = np.nan_to_num(np.round(scores, 9), nan=-np.inf)
+    n = rounded.shape[1]
+    if n > k:
+        rows, cols = np.nonzero(rounded >= np.partition(rounded, n - k, axis=1)[:, n - k, None])
+    else:
+        rows, cols = (x.ravel() for x in np.indices(rounded.shape))
+    order = np.lexsort((cols, -rounded[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep]
+
+
+def _hits(asked_ids: pa.Array, asked: pa.Array, ids: pa.Array, vectors: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of some vectors for each of some queries, a batch for each run of queries."""
+    for length in pc.unique(pc.list_value_length(asked)).drop_null().to_pylist():
+        q_ids, q = _same_length(asked_ids, asked, length)
+        v_ids, v = _same_length(ids, vectors, length)
+        for first in range(0, len(q_ids) if len(v_ids) else 0, ROWS_AT_ONCE):
+            scores = q[first : first + ROWS_AT_ONCE] @ v.T
+            row, col = _best(scores, k)
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(first + row)), v_ids.take(pa.array(col)), pa.array(scores[row, col])], ["query_id", "id", "score"])
 
 
-def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, embedding) the k nearest of corpus by inner product, ties by id.
 
-    Queries are dealt in blocks of QUERY_BLOCK, each as one matrix; every part of the corpus keeps its k best for each
-    query, and only those are ranked together. Vectors that are null or of another length than the query's are left out.
+    Queries whose matrix takes up to broadcast_bytes, as measured, go to all tasks, and the corpus stays where it is
+    read. More queries are dealt in blocks and the corpus in parts, and each block meets each part in one task; blocks
+    and parts hold a bounded number of vectors. Either way a batch of vectors keeps its k best for each query, and only
+    those are ranked together. Scores are compared at nine digits.
+
+    Vectors that are null or of another length than the query's, and rows without an id, are left out. Repeated rows
+    count each. An empty side gives no rows.
     """
-    kind, query_kind = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    blocks = queries.where("embedding IS NOT NULL").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
-    n_parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = corpus.where("embedding IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)))
-    schema = f"query_id {query_kind}, id {kind}, score double"
-
-    def best(pdf: pd.DataFrame, queries_: list) -> pd.DataFrame:
-        wanted = [(r["query_id"], np.asarray(r["embedding"], np.float64)) for r in queries_]
-        out = []
-        pdf = pdf.sort_values("id")
-        for size, same in pdf.groupby(pdf["embedding"].map(len)):
-            asked = [(q, v) for q, v in wanted if len(v) == size]
-            if not asked:
-                continue
-            ids = same["id"].to_numpy()
-            scores = np.stack([v for _, v in asked]) @ _matrix(same["embedding"]).T
-            for (q, _), row in zip(asked, scores, strict=True):
-                order = np.argsort(-np.round(row, 9), kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": row[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    # every block of queries meets every part of the corpus once
-    shared = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("at", F.col("at").cast("long"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return pd.concat([best(left, q) for q in right["queries"]])
-
-    found = parts.groupBy("part").cogroup(shared.groupBy("at")).applyInPandas(run, schema)
+    spark = corpus.sparkSession
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
+    asked, held = queries.select("query_id", "embedding").where("embedding IS NOT NULL"), corpus.select("id", "embedding").where("embedding IS NOT NULL")
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    if n * (8 * width + 64) <= broadcast_bytes:
+        table = asked.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast(tuple(_flat(table[c]) for c in ("query_id", "embedding")))
+
+        def near(batches):
+            for batch in batches:
+                yield from _hits(*shared.value, batch.column(0), batch.column(1), k)
+
+        found = held.mapInArrow(near, schema)
+    else:
+        blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-held.count() // PART_VECTORS))
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", every(parts))
+        right = held.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", every(blocks))
+        empty = spark.createDataFrame([], schema).toArrow().schema
+
+        def meet(queries_: pa.Table, vectors: pa.Table) -> pa.Table:
+            if not queries_.num_rows or not vectors.num_rows:
+                return empty.empty_table()
+            batches = _hits(_flat(queries_["query_id"]), _flat(queries_["embedding"]), _flat(vectors["id"]), _flat(vectors["embedding"]), k)
+            return pa.Table.from_batches(batches, empty)
+
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """One array, also of a column without chunks."""
+    if isinstance(column, pa.Array):
+        return column
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def score_pairs(pairs: DataFrame, a: str = "embedding", b: str = "query_embedding") -> DataFrame:
     """`pairs` with the inner product of two of its columns, in double precision."""
     return pairs.withColumn("score", cosine(F.col(a), F.col(b)))
@@ -93,11 +142,15 @@ def score_pairs(pairs: DataFrame, a: str = "embedding", b: str = "query_embeddin
 def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs: int | None = None, blocks: int | None = None, new_ids: DataFrame | None = None) -> DataFrame:
     """(a, b, score) of unordered pairs (a < b) with lo <= score <= hi; with max_pairs the highest, ties by a and b.
 
-    Exact: vectors are dealt in blocks of about 2000 and each pair of blocks is one task's matrix product. The work
-    grows with the square of the vectors, as the task is stated; each vector travels once for each block. With new_ids
-    (id) only pairs with a new vector are given; old and new ones have blocks of their own, and old blocks don't meet.
+    Exact: vectors are dealt in blocks of about BLOCK_VECTORS and each pair of blocks is one task's matrix product. The
+    work grows with the square of the vectors, as the task is stated; each vector travels once for each block. With
+    new_ids (id) only pairs with a new vector are given; old and new ones have blocks of their own, and old blocks don't
+    meet. near_band_join takes less work and may miss pairs.
+
+    Vectors that are null or of unequal lengths, and rows without an id, pair with nothing. An empty table gives no rows.
     """
-    many = lambda rows: blocks or max(1, -(-rows.count() // 2000))
+    vectors = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    many = lambda rows: blocks or max(1, -(-rows.count() // BLOCK_VECTORS))
     if new_ids is None:
         marked, old = vectors.withColumn("new", F.lit(True)), 0
     else:
@@ -108,24 +161,52 @@ def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs:
     dealt = marked.select("id", "embedding", F.when(F.col("new"), old + F.pmod(hashed, F.lit(total - old))).otherwise(F.pmod(hashed, F.lit(max(1, old)))).alias("own"))
     met = F.sequence(F.when(F.col("own") < old, F.lit(old)).otherwise(F.lit(0)), F.lit(total - 1))
     pair = F.transform(met, lambda k: F.struct(F.least(k.cast("long"), F.col("own")).alias("i"), F.greatest(k.cast("long"), F.col("own")).alias("j")))
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left = pdf[pdf["own"] == i]
-        right = pdf[pdf["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        scores = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
-        x, y = left["id"].to_numpy(), right["id"].to_numpy()
-        r, c = np.nonzero((scores >= lo) & (scores <= hi) & ((x[:, None] < y[None, :]) if i == j else True))
-        out = pd.DataFrame({"a": np.minimum(x[r], y[c]), "b": np.maximum(x[r], y[c]), "score": scores[r, c]})
-        return out.sort_values(["score", "a", "b"], ascending=[False, True, True]).head(max_pairs) if max_pairs else out
-
-    found = dealt.withColumn("at", F.explode(pair)).select("id", "embedding", "own", "at.i", "at.j").groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, score double")
+    schema = "a {0}, b {0}, score double".format(vectors.schema["id"].dataType.simpleString())
+    empty = vectors.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, own = table["i"][0].as_py(), table["j"][0].as_py(), table["own"].to_numpy()
+        ids, held = _flat(table["id"]), _flat(table["embedding"])
+        out = []
+        for length in pc.unique(pc.list_value_length(held)).to_pylist():
+            left, right = (_same_length(ids.filter(pa.array(own == k)), held.filter(pa.array(own == k)), length) for k in (i, j))
+            place = np.unique(pa.concat_arrays([left[0], right[0]]).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            x, y = place[: len(left[0])], place[len(left[0]) :]
+            for first in range(0, len(x), ROWS_AT_ONCE):
+                scores = left[1][first : first + ROWS_AT_ONCE] @ right[1].T
+                r, c = np.nonzero((scores >= lo) & (scores <= hi))
+                value, r = scores[r, c], r + first
+                keep = x[r] < y[c] if i == j else x[r] != y[c]
+                r, c, value = r[keep], c[keep], value[keep]
+                swap = pa.array(x[r] > y[c])
+                one, two = left[0].take(pa.array(r)), right[0].take(pa.array(c))
+                out.append(pa.table([pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.array(value)], schema=empty))
+        found = pa.concat_tables([empty.empty_table(), *out])
+        return found.sort_by([("score", "descending"), ("a", "ascending"), ("b", "ascending")]).slice(0, max_pairs) if max_pairs else found
+
+    found = dealt.withColumn("at", F.explode(pair)).select("id", "embedding", "own", "at.i", "at.j").groupBy("i", "j").applyInArrow(run, schema)
     return found.orderBy(F.desc("score"), "a", "b").limit(max_pairs) if max_pairs else found
 
 
+def near_band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, tables: int = 8, seed: int = 7) -> DataFrame:
+    """(a, b, score) as band_join gives them, of the pairs that random projections bring together: for unit vectors too many to compare all.
+
+    Unit vectors with an inner product of lo lie sqrt(2 - 2 lo) apart; candidates within that distance come from
+    `tables` hash tables and are scored exactly. Pairs may be missing, none is wrong. Vectors shorter
+    than the longest pair with nothing; otherwise rows as in band_join.
+    """
+    reach = math.sqrt(max(0.0, 2 - 2 * lo)) + 1e-9
+    rows = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    # Spark may filter after the conversion, which must hold for every row
+    whole = F.when(F.size("embedding") == width, F.col("embedding").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width))
+    rows = rows.where(F.size("embedding") == width).withColumn("features", array_to_vector(whole))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=max(reach, 1e-3), numHashTables=tables, seed=seed).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, reach, "distance").where("datasetA.id < datasetB.id")
+    scored = score_pairs(pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.embedding").alias("x"), F.col("datasetB.embedding").alias("y")), "x", "y")
+    return scored.where(F.col("score").between(lo, hi)).select("a", "b", "score")
+
+
 def label_pairs(pairs: DataFrame, responses: DataFrame, batch: int = 10, min_confidence: float = 0.3) -> DataFrame:
     """Ranked pairs (rank from 0) with the labels given for them (batch, index, label, confidence); blank or unsure ones go."""
     placed = pairs.withColumn("batch", F.floor(F.col("rank") / batch).cast("long")).withColumn("index", (F.col("rank") % batch).cast("long"))

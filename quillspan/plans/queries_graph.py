@@ -47,7 +47,7 @@ _BAND = f"""SELECT a.id AS a, b.id AS b, round({_DOT.format('a.embedding', 'b.em
 
 @register.add("v5_band_join", "vectors", oracle=_BAND)
 def band(vectors):
-    return V.band_join(vectors, 0.3, 0.9, blocks=4).withColumn("score", F.round("score", 6))
+    return V.band_join(vectors, 0.3, 0.9).withColumn("score", F.round("score", 6))
 
 
 @register.add("v6_labels", "vectors", oracle=f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) - 1 AS rank FROM ({_BAND}) QUALIFY rank < 80)
@@ -55,7 +55,7 @@ def band(vectors):
 def labels(vectors):
     from pyspark.sql import Window
 
-    pairs = V.band_join(vectors, 0.3, 0.9, max_pairs=80, blocks=4)
+    pairs = V.band_join(vectors, 0.3, 0.9, max_pairs=80)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 6)), "a", "b")) - 1)
     grid = ranked.select(F.floor(F.col("rank") / 10).cast("long").alias("batch"), (F.col("rank") % 10).cast("long").alias("index")).distinct()
     responses = grid.select("batch", "index", F.expr("CASE WHEN index = 3 THEN ' ' ELSE 'Label ' || batch END").alias("label"), F.expr("CASE WHEN index < 7 THEN 0.5D ELSE 0.1D END").alias("confidence"))

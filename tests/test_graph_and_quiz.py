@@ -1,6 +1,7 @@
 """Graph, retrieval and quiz operators on small literal tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import graph_build as B
@@ -176,3 +177,62 @@ def test_topk_keeps_lengths_and_near_ties_and_closure_tells_its_bound(spark):
     assert G.closure(chain, roots, max_depth=4).count() == 4
     with pytest.raises(ValueError):
         G.closure(chain, roots, max_depth=3)
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_topk_and_band_join_with_text_ids_and_empty_parts(spark, monkeypatch, limit):
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(V, "PART_VECTORS", 4)
+    monkeypatch.setattr(V, "ROWS_AT_ONCE", 2)
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i:02d}", [float(x) for x in rng.normal(size=4)]) for i in range(20)] + [("v00copy", None), ("short", [1.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    rows.append(("twin", rows[3][1]))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        corpus = spark.createDataFrame(rows, "id string, embedding array<double>")
+        asked = corpus.withColumnRenamed("id", "query_id").where("query_id IS NOT NULL")
+        sound = [(i, np.array(v)) for i, v in rows if i and v and len(v) == 4]
+        want = {q: sorted((-round(float(v @ w), 9), i) for i, w in sound)[:3] for q, v in sound} | {"short": [(-1.0, "short")]}
+        got = {}
+        for r in V.topk(corpus, asked, 3, limit).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], -round(r.score, 9), r.id))
+        assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == want
+        assert V.topk(corpus, asked.limit(0), 3, limit).collect() == V.topk(corpus.limit(0), asked, 3, limit).collect() == []
+        pairs = {(r.a, r.b) for r in V.band_join(corpus, 0.5, 9.0).collect()}
+        assert pairs == {(i, j) for i, v in sound for j, w in sound if i < j and 0.5 <= v @ w <= 9.0}
+        assert V.band_join(corpus.limit(0)).collect() == []
+        unit = corpus.where("size(embedding) = 4").withColumn("embedding", F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y))))
+        exact, near = ({(r.a, r.b) for r in found.collect()} for found in (V.band_join(unit, 0.7, 1.1), V.near_band_join(unit, 0.7, 1.1)))
+        assert near <= exact and len(near) >= 0.9 * len(exact)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_anchors_in_pools_out_of_pools_and_without_pools(spark):
+    """By brute force: hits of the pool by seq, others by score, nodes outside only where the pool is short, with a boost."""
+    rng = np.random.default_rng(8)
+    unit = lambda: [float(x) for x in (lambda v: v / np.linalg.norm(v))(rng.normal(size=3))]
+    names = ["cell", "Cell Wall", "", "gene", "RNA", "protein fold", "lipid", "enzyme", "acid", "base"]
+    nodes = [(f"n{i}", "content", name, [" Mito ", "", "x" * 40] if i == 6 else None, i * 7 % 10, unit()) for i, name in enumerate(names)]
+    queries = [(1, "the CELL wall and mito", unit()), (2, "rna", unit()), (3, None, unit()), (4, "enzyme acid base gene", unit()), (5, "Protein Fold", unit())]
+    pool = [(1, n) for n in ("n0", "n4", "n5", "n6", "n7")] + [(2, "n3"), (4, "n7"), (4, "n8"), (4, "gone"), (5, "n1"), (5, "n5")]
+    df = spark.createDataFrame(nodes, "key string, node_type string, name string, key_terms array<string>, seq int, embedding array<double>")
+    asked = spark.createDataFrame(queries, "query_id int, text string, embedding array<double>")
+
+    def brute(pools, k=3, boost=0.15):
+        out = set()
+        for q, text, v in queries:
+            own = {n for i, n in pools if i == q} & {n[0] for n in nodes} or {n[0] for n in nodes}
+            rows = []
+            for key, _, name, terms, seq, w in nodes:
+                low = (text or "").lower()
+                hit = bool(text) and any(x and x in low for x in [name.lower(), *(t.strip().lower() for t in terms or [])])
+                if key in own or len(own) < k:
+                    first = key in own and hit
+                    rows.append((not first, seq if first else 0, -round(float(np.dot(v, w)) + (boost if hit and key not in own else 0), 9), key))
+            out |= {(q, r[3], k + 1) for k, r in enumerate(sorted(rows)[:k])}
+        return out
+
+    for pools in ([], pool):
+        table = spark.createDataFrame(pools, "query_id int, node string") if pools else None
+        assert {tuple(r) for r in G.anchors(asked, df, table).collect()} == brute(pools)
