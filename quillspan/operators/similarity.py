@@ -112,14 +112,16 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int
     else:
         blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-held.count() // PART_VECTORS))
         every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        # new names, as both sides may come from one table
+        held = held.select(F.col("id").alias("vector_id"), F.col("embedding").alias("vector"))
         left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", every(parts))
-        right = held.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", every(blocks))
+        right = held.withColumn("part", F.pmod(F.xxhash64("vector_id"), F.lit(parts))).withColumn("block", every(blocks))
         empty = spark.createDataFrame([], schema).toArrow().schema
 
         def meet(queries_: pa.Table, vectors: pa.Table) -> pa.Table:
             if not queries_.num_rows or not vectors.num_rows:
                 return empty.empty_table()
-            batches = _hits(_flat(queries_["query_id"]), _flat(queries_["embedding"]), _flat(vectors["id"]), _flat(vectors["embedding"]), k)
+            batches = _hits(_flat(queries_["query_id"]), _flat(queries_["embedding"]), _flat(vectors["vector_id"]), _flat(vectors["vector"]), k)
             return pa.Table.from_batches(batches, empty)
 
         found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, schema)
