@@ -8,18 +8,56 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, strings, text_slices
+from quillspan.llm._common import file_bytes, text_slices
+from quillspan.llm.mph import MinimalPerfectHash
 
-#: Entries of the broadcast tier, of each partition's summary, and of a worker's cache.
-FREQUENT, CACHED, CACHED_CHARS = 32_768, 600_000, 64
+#: Entries of the broadcast tier and of each partition's summary.
+FREQUENT = 32_768
+#: Bytes of pre-tokens and lengths that a worker remembers, what an entry takes beside its text, and the longest remembered.
+CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 48 << 20, 160, 64
+#: Bytes of text that a task holds as pre-tokens at a time.
+SLICE = 1_000_000
 #: Words that the library encodes in one call.
 TOGETHER = 64
 _workers: dict[int, PieceCounter] = {}
 
 
+class LengthTable:
+    """Lengths of pre-tokens without an object for each: a perfect hash over them, and in the order of its slots their UTF-8
+    bytes behind one another, where each ends, and their lengths. A pre-token is found only if its bytes are there."""
+
+    def __init__(self, tokens: list[str], lengths: list[int]):
+        raw = [x.encode() for x in tokens]
+        keys = self._keys(raw)
+        _, alone, n = np.unique(keys, return_index=True, return_counts=True)
+        alone = alone[n == 1]  # tokens whose 64-bit hashes agree are left to the library
+        self.slots = MinimalPerfectHash.build(keys[alone])
+        order = np.empty(len(alone), np.int64)
+        order[self.slots.slots(keys[alone])] = alone
+        self.text = b"".join(raw[i] for i in order)
+        self.ends = np.cumsum([0, *(len(raw[i]) for i in order)]).astype(np.uint32)
+        self.lengths = np.array([lengths[i] for i in order], np.uint16)
+
+    @staticmethod
+    def _keys(raw: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+
+    def find(self, tokens: list[str]) -> dict[str, int]:
+        """Of tokens those in the table, with their lengths."""
+        if not tokens or not len(self.lengths):
+            return {}
+        raw = [x.encode() for x in tokens]
+        at = self.slots.slots(self._keys(raw))
+        known = np.flatnonzero(at >= 0)
+        place = at[known]
+        first, last, length = self.ends[place].tolist(), self.ends[place + 1].tolist(), self.lengths[place].tolist()
+        return {tokens[i]: n for i, a, b, n in zip(known.tolist(), first, last, length, strict=True) if self.text[a:b] == raw[i]}
+
+
 class PieceCounter:
     """Counts tokens as a sentencepiece model gives them, one pre-token at a time.
 
@@ -39,14 +77,9 @@ class PieceCounter:
         free = plain and proto.trainer_spec.model_type == 2 and not any(x.type == 4 for x in proto.pieces) and not any("▁" in x.lstrip("▁") or "\n" in x and len(x) > 1 for x in pieces)
         self.cut = re.compile(r" *[^ \n]+|\n[^ \n]*| +").findall if free else None
         self.opens = np.array([x.startswith("▁") for x in pieces])
-        self.known: dict[str, int] = {}
+        self.table: LengthTable | None = None
         self.cache: dict[str, int] = {}
-
-    def learn(self, tokens: str, lengths: list[int]) -> None:
-        """Take the broadcast table, unless this worker has it."""
-        if len(lengths) != len(self.known):
-            self.known = dict(zip(tokens.split("\0"), lengths, strict=False))
-            self.cache = self.known | self.cache
+        self.cache_bytes = 0
 
     def pre_tokens(self, text: str) -> list[str]:
         return self.cut(" " + text.replace("▁", " ")) if text else []
@@ -71,19 +104,25 @@ class PieceCounter:
         return [found[x] for x in tokens]
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: known lengths first, then this worker's cache, then the library for all misses at once."""
+        """Tokens of each text. What this worker remembers needs no look-up; of the rest the table gives what it has, the library all misses at once."""
         if self.cut is None:
             return [len(x) for x in self.library.encode(texts)]
         parts = [self.pre_tokens(x) for x in texts]
         cache = self.cache
-        if len(cache) > CACHED:
-            cache = self.cache = dict(self.known)
+        if self.cache_bytes > CACHE_BYTES:
+            cache.clear()
+            self.cache_bytes = 0
         fresh = list(set().union(*parts).difference(cache))
-        cache.update(zip(fresh, self.lengths(fresh), strict=True))
+        found = self.table.find(fresh) if self.table else {}
+        missed = [x for x in fresh if x not in found]
+        cache.update(found)
+        cache.update(zip(missed, self.lengths(missed), strict=True))
         counts = [sum(map(cache.__getitem__, own)) for own in parts]
         for x in fresh:
             if len(x) > CACHED_CHARS:
                 del cache[x]
+            else:
+                self.cache_bytes += ENTRY_BYTES + len(x)
         return counts
 
 
@@ -124,10 +163,11 @@ def frequent_pre_tokens(docs: DataFrame, model: bytes, text_col: str = "text", m
     def summarise(batches):
         counts, own = Counter(), _worker(key, shared.value)
         for batch in batches:
-            for text in strings(batch.column(0)):
-                counts.update(x for x in own.pre_tokens(text) if len(x) <= CACHED_CHARS and "\0" not in x)
-                if len(counts) > 8 * most:
-                    counts = _pruned(counts, most)
+            for _, texts in text_slices(batch.column(0), SLICE):
+                for text in texts:
+                    counts.update(x for x in own.pre_tokens(text) if len(x) <= CACHED_CHARS and "\0" not in x)
+                    if len(counts) > 8 * most:
+                        counts = _pruned(counts, most)
         yield pa.RecordBatch.from_arrays([pa.array([_packed(_pruned(counts, most))], pa.binary())], ["summary"])
 
     def merge(pdf):
@@ -147,9 +187,9 @@ def frequent_pre_tokens(docs: DataFrame, model: bytes, text_col: str = "text", m
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id_col, n_bytes, n_tokens, as the sentencepiece model gives them.
 
-    Tier one is a broadcast table of the lengths of the corpus's frequent pre-tokens (at most FREQUENT entries whatever
-    the corpus); what it misses is encoded by the library and remembered by the worker. Documents stay where they were
-    read. The tiers only save time: any table gives the same counts.
+    Tier one is a broadcast LengthTable of the corpus's frequent pre-tokens (at most FREQUENT entries of at most
+    CACHED_CHARS characters whatever the corpus); what it misses is encoded by the library. The worker remembers both.
+    Documents stay where they were read. The tiers only save time: any table gives the same counts.
 
     Null texts count as empty and have no tokens; texts of any length are counted whole, in memory for one text. Null
     ids and repeated rows pass through; an empty table gives no rows. Other columns are not read.
@@ -157,13 +197,13 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     spark, model = docs.sparkSession, file_bytes(model_path)
     key, own = zlib.crc32(model), PieceCounter(model)
     frequent = list(frequent_pre_tokens(docs, model, text_col)) if own.cut else []
-    shared = spark.sparkContext.broadcast((model, "\0".join(frequent), own.lengths(frequent)))
+    shared = spark.sparkContext.broadcast((model, LengthTable(frequent, own.lengths(frequent))))
 
     def run(batches):
         own = _worker(key, shared.value[0])
-        own.learn(shared.value[1], shared.value[2])
+        own.table = shared.value[1]
         for batch in batches:
-            for start, texts in text_slices(batch.column(1)):
+            for start, texts in text_slices(batch.column(1), SLICE):
                 sizes = [len(x.encode()) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(own.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
