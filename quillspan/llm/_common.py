@@ -17,12 +17,14 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, that driver and executors share.
+    """The folder named in spark.checkpoint.dir, that driver and executors share, else the session's checkpoint folder.
 
-    Where the setting is empty, as in tests on one machine, a temporary folder is set as checkpoint folder.
+    Where neither is set a local master gets a temporary folder; on a cluster, whose machines don't share one, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,6 +46,15 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(hadoop).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,18 +64,25 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of consecutive items that are about `limit` large together; an item of any size has a place."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = min(len(sizes), int(np.searchsorted(ends, before + limit)) + 1)
+        yield start, stop
+        start = stop
+
+
 def text_slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of consecutive texts of about `limit` bytes of an Arrow column: (index of the first, the texts, null as empty).
 
     Only one run's texts are Python strings at a time.
     """
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(column):
-        before = ends[start - 1] if start else 0
-        stop = min(len(column), int(np.searchsorted(ends, before + limit)) + 1)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, stop in runs(sizes, limit):
         yield start, strings(column.slice(start, stop - start))
-        start = stop
 
 
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

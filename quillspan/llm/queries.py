@@ -68,8 +68,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    decoded = bpe.bpe_decode(bpe.bpe_encode(read_table(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
+    return bpe.bpe_encode(read_table(spark, sf_dir, "documents"), path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

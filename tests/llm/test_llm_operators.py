@@ -26,6 +26,7 @@ LINE = "This very line is repeated in many documents"
 def awkward(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns whose names results use."""
     rows = [(1, None), (2, ""), (3, LONG), (4, "Same Text"), (5, "same text"), (5, "same text"), (None, "same text"), (6, f"{LINE}\nfirst\n{LINE.upper()}  "), (7, f" {LINE}\n\nsecond"), (8, f"third\n{LINE}"), (9, "a b"), (10, "É a<|endoftext|>\tb  c ▁ 漢字 don't '")]
+    rows += [(11, "a\r\n b\tc\t\t d   \n\n   e\r"), (12, "<|endoftext|>"), (13, "   \n  x <s></s> <unk> \n"), (14, "\ufeff\u00a0 e\u0301 \x00 z")]
     return spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], DOCS)
 
 
@@ -105,6 +106,15 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(empty(spark), path).collect() == []
 
 
+def test_length_table_finds_what_it_holds_and_nothing_else(monkeypatch):
+    tokens = [f" w{i}" for i in range(3000)] + ["é", "", "\n"]
+    table = token_counts.LengthTable(tokens, list(range(len(tokens))))
+    assert table.find([*tokens, "w1", "other"]) == {x: i for i, x in enumerate(tokens)}
+    assert token_counts.LengthTable([], []).find(["a"]) == {} and table.find([]) == {}
+    monkeypatch.setattr(token_counts.xxhash, "xxh3_64_intdigest", len)
+    assert token_counts.LengthTable(["ab", "cd", "e"], [1, 2, 3]).find(["ab", "cd", "e", "x"]) == {"e": 3}
+
+
 def test_frequent_summary_holds_every_frequent_token(spark):
     docs = spark.createDataFrame([(i, "the cat " * 20 + f"rare{i}") for i in range(300)], "doc_id long, text string")
     with open(queries.tokenizer_path("piece_bpe_32k.model"), "rb") as file:
@@ -112,16 +122,24 @@ def test_frequent_summary_holds_every_frequent_token(spark):
     assert {" the", " cat"} <= set(found) and len(found) <= 8
 
 
-def test_bpe_equals_the_library_and_decodes_back(spark):
+def test_bpe_equals_the_library_and_decodes_back(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text"))
     texts = [r.text or "" for r in docs.collect()]
-    want = Counter((tuple(library.encode(t, add_special_tokens=False).ids), t) for t in texts)
-    got = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
-    assert Counter((tuple(r.ids), r.decoded) for r in got.collect()) == want
+    ids = [tuple(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    want = Counter((i, library.decode(list(i), skip_special_tokens=False)) for i in ids)
+    for got in (bpe.bpe_decode(bpe.bpe_encode(docs, path), path), bpe.bpe_encode(docs, path, decoded=True)):
+        assert Counter((tuple(r.ids), r.decoded) for r in got.collect()) == want
+    for size in (200, 0):  # caches and slices of any size give the same
+        monkeypatch.setattr(bpe, "CACHE_BYTES", size)
+        monkeypatch.setattr(bpe, "SLICE", 5_000)
+        own, found = bpe.ByteBpe(bpe.file_bytes(path)), []
+        for _ in range(2):
+            found = [tuple(np.frombuffer(x, "<u4").tolist()) for t in texts for x in own.encode([t])]
+        assert found == ids
     assert bpe.bpe_encode(empty(spark), path).collect() == []
     odd = spark.createDataFrame([(1, None), (2, [None, 999_999]), (3, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in bpe.bpe_decode(odd, path).orderBy("doc_id").collect()] == ["", "", ""]
