@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import ASCII_SPACE, carried, shuffle_partitions, spool, text_slices, uncarried
+from quillspan.llm._common import ASCII_SPACE, carried, open_store, runs, scratch_path, shuffle_partitions, spool, text_slices, uncarried
 from quillspan.llm.mph import MinimalPerfectHash
 
-#: Keys a shard holds on average, and the index size up to which every task probes all shards by itself.
-SHARD_KEYS, BROADCAST_BYTES = 200_000, 48 << 20
-#: A line found in more than 1 / HOT_SHARE of the rows is hot; at most HOT_SHARE times a document's lines can be.
-HOT_SHARE = 512
+#: Keys a shard holds on average, and bytes of shards that a worker keeps open.
+SHARD_KEYS, CACHE_BYTES = 200_000, 64 << 20
+#: Bytes of text that a task holds as lines at a time.
+SLICE = 2_000_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -34,13 +37,6 @@ def _hashes(lines: list[str], min_chars: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(k) if k is not None else bytes(16) for k in keys]), np.uint64).reshape(-1, 2)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches in parts of about 2 MB of text, with their texts."""
-    for batch in batches:
-        for start, texts in text_slices(batch.column(1), 2_000_000):
-            yield batch.slice(start, len(texts)), texts
-
-
 def _distinct(batch: pa.RecordBatch, texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and the two words of each line key, once a row."""
     ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
@@ -50,175 +46,176 @@ def _distinct(batch: pa.RecordBatch, texts: list[str], min_chars: int) -> tuple[
     return np.repeat(np.array(ids, np.int64), [len(x) for x in own]), flat
 
 
-class Shards:
-    """The index in memory: for each shard its perfect hash and the arrays that its slots index."""
+def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> bytes:
+    """One shard: a perfect hash over the first words of keys, whose slots index the second words (the fingerprints), counts and
+    keepers. Keys whose first words agree share no perfect hash: all but one of them follow in a list of their own."""
+    _, first = np.unique(h1, return_index=True)
+    rest = np.setdiff1d(np.arange(len(h1)), first)
+    mph = MinimalPerfectHash.build(h1[first].view(np.uint64))
+    slot = mph.slots(h1[first].view(np.uint64))
+    arrays = np.empty((3, len(first)), np.int64)
+    for array, column in zip(arrays, (h2, counts, keepers), strict=True):
+        array[slot] = column[first]
+    clashes = np.stack([x[rest] for x in (h1, h2, counts, keepers)], axis=1)
+    head = mph.to_bytes()
+    return np.array([len(first), len(rest), len(head)], np.int64).tobytes() + head + arrays.tobytes() + clashes.tobytes()
+
+
+class Shard:
+    """A shard's arrays, as they lie in its file."""
+
+    def __init__(self, data):
+        n, m, head = np.frombuffer(data, np.int64, 3).tolist()
+        self.mph = MinimalPerfectHash.from_bytes(memoryview(data)[24 : 24 + head])
+        self.prints, self.counts, self.keepers = np.frombuffer(data, np.int64, 3 * n, 24 + head).reshape(3, n)
+        self.clashes = {(a, b): (c, d) for a, b, c, d in np.frombuffer(data, np.int64, 4 * m, 24 + head + 24 * n).reshape(m, 4).tolist()}
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents with the line, and the id that keeps it; 0 documents for lines not indexed."""
+        counts, keepers = np.zeros(len(h1), np.int64), np.full(len(h1), NO_ID)
+        slot = self.mph.slots(h1.view(np.uint64))
+        hit = slot >= 0
+        hit[hit] = self.prints[slot[hit]] == h2[hit]
+        counts[hit], keepers[hit] = self.counts[slot[hit]], self.keepers[slot[hit]]
+        if self.clashes:
+            for i in np.flatnonzero(~hit).tolist():
+                counts[i], keepers[i] = self.clashes.get((int(h1[i]), int(h2[i])), (0, NO_ID))
+        return counts, keepers
+
 
-    def __init__(self, rows: list[tuple]):
-        self.shards = {}
-        for shard, mph, prints, counts, keepers in rows:
-            self.shards[shard] = (MinimalPerfectHash.from_bytes(mph), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(keepers, np.int64))
+class ShardFiles:
+    """The shards below a shared folder, opened when they are needed; those used last stay open, up to CACHE_BYTES.
 
-    def probe(self, shard: np.ndarray, key: np.ndarray, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents with the line, and the id that keeps it; 0 for lines not indexed."""
-        counts, keepers = np.zeros(len(key), np.int64), np.full(len(key), NO_ID)
+    A file on a mounted disk is mapped, so that only pages that are probed are read; of other stores a shard is read whole.
+    """
+
+    def __init__(self, folder: str, shards: int):
+        self.store, self.base = open_store(folder)
+        self.shards, self.open, self.held = shards, OrderedDict(), 0
+
+    def _load(self, shard: int) -> tuple[Shard | None, int]:
+        path = shard_path(self.base, shard)
+        size = self.store.get_file_info(path).size
+        if size is None:  # no key falls there
+            return None, 0
+        if self.store.type_name == "local":
+            return Shard(pa.memory_map(path).read_buffer()), size
+        with self.store.open_input_file(path) as file:
+            return Shard(file.read_buffer()), size
+
+    def _shard(self, shard: int) -> Shard | None:
+        if shard in self.open:
+            self.open.move_to_end(shard)
+        else:
+            self.open[shard] = self._load(shard)
+            self.held += self.open[shard][1]
+            while self.held > CACHE_BYTES and len(self.open) > 1:
+                self.held -= self.open.popitem(last=False)[1][1]
+        return self.open[shard][0]
+
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of lines (two words each, both zero for a line without a key) what their shards hold; each shard is opened once."""
+        counts, keepers = np.zeros(len(h), np.int64), np.full(len(h), NO_ID)
+        asked = np.flatnonzero((h != 0).any(axis=1))
+        shard = h[asked, 1] % self.shards
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for at in np.split(order, cuts) if len(order) else []:
-            found = self.shards.get(int(shard[at[0]]))
-            if found is None or not len(found[1]):
-                continue
-            mph, prints, n, keep = found
-            slot = mph.slots(key[at])
-            hit = (slot >= 0) & (prints[slot] == print_[at])
-            counts[at[hit]], keepers[at[hit]] = n[slot[hit]], keep[slot[hit]]
+        asked, shard = asked[order], shard[order]
+        for at in np.split(asked, np.flatnonzero(np.diff(shard)) + 1) if len(asked) else []:
+            found = self._shard(int(h[at[0], 1] % self.shards))
+            if found is not None:
+                counts[at], keepers[at] = found.probe(h[at, 0], h[at, 1])
         return counts, keepers
 
 
-def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = pdf["h1"].to_numpy(np.int64).view(np.uint64)
-    # two lines whose first words agree can't share a perfect hash; the odds are one in 10^19 a pair
-    mph = MinimalPerfectHash.build(keys)
-    slot = mph.slots(keys)
-    arrays = [np.empty(len(keys), t) for t in (np.int64, np.int64, np.int64)]
-    for array, column in zip(arrays, ("h2", "n_docs", "keeper"), strict=True):
-        array[slot] = pdf[column].to_numpy(np.int64)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "mph": [mph.to_bytes()], "prints": [arrays[0].tobytes()], "counts": [arrays[1].tobytes()], "keepers": [arrays[2].tobytes()]})
+def shard_path(folder: str, shard: int) -> str:
+    return f"{folder}/{shard % 1000:03d}/{shard}.shard"
 
 
-def line_index(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, int]:
-    """The index as a table, a row a shard, and the number of shards.
+def line_index(docs: DataFrame, folder: str, min_docs: int, min_chars: int) -> int:
+    """Write the index of docs (id, text) below `folder`, a file a shard; the number of shards.
 
-    It holds every distinct line key found in at least min_docs rows. Lines are counted by hash before the shuffle;
-    a row counts a line once. Shards hold about SHARD_KEYS keys each, whatever the corpus.
+    It holds every distinct line key found in at least min_docs documents. Lines are counted by hash before the shuffle;
+    a row counts a line once, and rows that share an id count it once together. Shards hold about SHARD_KEYS keys each,
+    whatever the corpus. A file depends on its keys alone and takes its name when it is whole, so a task may run again.
     """
-    spark = docs.sparkSession
 
     def lines(batches):
-        for batch, texts in _runs(batches):
-            ids, h = _distinct(batch, texts, min_chars)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "h1", "h2"])
-
-    counted = (
-        docs.mapInArrow(lines, "id long, h1 long, h2 long")
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-    )
+        for batch in batches:
+            for start, texts in text_slices(batch.column(1), SLICE):
+                ids, h = _distinct(batch.slice(start, len(texts)), texts, min_chars)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "h1", "h2"])
+
+    found = docs.mapInArrow(lines, "id long, h1 long, h2 long").withColumn("n", F.lit(1).cast("long"))
+    ids = docs.select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"))
+    again = spool(ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again")), "repeated-ids")
+    if not again.isEmpty():
+        marked = found.join(again, "id", "left").groupBy("h1", "h2", F.when(F.col("again"), F.col("id")).alias("own")).agg(F.sum("n").alias("n"), F.max("id").alias("id"))
+        found = marked.select("h1", "h2", "id", F.when(F.col("own").isNull(), F.col("n")).otherwise(1).alias("n"))
+    counted = found.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     kept = spool(counted, "line-counts")
     n = kept.count()
-    shards = max(1, -(-n // SHARD_KEYS), min(shuffle_partitions(spark), n // 2000))
-    table = kept.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")).groupBy("shard")
-    built = table.applyInPandas(_build_shard, "shard int, mph binary, prints binary, counts binary, keepers binary")
-    return spool(built, "line-index"), shards
+    shards = max(1, -(-n // SHARD_KEYS), min(shuffle_partitions(docs.sparkSession), n // 2000))
 
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, base = open_store(folder)
+        shard = int(pdf["shard"].iloc[0])
+        path = shard_path(base, shard)
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as file:
+            file.write(build_shard(*(pdf[c].to_numpy(np.int64) for c in ("h1", "h2", "n_docs", "keeper"))))
+        store.move(part, path)
+        return pd.DataFrame({"shard": [shard], "keys": [len(pdf)]})
 
-def _rebuilt(doc_id: int, text: str, lines: list[str], counts: np.ndarray, keepers: np.ndarray) -> tuple[str, int]:
-    drop = (counts > 0) & (keepers != doc_id)
-    n = int(drop.sum())
-    return ("\n".join([x for x, d in zip(lines, drop.tolist(), strict=True) if not d]) if n else text), n
+    table = kept.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("long")).groupBy("shard")
+    table.applyInPandas(write, "shard long, keys long").agg(F.sum("keys")).collect()
+    return shards
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+def _rebuilt(text: str, drop: list[bool]) -> str:
+    return "\n".join([x for x, d in zip(text.split("\n"), drop, strict=True) if not d])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of `docs`: id_col (long), text (without the dropped lines), n_lines, n_dropped, then `carry`.
 
     Texts are split at line feeds. Lines whose keys (see line_key) have at least min_chars code points and stand in at
-    least min_docs rows are dropped, except in the row with the largest id that holds them; other lines stay.
+    least min_docs documents are dropped, except in the document with the largest id that holds them; other lines stay.
 
-    Documents probe the index's arrays by their lines' hashes, and lines themselves are never shuffled. An index of up
-    to `broadcast_bytes`, as measured, goes to all tasks. A larger one stays in its shards: hashes of lines go there,
-    those of hot lines (at most HOT_SHARE times the lines of a document, so bounded) are looked up where they are, and
-    what was found comes back to the documents by id. Both ways give the same rows.
+    Lines are never joined nor sent to the index: documents stay where they are read, and a task probes the shards'
+    arrays, files in the shared folder, by the hashes of an Arrow batch's lines in order of shard. A worker keeps shards
+    of CACHE_BYTES at most, whatever the index. 128 bits of a line's hash decide.
 
-    Null texts count as empty, which is one empty line. A null id is below all others. Every row counts as a document:
-    rows that repeat an id count each, and all rows with the largest id keep the line. Texts of any length are split
-    whole. An empty table gives no rows. Columns in `carry` are passed on, but for names that the result uses itself;
-    others are not read.
+    Null texts count as empty, which is one empty line. Rows that share an id are one document, and so are rows without
+    one, whose id is below all others. Texts of any length are split whole. An empty table gives no rows. Columns in
+    `carry` are passed on, but for names that the result uses itself; others are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(carry, (id_col, "text", "n_lines", "n_dropped")))
-    own = ("id", "text", "n_lines", "n_dropped")
-    index, shards = line_index(rows.select("id", "text"), min_docs, min_chars)
-    sizes = index.agg(F.sum(sum(F.length(c) for c in ("mph", "prints", "counts", "keepers")))).first()[0] or 0
-    schema = f"id long, text string, n_lines long, n_dropped long, carried {rows.schema['carried'].dataType.simpleString()}"
-    if sizes <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in index.collect()])
-
-        def run(batches):
-            own = Shards(shared.value)
-            for batch, texts in _runs(batches):
-                ids = batch.column(0).to_pylist()
-                parts = [x.split("\n") for x in texts]
-                ends = np.cumsum([0, *map(len, parts)])
-                h = _hashes([y for x in parts for y in x], min_chars)
-                counts, keepers = own.probe((h[:, 1].view(np.int64) % shards), h[:, 0], h[:, 1])
-                blank = (h == 0).all(axis=1)
-                counts[blank] = 0
-                done = [_rebuilt(NO_ID if i is None else i, t, x, counts[a:b], keepers[a:b]) for i, t, x, a, b in zip(ids, texts, parts, ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x[1] for x in done], pa.int64()), batch.column(2)],
-                    ["id", "text", "n_lines", "n_dropped", "carried"],
-                )
-
-        found = rows.mapInArrow(run, schema)
-    else:
-        found = _sharded(rows, index, shards, min_chars, schema)
-    return uncarried(found.withColumnRenamed("id", id_col), id_col, *own[1:])
-
-
-def _sharded(rows: DataFrame, index: DataFrame, shards: int, min_chars: int, schema: str) -> DataFrame:
-    """Probe an index that is too large to send to every task."""
-    spark = rows.sparkSession
-    total = rows.count()
-
-    def hot(batches):
-        for batch in batches:
-            for shard, mph, prints, counts, keepers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(counts, np.int64)
-                at = np.flatnonzero(n * HOT_SHARE > total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(prints, np.int64)[at]), pa.array(n[at]), pa.array(np.frombuffer(keepers, np.int64)[at])], ["h2", "n", "keeper"])
-
-    hot_rows = {r["h2"]: (r["n"], r["keeper"]) for r in index.mapInArrow(hot, "h2 long, n long, keeper long").collect()}
-    shared = spark.sparkContext.broadcast(hot_rows)
-
-    def probes(batches):
-        known = np.array(sorted(shared.value), np.int64)
-        for batch, texts in _runs(batches):
-            ids, h = _distinct(batch, texts, min_chars)
-            cold = ~np.isin(h[:, 1], known)
-            ids, first, second = ids[cold], h[cold, 0], h[cold, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((second % shards).astype(np.int32)), pa.array(first), pa.array(second)], ["id", "shard", "h1", "h2"])
-
-    def probe(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left.iloc[:0][["id", "h2"]]
-        counts, keepers = Shards([tuple(x) for x in right[["shard", "mph", "prints", "counts", "keepers"]].itertuples(index=False)]).probe(
-            left["shard"].to_numpy(), left["h1"].to_numpy(np.int64).view(np.uint64), left["h2"].to_numpy(np.int64).view(np.uint64)
-        )
-        return left[(counts > 0) & (keepers != left["id"].to_numpy())][["id", "h2"]]
-
-    hits = (
-        rows.select("id", "text").mapInArrow(probes, "id long, shard int, h1 long, h2 long")
-        .groupBy("shard")
-        .cogroup(index.groupBy("shard"))
-        .applyInPandas(probe, "id long, h2 long")
-        .groupBy("id")
-        .agg(F.collect_set("h2").alias("drop"))
-    )
+    folder = scratch_path(docs.sparkSession, "line-index")
+    shards = line_index(rows.select("id", "text"), folder, min_docs, min_chars)
 
     def run(batches):
-        known = shared.value
-        for batch, texts in _runs(batches):
-            ids, drops = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            out, n_lines, n_dropped = [], [], []
-            for i, text, drop in zip(ids, texts, drops, strict=True):
-                lines = text.split("\n")
-                h = _hashes(lines, min_chars)
-                gone, own = set(drop or ()), NO_ID if i is None else i
-                kept = [x for x, a, b in zip(lines, h[:, 0].tolist(), h[:, 1].view(np.int64).tolist(), strict=True) if not (a or b) or not (b in gone or b in known and known[b][1] != own)]
-                out.append("\n".join(kept))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), batch.column(2)], ["id", "text", "n_lines", "n_dropped", "carried"])
-
-    joined = rows.join(hits.withColumnRenamed("id", "hit_id"), F.coalesce(F.col("id"), F.lit(int(NO_ID))) == F.col("hit_id"), "left").select("id", "text", "carried", "drop")
-    return joined.mapInArrow(run, schema)
+        index = ShardFiles(folder, shards)
+        for batch in batches:
+            found, n_lines = [], []
+            for _, texts in text_slices(batch.column(1), SLICE):
+                parts = [x.split("\n") for x in texts]
+                n_lines += map(len, parts)
+                found.append(_hashes([y for x in parts for y in x], min_chars).view(np.int64))
+            counts, keepers = index.probe(np.concatenate([*found, np.zeros((0, 2), np.int64)]))
+            ids = pc.fill_null(batch.column(0), int(NO_ID)).to_numpy()
+            drop = (counts > 0) & (keepers != np.repeat(ids, n_lines))
+            ends = np.cumsum([0, *n_lines])
+            n_dropped = np.diff(np.concatenate(([0], np.cumsum(drop)))[ends])
+            text = pc.fill_null(batch.column(1), "")
+            changed = n_dropped > 0
+            at = np.flatnonzero(changed).tolist()
+            if at:
+                new = [_rebuilt(text[i].as_py(), drop[ends[i] : ends[i + 1]].tolist()) for i in at]
+                text = pc.replace_with_mask(text, pa.array(changed), pa.array(new, text.type))
+            out = pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(n_lines, pa.int64()), pa.array(n_dropped.astype(np.int64)), batch.column(2)], ["id", "text", "n_lines", "n_dropped", "carried"])
+            for start, stop in runs(pc.binary_length(text).to_numpy(zero_copy_only=False), 2 * SLICE):
+                yield out.slice(start, stop - start)
+
+    done = rows.mapInArrow(run, f"id long, text string, n_lines long, n_dropped long, carried {rows.schema['carried'].dataType.simpleString()}")
+    return uncarried(done.withColumnRenamed("id", id_col), id_col, "text", "n_lines", "n_dropped")

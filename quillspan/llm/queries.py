@@ -27,9 +27,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+  SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split
+  SELECT doc_id, row_no, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
@@ -42,7 +42,7 @@ WITH split AS (
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY doc_id, row_no
 """
 
 

@@ -51,11 +51,11 @@ def test_perfect_hash_is_minimal_and_survives_a_round_trip():
 
 def brute_lines(rows, min_docs=3, min_chars=20):
     space = " \t\n\x0b\x0c\r"
-    holders = defaultdict(list)
-    for k, (i, text) in enumerate(rows):
+    holders = defaultdict(set)
+    for i, text in rows:
         for key in {fold(x.strip(space)) for x in (text or "").split("\n")}:
             if len(key) >= min_chars:
-                holders[key].append(-(10**18) if i is None else i)
+                holders[key].add(-(10**18) if i is None else i)
     out = []
     for i, text in rows:
         own = -(10**18) if i is None else i
@@ -65,19 +65,27 @@ def brute_lines(rows, min_docs=3, min_chars=20):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_line_dedup_both_ways(spark, limit):
-    docs = awkward(spark)
-    got = line_dedup.line_dedup(docs, broadcast_bytes=limit, carry=["id", "n_lines"])
+def test_line_dedup_by_brute_force(spark):
+    lines = [(20, f"{LINE}\nof one document, in two rows"), (20, f"{LINE}\nof one document, in two rows"), (21, "of one document, in two rows"), (None, f"{LINE}\nlines without any id at all"), (None, "lines without any id at all"), (22, "lines without any id at all")]
+    docs = awkward(spark).unionByName(spark.createDataFrame([(i, t, "clash", 7) for i, t in lines], DOCS))
+    got = line_dedup.line_dedup(docs, carry=["id", "n_lines"])
     assert got.columns == ["doc_id", "text", "n_lines", "n_dropped", "id"]
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == brute_lines([(r.doc_id, r.text) for r in docs.collect()])
-    assert line_dedup.line_dedup(empty(spark), broadcast_bytes=limit).collect() == []
+    assert line_dedup.line_dedup(empty(spark)).collect() == []
 
 
-def test_line_dedup_sharded_equals_broadcast_on_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    one, two = (Counter(map(tuple, line_dedup.line_dedup(docs, broadcast_bytes=b).collect())) for b in (1 << 30, 0))
-    assert one == two == brute_lines([(r.doc_id, r.text) for r in docs.collect()])
+def test_line_dedup_over_many_shards_and_a_small_cache(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    monkeypatch.setattr(line_dedup, "CACHE_BYTES", 3_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(i, "\n".join(f"the line of number {k}, often" for k in range(i % 7, 300, 3))) for i in range(40)], "doc_id long, text string"))
+    assert Counter(map(tuple, line_dedup.line_dedup(docs).collect())) == brute_lines([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_shard_tells_clashing_hashes_apart():
+    h1, h2 = np.array([1, 1, 1, 2, 3]), np.array([10, 11, 12, 10, 13])
+    shard = line_dedup.Shard(line_dedup.build_shard(h1, h2, np.arange(3, 8), np.arange(30, 35)))
+    counts, keepers = shard.probe(np.array([1, 1, 1, 2, 3, 3, 4]), np.array([10, 11, 12, 10, 13, 10, 10]))
+    assert counts.tolist() == [3, 4, 5, 6, 7, 0, 0] and keepers[:5].tolist() == [30, 31, 32, 33, 34]
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
