@@ -63,6 +63,12 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(hadoop).delete(target, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, spooled, and marked for broadcast if it has no more than so many rows, as counted."""
+    df = spool(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

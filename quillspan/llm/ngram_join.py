@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import shuffle_partitions, spool, text_slices
+from quillspan.llm._common import broadcast_if_small, discard, shuffle_partitions, spool, text_slices
 from quillspan.llm.components import connected_components
 from quillspan.llm.mph import mix
 
@@ -18,9 +18,14 @@ from quillspan.llm.mph import mix
 HOT_DF, HOT_TOKENS = 32, 65_536
 #: Entries of a posting list, or of a part of one, that one task compares with one another.
 BLOCK = 2048
-SKETCH_BITS = 512
-#: Bits of the bitmap that picks documents for verification.
-FILTER_BITS = 1 << 24
+#: Bits of the short sketches, as so many 64-bit words.
+SKETCH_BITS, SKETCH_WORDS = 512, 8
+#: Bits of the bitmap that picks documents for verification, and how many documents it is used for.
+FILTER_BITS, FILTER_NODES = 1 << 24, 1 << 20
+#: Members of a prefix that go to one place when what is known of its group is looked up.
+CHUNK = 256
+#: Pairs with one and the same set that go to one place, and members of a group that are compared with one of it.
+HUB = 1024
 CACHED = 200_000
 #: Bytes of text that a task holds as words at a time.
 SLICE = 2_000_000
@@ -114,17 +119,23 @@ def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.
     return tokens[order], np.array([r["n"] for r in found], np.int64)[order]
 
 
+def _words(name: str, make=F.col) -> list:
+    return [make(f"{name}{k}") for k in range(SKETCH_WORDS)]
+
+
 def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """(id, n, key, prefix, sketch, wide): size, 128-bit hash of the set, first members in the common order, two sketches."""
+    """(id, n, key, group_key, prefix, s0 .. s7, wide): size, 128-bit hashes of the set and of prefix and size, first members in
+    the common order, two sketches (the short one as longs)."""
     tokens, counts = hot_tokens(docs, words, numer, denom)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
+    names = ["id", "n", "key", "group_key", "prefix", *_words("s", str), "wide"]
 
     def run(batches):
         hot, df = shared.value
         hashes = WordHashes()
         for batch in batches:
             for start, texts in text_slices(batch.column(1), SLICE):
-                n, key, prefix, short, wide = [], [], [], [], []
+                n, key, group_key, prefix, short, wide = [], [], [], [], [], []
                 for own in shingle_sets(texts, words, hashes):
                     first = own
                     if len(hot) and len(own):
@@ -132,19 +143,36 @@ def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame
                         is_hot = hot[at] == own
                         if is_hot.any():
                             first = own[np.argsort(np.where(is_hot, df[at], 0), kind="stable")]
+                    head = first[: prefix_length(len(own), numer, denom)].tobytes() if len(own) else b""
                     n.append(len(own))
                     key.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    prefix.append(first[: prefix_length(len(own), numer, denom)].tobytes() if len(own) else b"")
+                    group_key.append(xxhash.xxh3_128_digest(head, seed=len(own)))
+                    prefix.append(head)
                     short.append(sketch(own, SKETCH_BITS))
                     wide.append(sketch(own, wide_bits(len(own))))
-                columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, prefix, short, wide))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "prefix", "sketch", "wide"])
+                bits = np.frombuffer(b"".join(short), np.int64).reshape(-1, SKETCH_WORDS)
+                columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, group_key, prefix)), *(pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS)), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "id long, n long, key binary, prefix binary, sketch binary, wide binary")
+    return docs.mapInArrow(run, "id long, n long, key binary, group_key binary, prefix binary, " + ", ".join(_words("s", lambda c: f"{c} long")) + ", wide binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(token, df, pos, node, n, group_id, sketch): members of prefixes that two sets or more have there."""
+def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of classes (node, n, group_key, prefix, s0 .. s7): sets with the same prefix and size are one group.
+
+    groups: gid (its smallest node), n, size, prefix, the bits that all (a0 ..) and that any (o0 ..) of its members'
+    sketches have. members: node, gid, n, s0 .. s7. Both spooled. Members are counted before the shuffle; a group of any
+    size is a row.
+    """
+    bits = [f(c).alias(name + c[1:]) for f, name in ((F.bit_and, "a"), (F.bit_or, "o")) for c in _words("s", str)]
+    groups = spool(classes.groupBy("group_key").agg(F.min("node").alias("gid"), F.max("node").alias("last"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.first("prefix").alias("prefix"), *bits), "groups")
+    many = broadcast_if_small(groups.where("size > 1").select("group_key", "gid"))
+    members = classes.join(many, "group_key", "left").select("node", F.coalesce("gid", "node").alias("gid"), "n", *_words("s"))
+    return groups.drop("group_key"), spool(members, "members")
+
+
+def _postings(groups: DataFrame) -> DataFrame:
+    """(token, df, pos, gid): members of prefixes that two groups or more have there."""
 
     def run(batches):
         for batch in batches:
@@ -152,36 +180,36 @@ def _postings(classes: DataFrame) -> DataFrame:
             size = [len(x) for x in prefixes]
             flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
             pos = np.concatenate([*(np.arange(k) for k in size), np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(pos), batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))], ["token", "pos", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(pos), batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))], ["token", "pos", "gid"])
 
-    entries = classes.select("node", "prefix").mapInArrow(run, "token long, pos long, node long")
+    entries = groups.select("gid", "prefix").mapInArrow(run, "token long, pos long, gid long")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return entries.join(shared, "token").join(classes.select("node", "n", F.xxhash64("prefix", "n").alias("group_id"), "sketch"), "node")
+    return entries.join(shared, "token")
 
 
 def _pairs_of(table: pa.Table, numer: int, denom: int, every: bool, turn: int) -> pa.Table:
-    """Candidate pairs (a < b) of different components within each token's list.
+    """Candidate pairs (a < b) of groups within each token's list, but those whose members all are of one component.
 
-    Sets with the same prefix and size are one group: pairs of groups whose sizes or positions rule the similarity out
-    are dropped first, then their members are compared by sketch. `every` gives all candidates, otherwise each set's
-    best in an order dealt anew each turn. Pairs come as (a, b, token), b the one earlier in that order.
+    Sizes, positions and the bits that all or no members' sketches have rule pairs out. `every` gives all candidates,
+    otherwise each group's best in an order dealt anew each turn. Pairs come as (a, b, token), b the one earlier in that
+    order.
     """
     order = np.lexsort((table["n"].to_numpy(), table["token"].to_numpy()))
-    token, n, pos, node, comp, group, part = (table[c].to_numpy()[order] for c in ("token", "n", "pos", "node", "component", "group_id", "part"))
+    token, n, pos, node, low, high, part = (table[c].to_numpy()[order] for c in ("token", "n", "pos", "gid", "low", "high", "part"))
     two = table["i"][0].as_py() != table["j"][0].as_py()
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
+    all_, any_ = (np.stack([table[c].to_numpy()[order] for c in _words(x, str)], axis=1) for x in "ao")
     deal = mix(node.astype(np.int64).view(np.uint64), turn)
     out_a, out_b, out_token = [], [], []
 
     def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = n[x], n[y]
-        ok = (comp[x] != comp[y]) & (node[x] != node[y]) & (denom * small >= numer * large)
+        ok = (np.minimum(low[x], low[y]) != np.maximum(high[x], high[y])) & (node[x] != node[y]) & (denom * small >= numer * large)
         if two:
             ok &= part[x] != part[y]
         bound = np.minimum(pos[x], pos[y]) + 1 + np.minimum(small - pos[x], large - pos[y]) - 1
-        ok &= (group[x] == group[y]) | ((numer + denom) * bound >= numer * (small + large))
+        ok &= (numer + denom) * bound >= numer * (small + large)
         x, y = x[ok], y[ok]
-        differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(((all_[x] & ~any_[y]) | (all_[y] & ~any_[x])).view(np.uint64)).sum(axis=1, dtype=np.int64)
         ok = differ * (numer + denom) <= (n[x] + n[y]) * (denom - numer)
         return x[ok], y[ok]
 
@@ -221,40 +249,87 @@ def _pairs_of(table: pa.Table, numer: int, denom: int, every: bool, turn: int) -
     return pa.table(dict(zip(("a", "b", "token"), found, strict=True))).group_by(["a", "b", "token"]).aggregate([])
 
 
-def _candidates(postings: DataFrame, components: DataFrame | None, numer: int, denom: int, every: bool, turn: int, buckets: int) -> DataFrame:
-    if components is None:
-        lists = postings.withColumn("component", F.col("node"))
-    else:
-        lists = postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+def _candidates(postings: DataFrame, groups: DataFrame, spans: DataFrame | None, numer: int, denom: int, every: bool, turn: int, buckets: int) -> DataFrame:
+    """(a, b, token): candidate pairs of groups. spans (gid, low, high): the smallest and largest component of a group's members."""
+    state = groups.drop("prefix", "size")
+    state = state.withColumn("low", F.col("gid")).withColumnRenamed("last", "high") if spans is None else state.drop("last").join(spans, "gid")
+    # what is known of a group goes to its prefix in chunks, so that a long text's prefix has no place of its own
+    last = F.expr(f"(n + ((-{numer} * n) DIV {denom})) DIV {CHUNK}")
+    state = state.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    lists = postings.withColumn("chunk", F.expr(f"pos DIV {CHUNK}")).join(state, ["gid", "chunk"])
+    if spans is not None:
+        mixed = lists.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
         lists = lists.join(mixed.select("token"), "token")
     parts = F.ceil(F.col("df") / BLOCK).cast("long")
-    lists = lists.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
     # a list of up to BLOCK entries lies in a bucket with others; a longer one is dealt as pairs of its parts
     own = F.when(parts == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
     )
     dealt = lists.withColumn("bucket", F.when(parts == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.col("token"))).withColumn("at", F.explode(own))
-    dealt = dealt.select("bucket", "at.i", "at.j", "token", "n", "pos", "node", "component", "group_id", "part", "sketch")
+    dealt = dealt.select("bucket", "at.i", "at.j", "token", "n", "pos", "gid", "low", "high", "part", *_words("a"), *_words("o"))
     return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: _pairs_of(table, numer, denom, every, turn), "a long, b long, token long")
 
 
 def _best(found: DataFrame, turn: int) -> DataFrame:
-    """Of the candidates of each class from all its lists a few, in one order for all classes, so that many choose the same."""
+    """Of the candidates of each group from all its lists a few, in one order for all groups, so that many choose the same."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)), "b"))
     return found.select("a", "b").distinct().withColumn("rank", rank).where(F.col("rank") <= BEST).drop("rank")
 
 
-def _filtered(pairs: DataFrame, test, values: DataFrame, value: str) -> DataFrame:
-    """Pairs (a, b) for which test(value of a, value of b) holds; `values` has a row for each node."""
+def _expanded(pairs: DataFrame, members: DataFrame, numer: int, denom: int, every: bool, turn: int) -> DataFrame:
+    """(a, b): pairs of members of different components, for pairs of groups (a, b) and within groups, that sketches don't rule out.
+
+    members: node, gid, n, component, s0 .. s7. With `every` all of them. Otherwise each member meets one of the other
+    group; within its group one among HUB members or so, and those meet one for all.
+    """
+    x, y = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", "gid", "n", "component", *_words("s", str)))) for side in "xy")
+    if every:
+        split = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gid")
+        inner = members.join(split, "gid", "left_semi")
+        x_in = inner.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
+        within = x_in.join(y, (F.col("x_gid") == F.col("y_gid")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")))
+        between = pairs.join(x, F.col("a") == F.col("x_gid")).join(y, F.col("b") == F.col("y_gid"))
+        met = within.select(*x.columns, *y.columns).unionByName(between.select(*x.columns, *y.columns))
+    else:
+        turned = F.struct(F.xxhash64("y_node", F.lit(turn)), F.struct(*y.columns))
+        one = y.groupBy("y_gid").agg(F.min(turned).alias("one"), F.count(F.lit(1)).alias("size"))
+        pick = lambda rows: rows.select("*", "one.col2.*").drop("one")
+        heads = pick(one.withColumnRenamed("y_gid", "at"))
+        between = pairs.join(x, F.col("a") == F.col("x_gid")).join(heads, F.col("b") == F.col("at"))
+        large = broadcast_if_small(heads.where("size > 1").select(F.col("at").alias("gid"), F.ceil(F.col("size") / HUB).cast("long").alias("salts")))
+        salted = members.join(large, "gid").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("salts")))
+        x_in = salted.select("salt", *(F.col(c).alias(f"x_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
+        y_in = salted.select("salt", *(F.col(c).alias(f"y_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
+        some = pick(y_in.groupBy(F.col("y_gid").alias("at"), "salt").agg(F.min(turned).alias("one")))
+        own = x_in.join(some, (F.col("x_gid") == F.col("at")) & (x_in["salt"] == some["salt"]))
+        tops = some.select("at", *(F.col(c).alias("x" + c[1:]) for c in y.columns)).join(heads.where("size > 1"), "at")
+        met = between.select(*x.columns, *y.columns).unionByName(own.select(*x.columns, *y.columns)).unionByName(tops.select(*x.columns, *y.columns))
+    differ = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    near = (F.col("x_component") != F.col("y_component")) & (differ * (numer + denom) <= (F.col("x_n") + F.col("y_n")) * (denom - numer)) & (F.least("x_n", "y_n") * denom >= F.greatest("x_n", "y_n") * numer)
+    return met.where(near).select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
+def _with_value(pairs: DataFrame, key: str, values: DataFrame, name: str) -> DataFrame:
+    """`pairs` with the value (node, value) of their column `key` as `name`; the pairs of a hub are dealt in parts of about HUB."""
+    hubs = broadcast_if_small(pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("long").alias("_parts")).where("_parts > 1"))
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(1).cast("long")))
+    dealt = pairs.join(hubs, key, "left").withColumn("_part", part).drop("_parts")
+    held = values.select(F.col("node").alias(key), F.col("value").alias(name)).join(hubs, key, "left")
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))).drop("_parts")
+    return dealt.join(held, [key, "_part"]).drop("_part")
+
+
+def _filtered(pairs: DataFrame, test, values: DataFrame) -> DataFrame:
+    """Pairs (a, b) for which test(value of a, value of b) holds; `values` (node, value) has a row for each node."""
 
     def run(batches):
         for batch in batches:
-            keep = pa.array([test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array([test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left, right = values.select(F.col("node").alias("a"), F.col(value).alias("left")), values.select(F.col("node").alias("b"), F.col(value).alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    both = _with_value(_with_value(pairs, "a", values, "left"), "b", values, "right")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -268,10 +343,26 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, members): whole sets of the documents in `nodes`, and of the few others that the bitmap lets pass.
+    """(node, value): whole sets of the documents in `nodes`, and of the few others that a bitmap lets pass.
 
-    The bitmap has a fixed size and goes to all tasks, so that texts are neither shuffled nor all split.
+    For up to FILTER_NODES nodes a bitmap of fixed size goes to all tasks, so that texts are neither shuffled nor all
+    split. For more it would let most texts pass, so they are joined with the nodes.
     """
+    schema = "node long, value binary"
+
+    def sets(batch: pa.RecordBatch, hashes: WordHashes):
+        for start, texts in text_slices(batch.column(1), SLICE):
+            found = [x.tobytes() for x in shingle_sets(texts, words, hashes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["node", "value"])
+
+    if nodes.count() > FILTER_NODES:
+
+        def every(batches):
+            hashes = WordHashes()
+            for batch in batches:
+                yield from sets(batch, hashes)
+
+        return docs.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "text").mapInArrow(every, schema)
     shared = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
     marked = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"bit{k}") for k in (1, 2)))
 
@@ -280,18 +371,15 @@ def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
             ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
-            kept = batch.filter(pa.array(ok))
-            for start, texts in text_slices(kept.column(1), SLICE):
-                sets = [x.tobytes() for x in shingle_sets(texts, words, hashes)]
-                yield pa.RecordBatch.from_arrays([kept.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["node", "members"])
+            yield from sets(batch.filter(pa.array(ok)), hashes)
 
-    return marked.mapInArrow(run, "node long, members binary")
+    return marked.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """The pairs whose whole sets are as similar as numer / denom. Wide sketches, a thirtieth of the sets' size, go first."""
+    """The pairs whose whole sets are as similar as numer / denom; spooled. Wide sketches, a thirtieth of the sets' size, go first."""
 
-    def may(a: tuple, b: tuple) -> bool:
+    def may(a: dict, b: dict) -> bool:
         return sketches_differ(a["wide"], b["wide"]) * (numer + denom) <= (a["n"] + b["n"]) * (denom - numer)
 
     def alike(a: bytes, b: bytes) -> bool:
@@ -300,22 +388,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, nu
         common = int(np.count_nonzero(both[1:] == both[:-1]))
         return denom * common >= numer * (len(x) + len(y) - common)
 
-    near = spool(_filtered(pairs, may, wide.select("node", F.struct("wide", "n").alias("value")), "value"), "near-pairs")
+    pairs = spool(pairs, "member-pairs")
+    near = spool(_filtered(pairs, may, wide.select("node", F.struct("wide", "n").alias("value"))), "near-pairs")
     nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    return spool(_filtered(near, alike, spool(_members(docs, nodes, words), "sets"), "members"), "links")
+    sets = spool(_members(docs, nodes, words), "sets")
+    links = spool(_filtered(near, alike, sets), "links")
+    discard(pairs, near, sets)
+    return links
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numer: int = 80, denom: int = 100) -> DataFrame:
     """One row for each row of `docs`: id_col (long), n_shingles, component_id.
 
     Two documents link when denom * intersection >= numer * union of their sets of word shingles. component_id is the
-    smallest id reachable by links. Equal sets are one class. Classes whose prefixes share a member are candidates:
-    members are ordered by how many prefixes hold them, lists are compared in blocks of bounded size, and pairs that
-    size, position or sketch rule out go no further. Whole sets verify the rest.
+    smallest id reachable by links. Equal sets are one class. Classes with the same prefix and size are one group, and
+    groups whose prefixes share a member are candidates: members are ordered by how many prefixes hold them, lists are
+    compared in blocks of bounded size, and pairs of groups that size, position or sketches rule out go no further.
+    Pairs that are left expand to pairs of members, which sketches sift again; whole sets verify the rest.
 
-    Links are found in turns, so that a group of near copies doesn't give all its pairs: first each class proposes one
-    candidate a list, links are verified and their components merged, then again in another order, and at last all
-    candidates between different components are verified. No link between different components is lost.
+    Links are found in turns, so that a dense family of near copies doesn't give all its pairs: first each group
+    proposes a few others and its members one each, links are verified and their components merged, then again in
+    another order, and at last all candidates between different components are verified. No link between different
+    components is lost. Sets just below the threshold to many others are all verified, pair by pair.
 
     Texts that are null or have no words have no shingles and link with nothing. A row without an id links with
     nothing and has no component. Where an id repeats, its rows' sets link as one document's if it is the smallest id of
@@ -324,24 +418,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = spool(signatures(rows, words, numer, denom), "signatures")
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    classes = spool(classes, "classes")
-    postings = spool(_postings(classes), "postings")
+    same = [F.first(c).alias(c) for c in ("n", "group_key", "prefix", *_words("s", str))]
+    classes = spool(signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *same), "classes")
+    groups, members = grouped(classes)
+    postings = spool(_postings(groups), "postings")
     buckets = max(shuffle_partitions(spark) * 2, postings.count() // 50_000)
 
-    raw = spool(_candidates(postings, None, numer, denom, False, 1, buckets), "pairs")
-    # a list or node without a candidate now has none later: what may pass doesn't change
-    active = raw.select(F.col("a").alias("node")).union(raw.select(F.col("b").alias("node"))).distinct()
-    wide = spool(signed.select(F.col("id").alias("node"), "n", "wide").join(active, "node", "left_semi"), "wide")
-    components = connected_components(_verified(_best(raw, 1), rows, wide, words, numer, denom))
-    postings = spool(postings.join(raw.select("token").distinct(), "token", "left_semi").join(active, "node", "left_semi"), "postings")
+    raw = spool(_candidates(postings, groups, None, numer, denom, False, 1, buckets), "pairs")
+    # a list or group without a candidate now has none later: what may pass doesn't change
+    active = raw.select(F.col("a").alias("gid")).union(raw.select(F.col("b").alias("gid"))).distinct()
+    own = spool(members.join(active.union(groups.where("size > 1").select("gid")).distinct(), "gid", "left_semi"), "active-members")
+    wide = spool(signed.select(F.col("id").alias("node"), "n", "wide").join(own.select("node"), "node", "left_semi"), "wide")
+    lists = spool(postings.join(raw.select("token").distinct(), "token", "left_semi").join(broadcast_if_small(active), "gid", "left_semi"), "postings")
+    links = _verified(_expanded(_best(raw, 1), own.withColumn("component", F.col("node")), numer, denom, False, 1), rows, wide, words, numer, denom)
+    discard(raw, postings)
+    components = connected_components(links)
     for turn, every in ((2, False), (3, True)):
-        more = spool(_candidates(postings, components, numer, denom, every, turn, buckets), "pairs")
-        new = _verified(more.select("a", "b").distinct() if every else _best(more, turn), rows, wide, words, numer, denom)
+        placed = spool(own.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "active-members")
+        spans = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        more = spool(_candidates(lists, groups, spans, numer, denom, every, turn, buckets), "pairs")
+        chosen = more.select("a", "b").distinct() if every else _best(more, turn)
+        new = _verified(_expanded(chosen, placed, numer, denom, every, turn), rows, wide, words, numer, denom)
+        discard(more, placed)
         if new.isEmpty():
             continue
         # components so far are links to their smallest nodes
         components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+    discard(lists, wide, own)
     found = classes.select("key", "node").join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return (
         signed.select("id", "n", "key")
