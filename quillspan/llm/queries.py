@@ -83,36 +83,34 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document beside an edited form: its last quarter gives way to the beginning of the next document.
 
-    Texts are shuffled by id once, for the documents and for their successors alike; of a successor only the beginning
-    that is needed and its signatures go on. Repeated ids give a row for each of the next document's rows.
-
-    near_group is the smallest id among a document's near copies in the whole table; near_edited and near_next are given
-    whole, also where they are below the similarity of near copies.
+    Texts are shuffled once, into ranges of ids, and their signatures are worked out once. near_group is the smallest id
+    among a document's near copies in the whole table; near_edited and near_next are given whole, also where they are
+    below the similarity of near copies. Rows that repeat an id are documents of their own.
     """
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = spotsigs.next_ids(docs, "id", F.length("text")).withColumnRenamed("carried_0", "n_chars")
-    own = docs.join(order.select(F.col("id").alias("own_id")), F.col("id").eqNullSafe(F.col("own_id"))).select("own_id", "text")
-    wanted = order.select(F.col("id").alias("prior_id"), "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
-    following = docs.join(wanted, F.col("id").eqNullSafe(F.col("next_id"))).select(
-        "prior_id", F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("head"), spotsigs.signatures(F.col("text")).alias("next_set")
-    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return edited_fingerprints(spotsigs.with_next(docs, "doc_id", ["text"], {"own": spotsigs.signatures(F.col("text"))}))
+
+
+def edited_fingerprints(pairs: DataFrame) -> DataFrame:
+    """The rows of op6_spotsigs, of (doc_id, text, own, following (text, own))."""
     n = F.length("text")
-    both = own.join(following, F.col("own_id").eqNullSafe(F.col("prior_id"))).select(
-        "own_id", n.alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head").alias("edited"), "next_set"
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("following.text"), F.lit(1), cut))
+    sets = pairs.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "own", spotsigs.signatures(edited).alias("edited"), F.col("following.own").alias("next")
     )
-    groups = spotsigs.near_groups(docs.select("id", spotsigs.signatures(F.col("text")).alias("signatures")))
-    both = both.join(groups, F.col("own_id").eqNullSafe(F.col("id")))
-    sets = both.select(
-        "own_id", "near_group", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("own_set"), spotsigs.signatures(F.col("edited")).alias("edited_set"), "next_set"
+    rows = spotsigs.set_rows(
+        sets.select("doc_id", "n_chars", "edited_sha256", "own", "edited", spotsigs.likeness(F.col("own"), F.col("edited")).alias("near_edited"), spotsigs.likeness(F.col("own"), F.col("next")).alias("near_next")), "doc_id", "own"
     )
-    return sets.select(
-        F.col("own_id").alias("doc_id"),
-        F.col("n_chars").cast("long").alias("n_chars"),
+    groups = spotsigs.near_groups(rows)
+    return rows.join(groups, "row_no").select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
         "edited_sha256",
-        spotsigs.fingerprint(F.col("own_set")).alias("fingerprint"),
-        spotsigs.fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
-        spotsigs.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+        spotsigs.fingerprint(F.col("signatures")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
         "near_group",
     )
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import spool, text_of
+from quillspan.llm._common import discard, shuffle_partitions, spool, text_of
 from quillspan.llm.components import connected_components
 
 #: Sets at least so similar are near copies.
-LEAST = 0.5
+LEAST = 0.8
 #: Entries of a signature's list, or of a part of one, that are compared with one another in one place.
 BLOCK = 2048
 #: Sets from which frequent signatures are counted, and how many of those come last in the common order, by tiers.
@@ -39,7 +39,7 @@ def tokens(text: Column) -> Column:
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2) -> Column:
-    """The distinct signatures of a text as an ascending array of int; null counts as empty and has none.
+    """The distinct signatures of a text as an ascending array of long (64-bit hashes); null counts as empty and has none.
 
     Wherever an anchor comes right before a content word, the anchor and the next `chain` content words make one;
     chains pass over other anchors, and are shorter at the end of the text.
@@ -52,7 +52,7 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
     def of_content(content: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
             following = [F.get(content, i + k)["word"] for k in range(1, chain)]
-            return F.when(s["before"].isin(*anchors), F.hash(s["before"], s["word"], *following))
+            return F.when(s["before"].isin(*anchors), F.xxhash64(s["before"], s["word"], *following))
 
         return F.filter(F.transform(content, one), lambda x: x.isNotNull())
 
@@ -60,8 +60,8 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
 
 
 def fingerprint(signature_set: Column) -> Column:
-    """Eight hex digits for each signature."""
-    return F.array_join(F.transform(signature_set, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")), "")
+    """Sixteen hex digits for each signature."""
+    return F.array_join(F.transform(signature_set, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def length_class(size: Column, least: float) -> Column:
@@ -70,7 +70,7 @@ def length_class(size: Column, least: float) -> Column:
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two signature sets, 1 for two empty ones; below `least` it may be 0.
+    """Jaccard similarity of two signature sets, 1 for two empty ones, null if either is null; below `least` it may be 0.
 
     Sets are told apart by their lengths first: only if those allow `least` are their members intersected.
     """
@@ -80,7 +80,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     if least <= 0:
         return exact
     far = F.abs(length_class(F.size(a), least) - length_class(F.size(b), least)) >= 2
-    return F.when((large > 0) & (far | (small / large < least)), 0.0).otherwise(exact)
+    return F.when((large > 0) & (far | (small / F.greatest(large, F.lit(1)) < least)), 0.0).otherwise(exact)
 
 
 def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,11 +92,20 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col), signatures(F.col(text_col).cast("string")).alias("signatures")).withColumn("fingerprint", fingerprint(F.col("signatures")))
 
 
-def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`sets` (id, signatures) with a 128-bit hash of the set, and its distinct sets (node, signatures, k1, k2); both spooled."""
-    keyed = spool(sets.select("id", "signatures", F.xxhash64(F.lit(1), "signatures").alias("k1"), F.xxhash64(F.lit(2), "signatures").alias("k2")), "sets")
-    classes = keyed.where(F.size("signatures") > 0).groupBy("k1", "k2").agg(F.first("signatures").alias("signatures"))
-    return keyed, spool(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+def set_rows(sets: DataFrame, id_col: str = "id", set_col: str = "signatures") -> DataFrame:
+    """`sets` with a number for each row, row_no, and a 128-bit hash of its set, k1 and k2; spooled, so that numbers stay."""
+    hashed = sets.withColumns({"row_no": F.monotonically_increasing_id(), "k1": F.xxhash64(F.lit(1), set_col), "k2": F.xxhash64(F.lit(2), set_col)})
+    return spool(hashed.withColumnsRenamed({id_col: "id", set_col: "signatures"}), "sets")
+
+
+def set_classes(rows: DataFrame) -> DataFrame:
+    """(node, k1, k2): of `rows` those with equal sets as one, by its smallest row_no; empty sets are left out. No set is shuffled."""
+    return spool(rows.where(F.size("signatures") > 0).groupBy("k1", "k2").agg(F.min("row_no").alias("node")), "classes")
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, signatures) of the rows that `nodes` (node) names."""
+    return rows.select(F.col("row_no").alias("node"), "signatures").join(nodes.select("node"), "node", "left_semi")
 
 
 def _first_members(n: Column, share: Column | float) -> Column:
@@ -104,13 +113,14 @@ def _first_members(n: Column, share: Column | float) -> Column:
     return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
 
 
-def _postings(classes: DataFrame, least: float) -> DataFrame:
+def _postings(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(token, node, n, pos, df): the first members of each set, rare signatures first, that two sets or more have there.
 
     Which signatures count as frequent is told from at most about SAMPLED sets. It only sets the order of members,
     which may be any: it decides how long lists are, not what is found.
     """
-    some = classes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-classes.count() // SAMPLED)))) == 0).select(F.explode("signatures").alias("token"))
+    sets = _sets_of(rows, classes)
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-classes.count() // SAMPLED)))) == 0).select(F.explode("signatures").alias("token"))
     hot = [r["token"] for r in some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(TIERS[-1]).collect()]
 
     def placed(x: Column) -> Column:
@@ -119,7 +129,7 @@ def _postings(classes: DataFrame, least: float) -> DataFrame:
 
     n = F.size("signatures")
     first = F.slice(F.sort_array(F.transform("signatures", placed)), F.lit(1), _first_members(n, least))
-    entries = classes.select("node", n.alias("n"), F.posexplode(first)).select("col.token", "node", "n", "pos")
+    entries = sets.select("node", n.alias("n"), F.posexplode(first)).select("col.token", "node", "n", "pos")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return spool(entries.join(shared, "token"), "postings")
 
@@ -157,55 +167,73 @@ def _heads(postings: DataFrame, least: float) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", "best.b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of the pairs whose whole sets are as similar as `least`; spooled."""
-    x, y = classes.select(F.col("node").alias("a"), F.col("signatures").alias("x")), classes.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
-    return spool(pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).where(F.col("likeness") >= least), "links")
+def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of the pairs whose whole sets are as similar as `least`; spooled. Only sets of candidates are shuffled."""
+    pairs = spool(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = spool(_sets_of(rows, asked), "candidate-sets")
+    x, y = sets.select(F.col("node").alias("a"), F.col("signatures").alias("x")), sets.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
+    links = spool(pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).where(F.col("likeness") >= least), "links")
+    discard(pairs, sets)
+    return links
 
 
-def near_pairs(classes: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, likeness): every pair of `classes` (node, signatures: distinct, not empty sets) whose Jaccard similarity is at least `least`, once.
+def near_pairs(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, likeness): every pair of different sets of `rows` (as set_rows gives them) whose Jaccard similarity is at least `least`, once.
 
-    Exact. The result grows with the square of a group of near copies; near_groups does without all its pairs.
+    a and b are the smallest row_no of their sets; empty sets pair with nothing. Exact. The result grows with the square
+    of a group of near copies; near_groups does without all its pairs.
     """
-    return _verified(_candidates(_postings(classes, least), least), classes, least)
+    return _verified(_candidates(_postings(rows, set_classes(rows), least), least), rows, least)
 
 
-def near_groups(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(id, near_group) for each distinct id of `sets` (id, signatures): the smallest id reachable by near copies.
+def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """(row_no, near_group) for each of `rows` (as set_rows gives them): the smallest id reachable by near copies.
 
     Two sets link when their Jaccard similarity is at least `least`; equal sets are one. First each set is compared with
     one other, so that a large group is mostly joined; then all candidates between different components are, so no
-    link between components is lost. Sets without members link with nothing. Of an id that repeats the smallest group is
-    given; null ids are one row, whose group is null where no other id has one.
+    link between components is lost. Sets without members link with nothing: their group is their own id. A group
+    without any id has none.
     """
-    keyed, classes = set_classes(sets)
-    postings = _postings(classes, least)
-    links = _verified(_heads(postings, least), classes, least).select("a", "b")
-    more = _verified(_candidates(postings, least, connected_components(links)), classes, least).select("a", "b")
+    classes = set_classes(rows)
+    postings = _postings(rows, classes, least)
+    links = _verified(_heads(postings, least), rows, least).select("a", "b")
+    more = _verified(_candidates(postings, least, connected_components(links)), rows, least).select("a", "b")
     components = connected_components(links.unionByName(more))
-    placed = classes.select("k1", "k2", "node").join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    members = keyed.select("id", "k1", "k2").join(placed, ["k1", "k2"], "left").select("id", "component")
+    placed = classes.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    members = rows.select("row_no", "id", "k1", "k2").join(placed, ["k1", "k2"], "left").select("row_no", "id", "component")
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
-    found = members.join(smallest, "component", "left").select("id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
-    return spool(found.groupBy("id").agg(F.min("near_group").alias("near_group")), "near-groups")
+    found = members.join(smallest, "component", "left").select("row_no", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
+    found = spool(found, "near-groups")
+    discard(postings, classes)
+    return found
 
 
-def next_ids(docs: DataFrame, id_col: str, *carried: Column) -> DataFrame:
-    """(id, next_id, carried...): each id's successor in ascending order, the first after the last.
+def with_next(docs: DataFrame, id_col: str, carried: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """`docs` (id_col, `carried` and what is `derived` from these) with following: a struct of the same of the next row in order of id, the first row's after the last.
 
-    Ids are dealt by range and sorted within; a partition's last id goes on with the first id of the next one that has
-    any. That order is spooled once, so that all that follows sees the same. Only a row a partition meets in one task.
-    A null id comes before all others. An id that repeats counts once, with the largest of what is carried.
+    Rows go to ranges of ids once, and in front of a range's end stands the first row of the next range again, so that
+    each range knows all it needs; what is derived is worked out there, once a row. Ranges are told apart by their first ids, of which the driver holds a few for each
+    shuffle partition, whatever the table. Null ids come first. Rows that repeat an id follow one another in order of
+    what they carry. A single row follows itself.
     """
-    names = [f"carried_{k}" for k in range(len(carried))]
-    rows = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for c, n in zip(carried, names, strict=True))).groupBy("id").agg(*(F.max(n).alias(n) for n in names), F.count(F.lit(1)).alias("rows"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id())
-    ordered = spool(ordered.withColumn("range", F.shiftright("at", 33)).drop("rows"), "id-order")
-    ranges = ordered.groupBy("range").agg(F.min_by("id", "at").alias("first_id"))
-    whole = Window.orderBy("range")
-    after = ranges.select("range", F.lead(F.struct("first_id")).over(whole).alias("following"), F.first(F.struct("first_id")).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("very_first"))
-    after = after.select("range", F.coalesce("following", "very_first")["first_id"].alias("range_next"))
-    within = ordered.withColumn("following", F.lead(F.struct("id")).over(Window.partitionBy("range").orderBy("at")))
-    joined = within.join(F.broadcast(after), "range")
-    return joined.select("id", F.when(F.col("following").isNotNull(), F.col("following")["id"]).otherwise(F.col("range_next")).alias("next_id"), *names)
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("id"), *carried)
+    ranges = docs.select("id").repartitionByRange(4 * shuffle_partitions(spark), "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("first_id"), F.count_if(F.col("id").isNull()).alias("blank")).collect()
+    firsts, blank = sorted({r["first_id"] for r in ranges if r["first_id"] is not None}), any(r["blank"] for r in ranges)
+    kind = docs.schema["id"].dataType
+    if not firsts:
+        place, begins = F.lit(0), F.lit(True)
+    else:
+        table = F.array(*(F.lit(x).cast(kind) for x in firsts))
+        place = F.greatest(F.size(F.filter(table, lambda x: x <= F.col("id"))) - 1, F.lit(0))
+        begins = F.when(F.col("range") > 0, F.col("id") == F.get(table, F.col("range"))).otherwise(F.col("id").isNull() if blank else F.col("id") == F.get(table, F.lit(0)))
+    last = max(0, len(firsts) - 1)
+    before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.lit(last))
+    spot = lambda where, again: F.struct(where.alias("range"), F.lit(again).alias("again"))
+    spots = F.when(begins, F.array(spot(F.col("range"), False), spot(before, True))).otherwise(F.array(spot(F.col("range"), False)))
+    dealt = docs.withColumn("range", place).withColumn("spot", F.explode(spots)).select("id", *carried, "spot.range", "spot.again")
+    dealt = dealt.repartition("range").withColumns(derived or {})
+    known = [*carried, *(derived or {})]
+    order = Window.partitionBy("range").orderBy("again", F.asc_nulls_first("id"), *carried)
+    return dealt.withColumn("following", F.lead(F.struct(*known)).over(order)).where("NOT again").select(F.col("id").alias(id_col), *known, "following")

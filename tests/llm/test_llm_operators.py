@@ -206,21 +206,46 @@ def test_spotsigs_by_brute_force(spark):
         return len({(b, w, content[i + 1][0] if i + 1 < len(content) else None) for i, (w, b) in enumerate(content) if b in anchors})
 
     for r in docs.join(spotsigs.spot_fingerprints(docs.where("doc_id <> 5")), "doc_id").collect():
-        assert len(r.signatures) == signature_count(r.text) and len(r.fingerprint) == 8 * len(r.signatures)
+        assert len(r.signatures) == signature_count(r.text) and len(r.fingerprint) == 16 * len(r.signatures)
     near = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1], [1])], "a array<int>, b array<int>")
     assert [r[0] for r in near.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0, 1.0]
     assert [r[0] for r in near.select(spotsigs.likeness(F.col("a"), F.col("b"), 0.4)).collect()] == [0.5, 1.0, 0.0, 1.0]
 
 
 def test_spotsigs_query_edits_and_tells_apart(spark):
+    """Every value by brute force, from the signatures of whole texts."""
     got = {r.doc_id: r for r in queries.op6_spotsigs(spark, SF).collect()}
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    texts = {}
     for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
         n = len(text) // 4
-        assert got[i].edited_sha256 == sha(text[: len(text) - n] + following[:n])
+        texts |= {(i, "own"): text, (i, "edited"): text[: len(text) - n] + following[:n]}
+    made = spark.createDataFrame([(i, kind, x) for (i, kind), x in texts.items()], "doc_id long, kind string, text string")
+    sets = {(r.doc_id, r.kind): {x & (2**64 - 1) for x in r.signatures} for r in made.select("doc_id", "kind", spotsigs.signatures(F.col("text")).alias("signatures")).collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (i, text), (j, _) in zip(rows, rows[1:] + rows[:1], strict=True):
+        r, own = got[i], sets[i, "own"]
+        assert r.n_chars == len(text) and r.edited_sha256 == sha(texts[i, "edited"])
+        for value, held in ((r.fingerprint, own), (r.edited_fingerprint, sets[i, "edited"])):
+            assert sorted(int(value[k : k + 16], 16) for k in range(0, len(value), 16)) == sorted(held)
+        assert r.near_edited == pytest.approx(jaccard(own, sets[i, "edited"])) and r.near_next == pytest.approx(jaccard(own, sets[j, "own"]))
     assert np.median([r.near_edited for r in got.values()]) > 0.45 > 0.1 > np.median([r.near_next for r in got.values()])
 
 
+def test_spotsigs_rows_on_awkward_documents(spark):
+    def pairs(docs):
+        return spotsigs.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"], {"own": spotsigs.signatures(F.col("text"))})
+
+    rows = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in awkward(spark).collect()))
+    want = Counter((None if i < 0 else i, sha(t[: len(t) - len(t) // 4] + f[: len(t) // 4])) for (i, t), (_, f) in zip(rows, rows[1:] + rows[:1], strict=True))
+    assert Counter((r.doc_id, r.edited_sha256) for r in queries.edited_fingerprints(pairs(awkward(spark))).collect()) == want
+    assert queries.edited_fingerprints(pairs(empty(spark))).collect() == []
+    one = queries.edited_fingerprints(pairs(awkward(spark).where("doc_id = 9"))).collect()
+    assert [(r.doc_id, r.near_next, r.near_group) for r in one] == [(9, 1.0, 9)]
+    blank = queries.edited_fingerprints(pairs(awkward(spark).where("doc_id IS NULL"))).collect()
+    assert [(r.doc_id, r.near_next, r.near_group) for r in blank] == [(None, 1.0, None)]
+
+
 def brute_near(sets, least):
     """Pairs of ids whose sets are at least so similar, and the smallest id reachable by them."""
     links = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
@@ -243,14 +268,14 @@ def test_spotsigs_near_copies_of_a_table_by_brute_force(spark, monkeypatch, leas
     sets = {i: {int(x) for x in base if rng.random() < 0.9} | {int(x) for x in rng.integers(0, 1000, int(rng.integers(0, 9)))} for i in range(120)}
     sets |= {i: {int(x) for x in rng.integers(0, 60, int(rng.integers(1, 40)))} for i in range(120, 260)}
     sets |= {300: set(), 301: set(), 302: sets[200], 303: set(range(11)), 304: set(range(20))}
-    rows = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, signatures array<int>").repartition(5)
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, signatures array<long>").repartition(5)
     links, label = brute_near(sets, least)
-    keyed, classes = spotsigs.set_classes(rows)
-    first = {r.node: frozenset(r.signatures) for r in classes.collect()}
-    got = [frozenset((first[r.a], first[r.b])) for r in spotsigs.near_pairs(classes, least).collect()]
+    keyed = spotsigs.set_rows(rows)
+    held = {r.row_no: r for r in keyed.collect()}
+    got = [frozenset(frozenset(held[x].signatures) for x in (r.a, r.b)) for r in spotsigs.near_pairs(keyed, least).collect()]
     assert len(got) == len(set(got)) and set(got) == {frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in links if sets[a] != sets[b]}
-    assert {r.id: r.near_group for r in spotsigs.near_groups(rows, least).collect()} == label
-    assert spotsigs.near_groups(rows.limit(0), least).collect() == []
+    assert {held[r.row_no].id: r.near_group for r in spotsigs.near_groups(keyed, least).collect()} == label
+    assert spotsigs.near_groups(spotsigs.set_rows(rows.limit(0)), least).collect() == []
 
 
 def test_spotsigs_query_finds_near_copies_of_the_table(spark):
@@ -259,10 +284,13 @@ def test_spotsigs_query_finds_near_copies_of_the_table(spark):
     assert {r.doc_id: r.near_group for r in queries.op6_spotsigs(spark, SF).collect()} == brute_near(sets, spotsigs.LEAST)[1]
 
 
-def test_next_ids_wrap_around(spark):
-    rows = {r.id: r.next_id for r in spotsigs.next_ids(spark.range(0, 100, 7).withColumnRenamed("id", "k"), "k").collect()}
+def test_next_rows_wrap_around(spark):
+    docs = spark.range(0, 700, 7).withColumn("value", F.col("id") * 2)
+    rows = {r.id: r.following.value // 2 for r in spotsigs.with_next(docs, "id", ["value"]).collect()}
     ids = sorted(rows)
-    assert [rows[i] for i in ids] == ids[1:] + ids[:1]
+    assert len(ids) == 100 and [rows[i] for i in ids] == ids[1:] + ids[:1]
+    named = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4)], "id string, value int")
+    assert sorted((r.id or "", r.value, r.following.value) for r in spotsigs.with_next(named, "id", ["value"]).collect()) == [("", 3, 2), ("a", 2, 1), ("b", 1, 4), ("b", 4, 3)]
 
 
 def test_url_rules(spark):
@@ -329,11 +357,36 @@ def test_ngram_blocks_give_the_same(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" x{i % 50} y{i}") for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    monkeypatch.setattr(ngram_join, "HUB", 8)
+    monkeypatch.setattr(ngram_join, "FILTER_NODES", 10)
     monkeypatch.setattr(ngram_join, "HOT_DF", 5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, words=3, numer=90).collect()}
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_ngram_groups_collapse_members_and_pairs_of_groups_are_few(spark):
+    """60 sets in two groups that share their prefixes but for one member: one pair of groups stands for 900 pairs of sets."""
+    rng = np.random.default_rng(4)
+    prefix = np.sort(rng.integers(1, 2**40, 11))
+    rows = []
+    for i in range(60):
+        head = prefix if i < 30 else np.concatenate(([0], prefix[1:]))
+        own = np.concatenate((head, 2**40 + np.arange(88), [2**50 + i])).astype(np.uint64)
+        bits = np.frombuffer(ngram_join.sketch(own, ngram_join.SKETCH_BITS), np.int64).tolist()
+        rows.append((i, 100, bytes([i // 30]) * 16, head.astype(np.int64).tobytes(), *bits))
+    classes = spark.createDataFrame(rows, "node long, n long, group_key binary, prefix binary, " + ", ".join(f"s{k} long" for k in range(8)))
+    groups, members = ngram_join.grouped(classes)
+    assert sorted((r.gid, r["size"], r.last) for r in groups.collect()) == [(0, 30, 29), (30, 30, 59)] and members.where("gid = 0").count() == 30
+    pairs = ngram_join._candidates(ngram_join._postings(groups), groups, None, 90, 100, True, 1, 4).select("a", "b").distinct()
+    assert pairs.count() == 1
+    own = members.withColumn("component", F.col("node"))
+    few = ngram_join._expanded(pairs, own, 90, 100, False, 1).collect()
+    assert 59 <= len(few) <= 2 * 60 and {x for r in few for x in r} == set(range(60))
+    assert ngram_join._expanded(pairs, own, 90, 100, True, 3).count() == 60 * 59 // 2
+    assert ngram_join._expanded(pairs, own.withColumn("component", F.lit(0)), 90, 100, True, 3).count() == 0
+
+
 def test_ngram_on_awkward_rows(spark):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.ngram_components(awkward(spark)).collect())
     assert got[(None, None)] == 1 and got[(5, 4)] == 2 and got[(1, 1)] == got[(2, 2)] == 1
