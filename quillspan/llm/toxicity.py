@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm._common import carried, map_arrow, spool, strings, text_slices, uncarried
 
-#: Labelled rows that the model is fitted on, at most, and terms of the learned lexicon.
-SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE_ROWS = 20_000
 #: Chance that a term of no bearing enters the learned lexicon, over all terms.
 LEXICON_ERROR = 0.01
 CACHED = 150_000
@@ -117,6 +117,7 @@ def learned_lexicon(sample: DataFrame) -> list[str]:
 
     Equal texts count once. A term found in n texts, a share q of them toxic, against a base share p, has by Chernoff
     a chance of at most exp(-n KL(q, p)) to be so one-sided; this times the number of terms must be below LEXICON_ERROR.
+    All terms that pass are learned. `sample` has a bounded number of rows, and a term must stand in three of them.
     """
     texts = sample.groupBy("text").agg(F.max("label").alias("label"))
     total, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -134,7 +135,7 @@ def learned_lexicon(sample: DataFrame) -> list[str]:
     clean = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
     sure = terms.where("k >= 3").where(q > p).withColumn("gain", F.col("n") * (q * F.log(q / p) + clean)).where(q > 0.5)
     count = terms.count()
-    return [r["term"] for r in sure.where(F.col("gain") > math.log(max(count, 1) / LEXICON_ERROR)).orderBy(F.desc("gain"), "term").limit(LEXICON_TERMS).collect()]
+    return [r["term"] for r in sure.where(F.col("gain") > math.log(max(count, 1) / LEXICON_ERROR)).orderBy(F.desc("gain"), "term").collect()]
 
 
 class ToxicityModel:
@@ -164,7 +165,8 @@ def fit_toxicity(
     """Fit on at most `sample_rows` labelled rows, those with the smallest hash of their id; `usable` tells which labels may be used.
 
     Labels that are null or neither 0 nor 1, and those of ids without a document, are left out; of an id's several
-    labels the largest counts. A quarter of the sample, by another hash, is held from the trees and fits the curve.
+    labels the largest counts. A quarter of the sample, by another hash, is held from the lexicon and the trees, and fits
+    the curve; where it has fewer than five toxic rows, all rows do.
     """
     usable = F.lit(True) if usable is None else usable
     chosen = (
@@ -175,17 +177,19 @@ def fit_toxicity(
         .limit(sample_rows)
     )
     sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    sample = spool(sample, "toxicity-sample")
-    learned = learned_lexicon(sample)
-    rows = feature_rows(sample, learned, "id").drop("carried").join(F.broadcast(chosen), "id").withColumn("features", array_to_vector("features")).withColumn("curve", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0)
-    rows = spool(rows.coalesce(6), "toxicity-features")
+    sample = spool(sample.withColumn("curve", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0), "toxicity-sample")
+    learned = learned_lexicon(sample.where("NOT curve"))
+    rows = feature_rows(sample, learned, "id", carry=["label", "curve"]).select(array_to_vector("features").alias("features"), "carried.*")
+    rows = spool(rows, "toxicity-features")
     n = {(r["curve"], r["label"]): r["count"] for r in rows.groupBy("curve", "label").count().collect()}
     if not n.get((False, 0.0)) or not n.get((False, 1.0)):
         total = sum(n.values())
         return ToxicityModel(learned, constant=sum(k for (_, y), k in n.items() if y) / total if total else 0.0)
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=16, maxDepth=3, stepSize=0.3, seed=11).fit(rows.where("NOT curve"))
     held = _raw(trees.transform(rows.where("curve") if sum(k for (c, y), k in n.items() if c and y) >= 5 else rows))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held.select("raw", "label"))
+    # equal probabilities as one point with their mean, which is what the curve needs of them
+    points = held.groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(points)
     return ToxicityModel(learned, trees, curve)
 
 
