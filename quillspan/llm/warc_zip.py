@@ -23,8 +23,8 @@ LOCAL_FORM, CENTRAL_FORM, END_FORM, END64_FORM, LOCATOR64_FORM = "<IHHHHHIIIHH",
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes of an archive, about, after which its writer begins another.
-ARCHIVE_BYTES = 256 << 20
+#: Payload bytes of an archive, about, after which its writer begins another, and bytes of an archive that one task reads, about.
+ARCHIVE_BYTES, READ_BYTES = 256 << 20, 16 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -249,6 +249,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """(id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of indexed records, each read by its range.
 
+    Records are dealt by archive and place in it, so that many tasks read few archives.
+
     A response's payload is checked against its digest; a revisit's length and digest are those of the full payload,
     its own payload is null.
     """
@@ -272,7 +274,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    return index.mapInArrow(run, "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    dealt = index.repartition("path", F.expr(f"offset DIV {READ_BYTES}"))
+    return dealt.mapInArrow(run, "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
