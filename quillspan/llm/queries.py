@@ -138,7 +138,7 @@ best AS (
   GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.verdict, CASE WHEN regexp_matches(lower(p.host || p.path), '(^|[^a-z0-9])({"|".join(url_filter.SPAM_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(b.verdict, CASE WHEN {" OR ".join(f"regexp_matches(p.host || p.path, '{r.pattern}')" for r in url_filter.DEFAULT_RULES)} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b USING (page_id)
 """
 

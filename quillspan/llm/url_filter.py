@@ -16,13 +16,19 @@ from quillspan.llm._common import map_arrow, strings
 TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Words that mark a site as spam by themselves.
+#: What marks an address as one to leave out where no rule of the caller's fits: words anywhere, labels of hosts, last labels,
+#: directories, endings of files, and parts of queries that were put into paths.
 SPAM_WORDS = ("casino", "pills", "viagra", "cialis", "poker", "jackpot", "porn", "xxx", "escort", "spam", "warez", "payday", "replica")
+AD_LABELS = ("ads", "adserver", "adservice", "banners", "click", "popunder", "tracker", "tracking", "telemetry")
+DARK_ENDS = ("onion", "i2p", "exit", "invalid")
+PRIVATE_DIRECTORIES = ("cgi-bin", "wp-admin", "wp-login", "phpmyadmin", "admin", "checkout", "cart", "logout")
+BINARY_ENDINGS = ("exe", "msi", "apk", "dmg", "iso", "torrent", "bin", "dll", "jar")
 
 
 @dataclass(frozen=True)
 class UrlRule:
-    """A rule's regular expression is searched in host + path; `tokens` are literals that every match contains whole."""
+    """A rule's regular expression is searched in host + path (\\z stands for the end, as in SQL engines); `tokens` are literals
+    that every match contains whole: without other letters or digits of A-Z, a-z and 0-9 beside them."""
 
     name: str
     verdict: str
@@ -47,10 +53,23 @@ def host_rule(verdict: str, host: str, path: str) -> UrlRule:
 
 def word_rule(verdict: str, word: str) -> UrlRule:
     """A word that stands between separators anywhere in host or path."""
-    return UrlRule(f"*{word}*", verdict, rf"(?i)(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", (word,))
+    return UrlRule(f"*{word}*", verdict, rf"(?i)(\A|[^a-z0-9]){re.escape(word)}([^a-z0-9]|\z)", (word,))
 
 
-SPAM_RULES = tuple(word_rule("block", w) for w in SPAM_WORDS)
+def part_rule(verdict: str, kind: str, part: str) -> UrlRule:
+    """A label of a host, its last label, a directory or the ending of a path."""
+    literal = re.escape(part)
+    pattern = {"label": rf"\A([^/]*\.)?{literal}\.", "end": rf"\A[^/]*\.{literal}(/|\z)", "directory": rf"(?i)/{literal}(/|\z)", "ending": rf"(?i)\.{literal}\z"}[kind]
+    return UrlRule(f"{kind} {part}", verdict, pattern, tuple(TOKEN.findall(part)))
+
+
+#: An address of numbers in place of a name has no literal, so this rule is looked at for every url.
+NUMERIC_HOST = UrlRule("numeric host", "block", r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?(/|\z)", ())
+DEFAULT_RULES = (
+    *(word_rule("block", w) for w in SPAM_WORDS),
+    *(part_rule("block", kind, x) for kind, parts in (("label", AD_LABELS), ("end", DARK_ENDS), ("directory", PRIVATE_DIRECTORIES), ("ending", BINARY_ENDINGS)) for x in parts),
+    NUMERIC_HOST,
+)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -82,7 +101,7 @@ def index_rules(rules: Sequence[UrlRule], counts: dict[str, int]) -> dict[str |
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url", default_rules: Sequence[UrlRule] = SPAM_RULES, default: str = "allow"
+    pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url", default_rules: Sequence[UrlRule] = DEFAULT_RULES, default: str = "allow"
 ) -> DataFrame:
     """One row for each row of `pages`: id_col, host, path, rule, verdict.
 
@@ -106,7 +125,7 @@ def filter_urls(
             for token in {None, *TOKEN.findall(whole.lower())}:
                 for i in index.get(token, ()):
                     rule = both[i]
-                    pattern = compiled.get(i) or compiled.setdefault(i, re.compile(rule.pattern))
+                    pattern = compiled.get(i) or compiled.setdefault(i, re.compile(rule.pattern.replace(r"\z", r"\Z")))
                     if not pattern.search(whole):
                         continue
                     if i >= len(rules):

@@ -103,6 +103,12 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_dedup(empty(spark)).collect() == []
 
 
+def test_exact_dedup_keeps_texts_apart_whose_hashes_agree(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_hash", lambda data: bytes([len(data) % 3]) * 16)
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "ABC"), (4, "abcdef"), (5, "")], "doc_id long, text string"))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got.collect()} == {(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1), (5, 5, 1)}
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
@@ -304,6 +310,21 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).collect() == []
 
 
+def test_url_index_loses_no_default_rule(spark):
+    """Every default rule against every url, one by one, on urls made of what the rules look for; long, repeated and clashing rows too."""
+    parts = [*url_filter.SPAM_WORDS, *url_filter.AD_LABELS, *url_filter.DARK_ENDS, *url_filter.PRIVATE_DIRECTORIES, *url_filter.BINARY_ENDINGS, "12.3.4.5", "ok", "Ads", "CGI-BIN", "x.EXE", "adsx", "é"]
+    rng = np.random.default_rng(2)
+    pick = lambda: parts[rng.integers(len(parts))]
+    urls = [f"http://{pick()}.{pick()}/{pick()}/{pick()}" for _ in range(300)] + [f"http://a.net/{p}" for p in parts] + [f"http://{p}/" for p in parts] + ["http://b.net/" + "x/" * 200_000 + "a.exe", "http://b.net/a.exe\n"] + ["http://click.me.com/"] * 3
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+
+    def judged(url):
+        whole = "".join(url_filter.split_url(url))
+        return "block" if any(re.search(r.pattern.replace(r"\z", r"\Z"), whole) for r in url_filter.DEFAULT_RULES) else "allow"
+
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {i: judged(u) for i, u in enumerate(urls)}
+
+
 def test_toxicity_learns_and_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -311,6 +332,23 @@ def test_toxicity_learns_and_keeps_clean_documents(spark):
     assert sum(r.predicted == 1 and r.toxic == 0 for r in scored) <= 2 and true >= 0.6 * sum(r.toxic for r in scored)
 
 
+def test_toxicity_features_by_hand():
+    classes = toxicity.TokenClasses(frozenset(["gloop", "snor*"]))
+    found = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! a GLOOP, 1d10t and a snored xx-yy haaaa", classes), strict=True))
+    assert found["seed_density"] == pytest.approx(100 * 2 / 10) and found["learned_density"] == pytest.approx(100 * 2 / 10)
+    assert found["hits"] == pytest.approx(np.log1p(4)) and found["distinct_hits"] == 4
+    assert found["near_second_person"] == pytest.approx(100 * 3 / 10) and found["shouting"] == pytest.approx(100 * 2 / 10)
+    assert found["exclaiming"] == pytest.approx(10) and found["punctuation"] == pytest.approx(20) and found["repeating"] == 1
+    assert found["disguised"] == pytest.approx(10) and found["words"] == pytest.approx(np.log1p(10))
+    assert toxicity.features("", classes) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_toxicity_on_an_empty_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.score(docs.limit(0)).collect() == [] and model.score(docs.limit(3), carry=["score", "text"] if "score" in docs.columns else ["text"]).columns == ["doc_id", "score", "text"]
+
+
 def test_toxicity_on_awkward_rows_and_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(awkward(spark), none).collect()} == {0.0}
