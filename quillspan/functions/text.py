@@ -166,9 +166,14 @@ def clean_terms(terms: str | Column) -> Column:
     return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, t: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t))))
 
 
-def illustration(kind: str | Column, hint: str | Column, kinds: Sequence[str] = ("equation", "diagram", "chart", "image", "table")) -> Column:
-    """struct(kind, hint), null unless the kind is known and the hint isn't blank."""
-    return F.when(_of(kind).isin(*kinds) & (strip(hint) != ""), F.struct(_of(kind).alias("kind"), strip(hint).alias("hint")))
+# Kinds of illustrations.
+ILLUSTRATION_KINDS = ("diagram", "equation", "code", "image")
+
+
+def illustration(kind: str | Column, hint: str | Column, kinds: Sequence[str] = ILLUSTRATION_KINDS) -> Column:
+    """struct(kind, hint), null unless the kind, in lower case and without white space around it, is known and the hint isn't blank."""
+    clean = F.lower(strip(kind))
+    return F.when(clean.isin(*kinds) & (strip(hint) != ""), F.struct(clean.alias("kind"), strip(hint).alias("hint")))
 
 
 def to_seconds(stamp: str | Column) -> Column:

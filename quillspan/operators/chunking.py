@@ -182,9 +182,10 @@ def overlap_windows(texts: DataFrame, max_chars: int = 1200, overlap: int = 100)
     return texts.select("id", "text").mapInPandas(run, f"id {kind}, win_no int, win_text string")
 
 
-def doc_preview(chunks: DataFrame, by: str = "source_id", max_chars: int = 3000) -> DataFrame:
+def doc_preview(chunks: DataFrame, by: str = "source_id", max_chars: int = 3000, files: DataFrame | None = None) -> DataFrame:
     """The first max_chars characters of each group's chunks that aren't blank, a blank line between them.
 
+    With files (`by`, name) a line of their names, in order, stands in front and counts; groups of files without text have that line alone.
     Chunks beyond those that fill the preview are dropped before they are gathered, so a group of any size is safe.
     """
     kept = chunks.where(strip("text") != "")
@@ -192,4 +193,10 @@ def doc_preview(chunks: DataFrame, by: str = "source_id", max_chars: int = 3000)
     needed = kept.withColumn("before", F.coalesce(F.sum(F.length("text") + 2).over(order), F.lit(0))).where(F.col("before") < max_chars)
     needed = needed.withColumn("text", F.substring("text", 1, max_chars))
     body = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    return needed.groupBy(by).agg(body.alias("body")).select(by, F.substring(F.array_join(F.transform("body", lambda x: x["text"]), "\n\n"), 1, max_chars).alias("preview"))
+    bodies = needed.groupBy(by).agg(body.alias("body")).select(by, F.array_join(F.transform("body", lambda x: x["text"]), "\n\n").alias("text"))
+    if files is None:
+        return bodies.select(by, F.substring("text", 1, max_chars).alias("preview"))
+    heads = files.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
+    # Fixed value: the words before the names.
+    head = F.concat(F.lit("Source files: "), F.coalesce("names", F.lit("")), F.lit("\n\n"))
+    return heads.join(bodies, by, "full_outer").select(by, F.substring(F.concat(head, F.coalesce("text", F.lit(""))), 1, max_chars).alias("preview"))

@@ -142,12 +142,26 @@ def prune_to_ratio(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, min
     return nodes, edges
 
 
-def patch_nodes(nodes: DataFrame, patches: DataFrame, fields: tuple[str, ...] = ("name", "summary", "scope", "content_type", "raw_excerpt")) -> DataFrame:
-    """Nodes with the fields of patches (key, ...) that are given and may change; other fields and unknown keys change nothing."""
+# What of a node may be changed.
+MUTABLE = ("name", "summary", "scope", "content_type", "raw_excerpt", "key_terms", "source_ids")
+
+
+def patch_nodes(nodes: DataFrame, patches: DataFrame, fields: tuple[str, ...] = MUTABLE, at: Column | None = None) -> DataFrame:
+    """Nodes with the fields of patches (key, ...) that are given and may change; other fields and unknown keys change nothing.
+
+    Where nodes have updated_at it becomes `at`, by default the time now, for every node with a patch. Of several patches
+    of a key the largest value of each field counts.
+    """
     given = [f for f in fields if f in patches.columns and f in nodes.columns]
-    small = patches.groupBy("key").agg(*(F.max(f).alias(f"_new_{f}") for f in given))
+    small = patches.groupBy("key").agg(F.lit(True).alias("_patched"), *(F.max(f).alias(f"_new_{f}") for f in given))
     joined = nodes.join(small, "key", "left")
-    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in nodes.columns))
+
+    def value(c: str) -> Column:
+        if c == "updated_at":
+            return F.when(F.col("_patched"), at if at is not None else F.current_timestamp()).otherwise(F.col(c)).alias(c)
+        return F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c)
+
+    return joined.select(*map(value, nodes.columns))
 
 
 def apply_edits(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

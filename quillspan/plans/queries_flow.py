@@ -27,19 +27,19 @@ def topic_entries(part):
     return P.topic_entries(responses, responses.select("prompt_id", F.lit(2).alias("max_topics"))).select("prompt_id", "name", "scope")
 
 
-@register.add("f15_subtopic_entries", "part", oracle="SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'all|topics' ELSE p_brand END AS parents FROM part")
+@register.add("f15_subtopic_entries", "part", oracle="SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'all|topics' ELSE p_brand END AS parents, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS nested FROM part")
 def subtopic_entries(part):
-    responses = _raw(part, "to_json(named_struct('subtopics', array(named_struct('name', p_name, 'parent_topics', if(p_size % 2 = 0, array(), array(p_brand, ' '))))))")
+    responses = _raw(part, "to_json(named_struct('subtopics', array(named_struct('name', p_name, 'parent_topic', if(p_size % 2 = 0, ' ', p_brand), 'parent_subtopic', if(p_size % 3 = 0, p_type, null)))))")
     context = responses.select("prompt_id", F.array(F.lit("all"), F.lit("topics")).alias("topics"))
-    return P.subtopic_entries(responses, context).select("prompt_id", "name", F.array_join("parents", "|").alias("parents"))
+    return P.subtopic_entries(responses, context).select("prompt_id", "name", F.array_join("parents", "|").alias("parents"), F.array_join("parent_subtopics", "|").alias("nested"))
 
 
 @register.add("f16_content_entries", "part", oracle="""SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'theorem' ELSE 'other' END AS content_type,
-  rtrim(substring(repeat(p_name || ' ', 30), 1, 300)) AS raw_excerpt, p_type AS terms, 'c' || CAST(p_partkey AS STRING) AS evidence FROM part""")
+  rtrim(substring(repeat(p_name || ' ', 30), 1, 300)) AS raw_excerpt, p_type AS terms, 'c' || CAST(p_partkey AS STRING) AS evidence, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 's' END AS parents, CASE WHEN p_size % 4 = 1 THEN 'code: ' || p_type END AS picture FROM part""")
 def content_entries(part):
-    responses = _raw(part, "to_json(array(named_struct('title', p_name, 'content_type', if(p_size % 2 = 0, 'theorem', 'poem'), 'raw_excerpt', repeat(p_name || ' ', 30), 'key_terms', array(p_type, lower(p_type), ' '))))")
+    responses = _raw(part, "to_json(array(named_struct('title', p_name, 'content_type', if(p_size % 2 = 0, ' Theorem', 'poem'), 'parent_subtopic', if(p_size % 3 = 0, p_brand, ''), 'illustration_kind', if(p_size % 4 < 2, 'Code', 'chart'), 'illustration_hint', if(p_size % 4 > 0, p_type, ' '), 'raw_excerpt', repeat(p_name || ' ', 30), 'key_terms', array(p_type, lower(p_type), ' '))))")
     context = responses.select("prompt_id", F.concat(F.lit("c"), "prompt_id").alias("chunk_id"), F.array(F.lit("s")).alias("subtopics"), F.lit(3).alias("max_contents"))
-    return P.content_entries(responses, context).select("prompt_id", "title", "content_type", "raw_excerpt", F.array_join("key_terms", "|").alias("terms"), F.get("evidence", F.lit(0)).alias("evidence"))
+    return P.content_entries(responses, context).select("prompt_id", "title", "content_type", "raw_excerpt", F.array_join("key_terms", "|").alias("terms"), F.get("evidence", F.lit(0)).alias("evidence"), F.array_join("parents", "|").alias("parents"), F.concat(F.col("illustration.kind"), F.lit(": "), F.col("illustration.hint")).alias("picture"))
 
 
 @register.add("f31_to_text", "part", oracle="SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand || ' ' || p_type WHEN 1 THEN p_name ELSE '' END AS text FROM part")

@@ -169,10 +169,14 @@ def ratio_all(nodes, tree):
     return B.prune_to_ratio(nodes.withColumn("node_type", F.expr("CASE WHEN node_type = 'content' AND seq % 3 = 0 THEN 'topic' ELSE node_type END")), tree)[0].select("key")
 
 
-@register.add("f30_patch", "nodes", oracle="SELECT key, CASE WHEN seq % 10 = 3 THEN 'patched' ELSE summary END AS summary, node_type FROM nodes")
+@register.add("f30_patch", "nodes", oracle="""SELECT key, CASE WHEN seq % 10 = 3 THEN 'patched' ELSE summary END AS summary, node_type, CASE WHEN seq % 10 = 3 THEN 'new' ELSE 'old' END AS terms,
+  CASE WHEN seq % 10 = 3 THEN 's1|s2' ELSE key END AS sources, seq % 10 = 3 AS updated FROM nodes""")
 def patch(nodes):
-    patches = nodes.where("seq % 10 = 3").select("key", F.lit("patched").alias("summary"), F.lit("topic").alias("node_type"))
-    return B.patch_nodes(nodes, patches).select("key", "summary", "node_type")
+    patches = nodes.where("seq % 10 = 3").select("key", F.lit("patched").alias("summary"), F.lit("topic").alias("node_type"), F.array(F.lit("new")).alias("key_terms"), F.array(F.lit("s1"), F.lit("s2")).alias("source_ids"))
+    patches = patches.unionByName(patches.limit(1).withColumn("key", F.lit("nowhere")))
+    whole = nodes.withColumns({"key_terms": F.array(F.lit("old")), "source_ids": F.array("key"), "updated_at": F.lit("2024-01-01").cast("timestamp")})
+    done = B.patch_nodes(whole, patches)
+    return done.select("key", "summary", "node_type", F.array_join("key_terms", "|").alias("terms"), F.array_join("source_ids", "|").alias("sources"), (F.col("updated_at") > F.lit("2024-01-01").cast("timestamp")).alias("updated"))
 
 
 @register.add("g22_edits", "nodes", "tree", oracle="""SELECT src, dst, CASE WHEN seq % 7 = 0 THEN 'missing source' WHEN seq % 7 = 1 THEN 'missing label' WHEN seq % 7 = 2 THEN 'conflict' ELSE NULL END AS reason FROM (SELECT seq, CASE WHEN seq % 7 = 0 THEN 'nowhere' ELSE src END AS src, dst FROM tree) WHERE seq % 7 < 3""")

@@ -89,9 +89,9 @@ def terms(part):
     return part.select("p_partkey", F.array_join(T.clean_terms(raw), "|").alias("terms"))
 
 
-@register.add("f19_illustrations", "part", oracle="SELECT p_partkey, CASE WHEN p_size % 3 < 2 AND p_size % 5 > 0 THEN CASE p_size % 3 WHEN 0 THEN 'chart' ELSE 'table' END END AS kind FROM part")
+@register.add("f19_illustrations", "part", oracle="SELECT p_partkey, CASE WHEN p_size % 6 < 4 AND p_size % 5 > 0 THEN (['diagram', 'equation', 'code', 'image'])[p_size % 6 + 1] END AS kind FROM part")
 def illustrations(part):
-    kind = F.expr("CASE p_size % 3 WHEN 0 THEN 'chart' WHEN 1 THEN 'table' ELSE 'poem' END")
+    kind = F.expr("element_at(array('diagram', ' Equation', 'CODE', 'image ', 'chart', 'table'), p_size % 6 + 1)")
     return part.select("p_partkey", T.illustration(kind, F.expr("CASE WHEN p_size % 5 = 0 THEN '  ' ELSE p_name END"))["kind"].alias("kind"))
 
 
@@ -124,10 +124,12 @@ def sigmoid(lineitem):
     return lineitem.select("l_orderkey", "l_linenumber", T.sigmoid4((F.col("l_quantity") - 25) / 10).alias("relevancy"))
 
 
-@register.add("s2_modality", "pages", oracle="""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'image' WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN 'slide' ELSE 'pdf' END END AS modality FROM pages WHERE page_id % 4 < 3""")
+@register.add("s2_modality", "pages", oracle="""WITH e(k, ext, kind) AS (VALUES (0, 'mp4', 'video'), (1, 'mkv', 'video'), (2, 'mov', 'video'), (3, 'avi', 'video'), (4, 'mp3', 'audio'), (5, 'wav', 'audio'), (6, 'm4a', 'audio'), (7, 'ogg', 'audio'), (8, 'flac', 'audio'),
+  (9, 'aac', 'audio'), (10, 'wma', 'audio'), (11, 'jpg', 'image'), (12, 'jpeg', 'image'), (13, 'png', 'image'), (14, 'webp', 'image'), (15, 'pdf', 'pdf'))
+  SELECT page_id, CASE WHEN kind = 'pdf' AND page_id % 40 = 15 THEN 'slide' ELSE kind END AS modality FROM pages JOIN e ON page_id % 20 = k""")
 def modality(pages):
-    files = pages.select("page_id", F.expr("url || '/' || page_id || CASE page_id % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.pdf' ELSE '.txt' END").alias("path"))
-    return S.classify_modality(files, pages.where("page_id % 8 = 2").select(F.expr("page_id || '.pdf'").alias("name"))).select("page_id", "modality")
+    files = pages.select("page_id", F.expr("url || '/' || page_id || element_at(array('.MP4', '.mkv', '.mov', '.avi', '.mp3', '.WAV', '.m4a', '.ogg', '.flac', '.aac', '.wma', '.jpg', '.jpeg', '.PNG', '.webp', '.pdf', '.webm', '.bmp', '.gif', '.txt'), CAST(page_id % 20 AS INT) + 1)").alias("path"))
+    return S.classify_modality(files, pages.where("page_id % 40 = 15").select(F.expr("page_id || '.pdf'").alias("name"))).select("page_id", "modality")
 
 
 @register.add("s4_lookup", "chunks", "embeddings", oracle="SELECT chunk_id, modality, length(text) AS size FROM chunks WHERE seq IN (SELECT vec_id FROM embeddings)")
@@ -136,14 +138,14 @@ def lookup(chunks, embeddings):
     return S.lookup(chunks, ids).select("chunk_id", "modality", F.length("text").alias("size"))
 
 
-@register.add("u5_missing", "chunks", "embeddings", oracle="SELECT 'doc_' || CAST(vec_id * 2 AS STRING) AS chunk_id FROM embeddings WHERE vec_id * 2 NOT IN (SELECT seq FROM chunks)")
+@register.add("u5_missing", "chunks", "embeddings", oracle="SELECT 'doc_' || CAST(vec_id * 2 + 100 AS STRING) AS chunk_id FROM embeddings WHERE vec_id * 2 + 100 NOT IN (SELECT seq FROM chunks)")
 def missing(chunks, embeddings):
-    return S.missing(chunks, embeddings.select(F.concat(F.lit("doc_"), (F.col("vec_id") * 2).cast("string")).alias("chunk_id")))
+    return S.missing(chunks, embeddings.select(F.concat(F.lit("doc_"), (F.col("vec_id") * 2 + 100).cast("string")).alias("chunk_id")))
 
 
-@register.add("s5_by_source", "chunks", oracle="SELECT source_id, count(*) AS chunks, min(seq) AS first_seq FROM chunks WHERE source_id IN ('src1', 'src3') GROUP BY source_id")
+@register.add("s5_by_source", "chunks", oracle="SELECT source_id, count(*) AS chunks, min(seq) AS first_seq FROM chunks GROUP BY source_id")
 def by_source(chunks):
-    return chunks.where(F.col("source_id").isin("src1", "src3")).groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("seq").alias("first_seq"))
+    return chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("seq").alias("first_seq"))
 
 
 @register.add("s6_upsert", "chunks", oracle="""SELECT chunk_id, CASE WHEN seq % 4 = 0 THEN 'new ' || modality ELSE modality END AS modality FROM chunks
@@ -256,6 +258,7 @@ def overlap_windows(documents):
     return C.overlap_windows(documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@register.add("c9_preview", "chunks", oracle="SELECT source_id, substring(string_agg(text, chr(10) || chr(10) ORDER BY seq), 1, 3000) AS preview FROM chunks WHERE trim(text) <> '' GROUP BY source_id")
+@register.add("c9_preview", "chunks", oracle="""SELECT source_id, substring('Source files: ' || string_agg(DISTINCT source_id || '_' || modality, ', ' ORDER BY source_id || '_' || modality) || chr(10) || chr(10)
+  || string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE trim(text) <> ''), 1, 3000) AS preview FROM chunks GROUP BY source_id""")
 def preview(chunks):
-    return C.doc_preview(chunks)
+    return C.doc_preview(chunks, files=chunks.select("source_id", F.concat("source_id", F.lit("_"), "modality").alias("name")))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import strip
 
 # File name endings and the kinds of source they stand for.
-VIDEO = ("mp4", "mkv", "mov", "avi", "webm")
-AUDIO = ("mp3", "wav", "m4a", "flac", "ogg", "aac")
-IMAGE = ("png", "jpg", "jpeg", "webp", "bmp", "gif")
+VIDEO = ("mp4", "mkv", "mov", "avi")
+AUDIO = ("mp3", "wav", "m4a", "ogg", "flac", "aac", "wma")
+IMAGE = ("jpg", "jpeg", "png", "webp")
 
 
 def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = (*VIDEO, *AUDIO, *IMAGE, "pdf")) -> DataFrame:
