@@ -24,8 +24,8 @@ SKETCH_BITS, SKETCH_WORDS = 512, 8
 FILTER_BITS, FILTER_NODES = 1 << 24, 1 << 20
 #: Members of a prefix that go to one place when what is known of its group is looked up.
 CHUNK = 256
-#: Pairs with one and the same set that go to one place, and members of a group that are compared with one of it.
-HUB = 1024
+#: Pairs with one and the same set that go to one place, and members of a group that others meet before the last turn.
+HUB, HEADS = 1024, 16
 CACHED = 200_000
 #: Bytes of text that a task holds as words at a time.
 SLICE = 2_000_000
@@ -280,8 +280,8 @@ def _best(found: DataFrame, turn: int) -> DataFrame:
 def _expanded(pairs: DataFrame, members: DataFrame, numer: int, denom: int, every: bool, turn: int) -> DataFrame:
     """(a, b): pairs of members of different components, for pairs of groups (a, b) and within groups, that sketches don't rule out.
 
-    members: node, gid, n, component, s0 .. s7. With `every` all of them. Otherwise each member meets one of the other
-    group; within its group one among HUB members or so, and those meet one for all.
+    members: node, gid, n, component, s0 .. s7. With `every` all of them. Otherwise each member meets the first HEADS
+    members of its own and of the other group, in one order for all, and the first BEST of these that may link stay.
     """
     x, y = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", "gid", "n", "component", *_words("s", str)))) for side in "xy")
     if every:
@@ -292,22 +292,17 @@ def _expanded(pairs: DataFrame, members: DataFrame, numer: int, denom: int, ever
         between = pairs.join(x, F.col("a") == F.col("x_gid")).join(y, F.col("b") == F.col("y_gid"))
         met = within.select(*x.columns, *y.columns).unionByName(between.select(*x.columns, *y.columns))
     else:
-        turned = F.struct(F.xxhash64("y_node", F.lit(turn)), F.struct(*y.columns))
-        one = y.groupBy("y_gid").agg(F.min(turned).alias("one"), F.count(F.lit(1)).alias("size"))
-        pick = lambda rows: rows.select("*", "one.col2.*").drop("one")
-        heads = pick(one.withColumnRenamed("y_gid", "at"))
-        between = pairs.join(x, F.col("a") == F.col("x_gid")).join(heads, F.col("b") == F.col("at"))
-        large = broadcast_if_small(heads.where("size > 1").select(F.col("at").alias("gid"), F.ceil(F.col("size") / HUB).cast("long").alias("salts")))
-        salted = members.join(large, "gid").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("salts")))
-        x_in = salted.select("salt", *(F.col(c).alias(f"x_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
-        y_in = salted.select("salt", *(F.col(c).alias(f"y_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
-        some = pick(y_in.groupBy(F.col("y_gid").alias("at"), "salt").agg(F.min(turned).alias("one")))
-        own = x_in.join(some, (F.col("x_gid") == F.col("at")) & (x_in["salt"] == some["salt"]))
-        tops = some.select("at", *(F.col(c).alias("x" + c[1:]) for c in y.columns)).join(heads.where("size > 1"), "at")
-        met = between.select(*x.columns, *y.columns).unionByName(own.select(*x.columns, *y.columns)).unionByName(tops.select(*x.columns, *y.columns))
+        sizes = broadcast_if_small(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+        turned = F.row_number().over(Window.partitionBy("y_gid").orderBy(F.xxhash64("y_node", F.lit(turn)), "y_node"))
+        heads = y.withColumn("place", turned).where(F.col("place") <= HEADS)
+        met = pairs.unionByName(sizes).join(x, F.col("a") == F.col("x_gid")).join(heads, F.col("b") == F.col("y_gid")).drop("place")
     differ = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
     near = (F.col("x_component") != F.col("y_component")) & (differ * (numer + denom) <= (F.col("x_n") + F.col("y_n")) * (denom - numer)) & (F.least("x_n", "y_n") * denom >= F.greatest("x_n", "y_n") * numer)
-    return met.where(near).select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+    found = met.where(near)
+    if not every:
+        rank = F.row_number().over(Window.partitionBy("x_node").orderBy(F.xxhash64("y_node", F.lit(turn)), "y_node"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= BEST)
+    return found.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
 def _with_value(pairs: DataFrame, key: str, values: DataFrame, name: str) -> DataFrame:
