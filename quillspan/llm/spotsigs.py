@@ -14,6 +14,8 @@ from quillspan.llm.components import connected_components
 LEAST = 0.8
 #: Entries of a signature's list, or of a part of one, that are compared with one another in one place.
 BLOCK = 2048
+#: Turns before the last in which each set is compared with BEST others among the first HEADS of its lists.
+TURNS, BEST, HEADS = 3, 4, 16
 #: Sets from which frequent signatures are counted, and how many of those come last in the common order, by tiers.
 SAMPLED, TIERS = 50_000, (64, 512, 4096)
 
@@ -134,6 +136,15 @@ def _postings(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return spool(entries.join(shared, "token"), "postings")
 
 
+def _mixed(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists with each set's component; with labels (node, component) only lists that have two components or more."""
+    if labels is None:
+        return postings.withColumn("component", F.col("node"))
+    lists = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return lists.join(mixed.select("token"), "token")
+
+
 def _candidates(postings: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
     """(a, b): all pairs of sets that lengths and first members allow to be as similar as `least`; with labels (node, component) those of different components.
 
@@ -141,12 +152,7 @@ def _candidates(postings: DataFrame, least: float, labels: DataFrame | None = No
     the one below. A list of more than BLOCK entries is dealt in parts. A pair goes on if what the two share among
     first members, and all that may follow the last of these, is enough.
     """
-    if labels is None:
-        lists = postings.withColumn("component", F.col("node"))
-    else:
-        lists = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        lists = lists.join(mixed.select("token"), "token")
+    lists = _mixed(postings, labels)
     own, parts = length_class(F.col("n"), least), F.ceil(F.col("df") / BLOCK).cast("int")
     entry = lambda side: F.struct("node", "n", "pos", "component").alias(side)
     small = lists.where(F.col("pos") < _first_members(F.col("n"), 2 * least / (1 + least)))
@@ -159,12 +165,19 @@ def _candidates(postings: DataFrame, least: float, labels: DataFrame | None = No
     return pairs.where(F.col("shared") + rest >= F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
 
 
-def _heads(postings: DataFrame, least: float) -> DataFrame:
-    """(a, b): for each set the one that is first, in one order for all, in most of its lists. A row for each set at most."""
-    lists = postings.withColumn("band", length_class(F.col("n"), least))
-    heads = lists.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node").alias("turn"), F.col("node").alias("b"))).alias("head"))
-    met = lists.join(heads, ["token", "band"]).select(F.col("node").alias("a"), "head.b").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
-    return met.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", "best.b")
+def _heads(postings: DataFrame, least: float, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): for each set the BEST of other components with which it shares most of its lists, among the first HEADS of each list.
+
+    The order is one for all lists and another each turn, so that many choose the same. A few rows for each set.
+    """
+    lists = _mixed(postings, labels)
+    first = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+    heads = lists.withColumn("place", first).where(F.col("place") <= HEADS).select("token", *(F.col(c).alias(f"head_{c}") for c in ("node", "n", "component")))
+    alike = (F.col("component") != F.col("head_component")) & (F.least("n", "head_n") / F.greatest("n", "head_n") >= least)
+    met = lists.join(heads, "token").where(alike).groupBy(F.col("node").alias("a"), F.col("head_node").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("lists"), F.xxhash64("b", F.lit(turn)), "b"))
+    chosen = met.withColumn("rank", rank).where(F.col("rank") <= BEST)
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -191,15 +204,19 @@ def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """(row_no, near_group) for each of `rows` (as set_rows gives them): the smallest id reachable by near copies.
 
     Two sets link when their Jaccard similarity is at least `least`; equal sets are one. First each set is compared with
-    one other, so that a large group is mostly joined; then all candidates between different components are, so no
-    link between components is lost. Sets without members link with nothing: their group is their own id. A group
+    a few others, in TURNS turns, so that a large group is mostly joined; then all candidates between different
+    components are, so no link between components is lost. Sets without members link with nothing: their group is their own id. A group
     without any id has none.
     """
     classes = set_classes(rows)
     postings = _postings(rows, classes, least)
-    links = _verified(_heads(postings, least), rows, least).select("a", "b")
-    more = _verified(_candidates(postings, least, connected_components(links)), rows, least).select("a", "b")
-    components = connected_components(links.unionByName(more))
+    components = None
+    for turn in range(TURNS + 1):
+        pairs = _heads(postings, least, components, turn) if turn < TURNS else _candidates(postings, least, components)
+        links = _verified(pairs, rows, least).select("a", "b")
+        # components so far are links to their smallest nodes
+        known = links if components is None else links.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        components = connected_components(known)
     placed = classes.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     members = rows.select("row_no", "id", "k1", "k2").join(placed, ["k1", "k2"], "left").select("row_no", "id", "component")
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
@@ -233,7 +250,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], derived: dict[st
     spot = lambda where, again: F.struct(where.alias("range"), F.lit(again).alias("again"))
     spots = F.when(begins, F.array(spot(F.col("range"), False), spot(before, True))).otherwise(F.array(spot(F.col("range"), False)))
     dealt = docs.withColumn("range", place).withColumn("spot", F.explode(spots)).select("id", *carried, "spot.range", "spot.again")
-    dealt = dealt.repartition("range").withColumns(derived or {})
+    dealt = dealt.repartition(4 * shuffle_partitions(spark), "range").withColumns(derived or {})
     known = [*carried, *(derived or {})]
     order = Window.partitionBy("range").orderBy("again", F.asc_nulls_first("id"), *carried)
     return dealt.withColumn("following", F.lead(F.struct(*known)).over(order)).where("NOT again").select(F.col("id").alias(id_col), *known, "following")

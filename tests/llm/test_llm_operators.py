@@ -420,7 +420,7 @@ def test_ngram_groups_collapse_members_and_pairs_of_groups_are_few(spark):
     assert pairs.count() == 1
     own = members.withColumn("component", F.col("node"))
     few = ngram_join._expanded(pairs, own, 90, 100, False, 1).collect()
-    assert 59 <= len(few) <= 2 * 60 and {x for r in few for x in r} == set(range(60))
+    assert 59 <= len(few) <= 2 * 60 * ngram_join.BEST and {x for r in few for x in r} == set(range(60))
     assert ngram_join._expanded(pairs, own, 90, 100, True, 3).count() == 60 * 59 // 2
     assert ngram_join._expanded(pairs, own.withColumn("component", F.lit(0)), 90, 100, True, 3).count() == 0
 
