@@ -43,7 +43,7 @@ def test_times_and_terms(spark):
     assert [one(spark, T.to_seconds("t"), t=t) for t in ("1:05", "1:00:01", "x:1", "7")] == [65, 3601, None, None]
     assert one(spark, T.clock(F.lit(125.9))) == "2:05"
     assert one(spark, T.clean_terms("t"), t=[" A", "a", "", "B "]) == ["A", "B"]
-    assert one(spark, T.illustration("k", "h"), k="poem", h="x") is None and one(spark, T.illustration("k", "h"), k="chart", h=" x ")["hint"] == "x"
+    assert one(spark, T.illustration("k", "h"), k="poem", h="x") is None and one(spark, T.illustration("k", "h"), k=" Code", h=" x ") == ("code", "x")
 
 
 def test_upsert_and_delete(spark):
