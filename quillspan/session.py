@@ -42,9 +42,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder named in spark.checkpoint.dir as checkpoint folder; one of our own only where none is named."""
+    """The folder named in spark.checkpoint.dir as checkpoint folder; a temporary one only where none is named and the master is local."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
