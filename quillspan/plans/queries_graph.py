@@ -70,7 +70,9 @@ def synonyms(vectors):
     return V.resolve_synonyms(named.where("id % 10 = 1").select("name", "embedding"), named.where("id % 2 = 0").select("name", "embedding"), 0.35).withColumn("score", F.round("score", 6))
 
 
-@register.add("v7_synonyms_all", "vectors")
+@register.add("v7_synonyms_all", "vectors", oracle=f"""WITH s AS (SELECT n.id AS name, e.id AS nearest, {_DOT.format('n.embedding', 'e.embedding')} AS score FROM vectors n, vectors e WHERE n.id % 2 <> 0 AND e.id % 2 = 0
+  QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY round(score, 9) DESC, 'v' || CAST(e.id AS STRING)) = 1)
+  SELECT 'v' || CAST(name AS STRING) AS name, 'v' || CAST(CASE WHEN score >= 0.35 THEN nearest ELSE name END AS STRING) AS resolved, round(score, 6) AS score FROM s""")
 def synonyms_all(vectors):
     """Every row takes part: odd ids are names, even ids exist."""
     named = vectors.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), "embedding", "id")
@@ -147,9 +149,9 @@ def degrees(nodes, tree):
     return B.degrees(nodes, tree)
 
 
-@register.add("g9_isolated", "nodes", "tree", oracle="SELECT key FROM nodes WHERE key IN (SELECT src FROM tree WHERE seq % 5 = 0) OR key IN (SELECT dst FROM tree WHERE seq % 5 = 0)")
+@register.add("g9_isolated", "nodes", "tree", oracle="SELECT key FROM nodes WHERE key IN (SELECT src FROM tree) OR key IN (SELECT dst FROM tree)")
 def isolated(nodes, tree):
-    return B.prune_isolated(nodes, tree.where("seq % 5 = 0")).select("key")
+    return B.prune_isolated(nodes, tree).select("key")
 
 
 @register.add("g10_ratio", "nodes", "tree", oracle="""WITH n AS (SELECT * FROM nodes WHERE node_type <> 'content' OR seq < 1011), e AS (SELECT * FROM tree WHERE src IN (SELECT key FROM n) AND dst IN (SELECT key FROM n)),
@@ -290,10 +292,10 @@ def highlight(nodes, tree):
     return G.highlight(nodes, tree, nodes.where("seq % 2 = 0").select("key"))[1].select("src", "dst")
 
 
-@register.add("j2_node_chunks", "nodes", "related", oracle="SELECT DISTINCT 1 AS query_id, 'c' || CAST(confidence AS STRING) AS chunk_id FROM related WHERE src = 'content:5'")
+@register.add("j2_node_chunks", "nodes", "related", oracle="SELECT DISTINCT src AS query_id, 'c' || CAST(confidence AS STRING) AS chunk_id FROM related WHERE src IN (SELECT key FROM nodes)")
 def node_chunks(nodes, related):
     sourced = related.select(F.col("src").alias("key"), F.array(F.concat(F.lit("c"), F.col("confidence").cast("string"))).alias("source_ids"))
-    return G.node_chunks(nodes.where("key = 'content:5'").select(F.lit(1).alias("query_id"), F.col("key").alias("node")), sourced)
+    return G.node_chunks(nodes.select(F.col("key").alias("query_id"), F.col("key").alias("node")), sourced)
 
 
 # --- evidence --------------------------------------------------------------------------------------------------------

@@ -197,7 +197,7 @@ def sections(lines):
 
 
 _HARD = """RECURSIVE cuts AS (
-    SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS rest, 0 AS part, NULL::VARCHAR AS piece FROM documents WHERE length(text) > 400
+    SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS rest, 0 AS part, NULL::VARCHAR AS piece FROM documents
     UNION ALL
     SELECT doc_id, CASE WHEN length(rest) <= 400 THEN '' ELSE regexp_replace(substring(rest, cut_at + 1), '^\\s+|\\s+$', '', 'g') END, part + 1,
            CASE WHEN length(rest) <= 400 THEN rest ELSE regexp_replace(substring(rest, 1, cut_at), '^\\s+|\\s+$', '', 'g') END
@@ -207,8 +207,7 @@ _HARD = """RECURSIVE cuts AS (
 
 @register.add("c3_hard_split", "documents", oracle=f"WITH {_HARD} SELECT doc_id AS id, CAST(part - 1 AS INT) AS part, piece AS text FROM cuts WHERE part > 0", oracle_views=())
 def hard_split(documents):
-    long = documents.where(F.length("text") > 400)
-    return C.hard_split(long.select(F.col("doc_id").alias("id"), T.strip("text").alias("text")), 400)
+    return C.hard_split(documents.select(F.col("doc_id").alias("id"), T.strip("text").alias("text")), 400)
 
 
 @register.add("c2_split_sections", "documents")
