@@ -16,6 +16,8 @@ LEAST = 0.8
 BLOCK = 2048
 #: Turns before the last in which each set is compared with BEST others among the first HEADS of its lists.
 TURNS, BEST, HEADS = 3, 4, 16
+#: First members right before one, by which a pair of sets that has met at one of these is told.
+WINDOW = 32
 #: Sets from which frequent signatures are counted, and how many of those come last in the common order, by tiers.
 SAMPLED, TIERS = 50_000, (64, 512, 4096)
 
@@ -115,8 +117,8 @@ def _first_members(n: Column, share: Column | float) -> Column:
     return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
 
 
-def _postings(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(token, node, n, pos, df): the first members of each set, rare signatures first, that two sets or more have there.
+def _prefixes(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(node, n, prefix): the first members of each set, rare signatures first; spooled.
 
     Which signatures count as frequent is told from at most about SAMPLED sets. It only sets the order of members,
     which may be any: it decides how long lists are, not what is found.
@@ -131,7 +133,12 @@ def _postings(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     n = F.size("signatures")
     first = F.slice(F.sort_array(F.transform("signatures", placed)), F.lit(1), _first_members(n, least))
-    entries = sets.select("node", n.alias("n"), F.posexplode(first)).select("col.token", "node", "n", "pos")
+    return spool(sets.select("node", n.alias("n"), first["token"].alias("prefix")), "prefixes")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(token, node, n, pos, df): the first members that two sets or more have among theirs; spooled."""
+    entries = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return spool(entries.join(shared, "token"), "postings")
 
@@ -145,24 +152,26 @@ def _mixed(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(mixed.select("token"), "token")
 
 
-def _candidates(postings: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
+def _candidates(postings: DataFrame, prefixes: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
     """(a, b): all pairs of sets that lengths and first members allow to be as similar as `least`; with labels (node, component) those of different components.
 
     Lists are partitioned by length class: the smaller set of a pair lies in its own, the larger one in its own and in
-    the one below. A list of more than BLOCK entries is dealt in parts. A pair goes on if what the two share among
-    first members, and all that may follow the last of these, is enough.
+    the one below. A list of more than BLOCK entries is dealt in parts. Two sets meet at a member if it and all that
+    follows may be enough; where one of the WINDOW members before it is in both, they have met already, as near copies
+    share many members in a row. What is left of pairs that meet twice is made one.
     """
-    lists = _mixed(postings, labels)
+    window = F.slice("prefix", F.greatest(F.col("pos") - WINDOW, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(WINDOW)))
+    lists = _mixed(postings, labels).join(prefixes.select("node", "prefix"), "node").withColumn("before", window).drop("prefix")
     own, parts = length_class(F.col("n"), least), F.ceil(F.col("df") / BLOCK).cast("int")
-    entry = lambda side: F.struct("node", "n", "pos", "component").alias(side)
+    entry = lambda side: F.struct("node", "n", "pos", "component", "before").alias(side)
     small = lists.where(F.col("pos") < _first_members(F.col("n"), 2 * least / (1 + least)))
     small = small.select("token", own.alias("band"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), entry("x"))
     large = lists.select("token", F.explode(F.array(own, own - 1)).alias("band"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), entry("y"))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    met = small.join(large, ["token", "band", "part"]).where(ordered & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") / F.col("y.n") >= least))
-    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
-    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return pairs.where(F.col("shared") + rest >= F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
+    alike = ordered & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") / F.col("y.n") >= least)
+    enough = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    met = small.join(large, ["token", "band", "part"]).where(alike & enough & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _heads(postings: DataFrame, least: float, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -197,7 +206,8 @@ def near_pairs(rows: DataFrame, least: float = LEAST) -> DataFrame:
     a and b are the smallest row_no of their sets; empty sets pair with nothing. Exact. The result grows with the square
     of a group of near copies; near_groups does without all its pairs.
     """
-    return _verified(_candidates(_postings(rows, set_classes(rows), least), least), rows, least)
+    prefixes = _prefixes(rows, set_classes(rows), least)
+    return _verified(_candidates(_postings(prefixes), prefixes, least), rows, least)
 
 
 def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
@@ -209,10 +219,11 @@ def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
     without any id has none.
     """
     classes = set_classes(rows)
-    postings = _postings(rows, classes, least)
+    prefixes = _prefixes(rows, classes, least)
+    postings = _postings(prefixes)
     components = None
     for turn in range(TURNS + 1):
-        pairs = _heads(postings, least, components, turn) if turn < TURNS else _candidates(postings, least, components)
+        pairs = _heads(postings, least, components, turn) if turn < TURNS else _candidates(postings, prefixes, least, components)
         links = _verified(pairs, rows, least).select("a", "b")
         # components so far are links to their smallest nodes
         known = links if components is None else links.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -222,7 +233,7 @@ def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
     found = members.join(smallest, "component", "left").select("row_no", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
     found = spool(found, "near-groups")
-    discard(postings, classes)
+    discard(postings, prefixes, classes)
     return found
 
 
