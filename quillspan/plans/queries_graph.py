@@ -491,18 +491,32 @@ def entities(lines):
     return M.distinct_entities(lines.select(F.col("source_id").alias("chunk_id"), F.col("text").alias("entity"), F.col("line_no").alias("pos")))
 
 
-@register.add("p2_hybrid_retrieval", "vectors", "chunks", "nodes", "tree", "embeddings")
-def hybrid_retrieval(vectors, chunks, nodes, tree, embeddings):
-    """Questions to packed contexts: vector hits and graph evidence, merged, reranked and packed, for all questions at once."""
-    asked = _asked(embeddings).withColumn("text", F.concat(F.lit("why is EUROPE near "), F.col("query_id").cast("string")))
-    graph = _embedded(nodes, embeddings).withColumn("source_ids", F.array(F.concat(F.lit("doc_"), F.col("vec").cast("string"))))
-    dense = V.topk(_chunk_vectors(vectors), asked, 5).select("query_id", F.col("id").alias("chunk_id"), "rank")
-    starts = G.anchors(asked, graph, G.scope_topics(asked, graph, tree, 0.05))
-    reached, _ = G.walk(asked, starts, graph, tree.withColumn("label", F.lit(None).cast("string")), 2, 0.05)
-    from pyspark.sql import Window
+def _text_flow(chunks, nodes, tree, related, questions, **options):
+    """The answer flow over the whole graph for the first turn of every conversation, ids that 100 divides; all texts embedded alike."""
+    from quillspan.operators.answer import answer_context
+
+    embed = lambda df: V.embed(df, features=64)
+    graph = embed(nodes.withColumn("text", F.concat_ws(" ", "name", "summary"))).drop("text").withColumns({"key_terms": F.array(F.lower("name")), "source_ids": F.array(F.concat(F.lit("doc_"), F.col("vec").cast("string")))})
+    edges = tree.withColumn("label", F.lit(None).cast("string")).drop("seq").unionByName(related.select("src", "dst", F.lit("RELATED_TO").alias("relation"), "label").distinct())
+    vectors = embed(chunks.select(F.col("chunk_id").alias("id"), "text")).drop("text")
+    return answer_context(questions.where("query_id % 100 = 0"), chunks, vectors, graph, edges, embed, max_sources=8, second_min=0.05, threshold=0.1, **options)
+
+
+def _model_answers(questions):
+    """(sub-question answers, verdicts) as a model might give them: two parts for every third question, every fifth judged irrelevant."""
+    asked = questions.where("query_id % 100 = 0 AND text IS NOT NULL")
+    parts = asked.where("(query_id DIV 100) % 3 = 0").select("query_id", F.to_json(F.struct(F.array(F.concat(F.lit("Why "), F.substring("text", 1, 80)), F.concat(F.lit("What is "), F.substring("text", -80, 80))).alias("sub_questions"))).alias("raw"))
+    judged = asked.where("(query_id DIV 100) % 5 = 0").select("query_id", F.lit(0).alias("sub_id"), F.lit('{"is_relevant": false}').alias("raw"))
+    return {"responses": parts, "judged": judged}
+
+
+@register.add("p2_hybrid_retrieval", "chunks", "nodes", "tree", "related", "questions")
+def hybrid_retrieval(chunks, nodes, tree, related, questions):
+    """Questions to packed contexts: sub-questions, routing, dense and graph evidence, the gate, one reranked context each."""
+    return _text_flow(chunks, nodes, tree, related, questions, **_model_answers(questions)).context
+
 
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
-    walked = G.node_chunks(reached, graph).withColumn("rank", order)
-    merged = R.hybrid_merge(dense, walked)
-    texts = S.lookup(chunks, merged).join(asked.select("query_id", F.col("text").alias("question")), "query_id")
-    return R.pack_context(R.rerank(R.with_pair_scores(texts), max_sources=8))
+@register.add("p2_hybrid_forced", "chunks", "nodes", "tree", "related", "questions")
+def hybrid_forced(chunks, nodes, tree, related, questions):
+    """The same with both ways for every question and no gate: (query_id, chunk_id, source, rank)."""
+    return _text_flow(chunks, nodes, tree, related, questions, forced_mode="hybrid", **_model_answers(questions)).evidence.select("query_id", "chunk_id", "source", "rank")
