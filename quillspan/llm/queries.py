@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, spotsigs, token_counts, toxicity, url_filter, warc_zip
+from quillspan.llm import bpe, exact_dedup, line_dedup, merkle, ngram_join, packing, spotsigs, token_counts, toxicity, url_filter, warc_zip
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,67 @@ FROM b
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text in DuckDB, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _row_fields(n_chars: Column) -> list[Column]:
+    return [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by language, and every document's proof; some are presented with one character too many counted."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))
+    proved = merkle.manifest(docs, "doc_id", "lang", merkle.row_digest(_row_fields(F.col("n_chars"))), merkle.row_digest(_row_fields(more))).prove()
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+_OP11_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_OP11_LEAF.format(n="n_chars")} AS leaf, {_OP11_LEAF.format(n="bumped")} AS shown
+  FROM (SELECT *, n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS bumped
+        FROM (SELECT *, {_crc32_sql('CAST(doc_id AS VARCHAR)')} AS crc FROM documents))
+), langs AS (
+  SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM d GROUP BY lang
+), leaves AS (
+  SELECT d.*, l.n, l.tree, l.trees, row_number() OVER (PARTITION BY l.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM d JOIN langs l ON d.lang IS NOT DISTINCT FROM l.lang
+), nodes(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n
+), tops(level, idx, n, digest) AS (
+  SELECT 0, tree, (SELECT count(*) FROM langs), digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2, n
+), steps AS (
+  SELECT l.rid, n.level, n.digest, n.idx < xor(n.idx, 1) AS is_left
+  FROM leaves l, unnest(range(40)) AS u(k) JOIN nodes n ON n.tree = l.tree AND n.level = u.k AND n.idx = xor(l.idx >> u.k, 1)
+  UNION ALL
+  SELECT l.rid, 1000 + t.level, t.digest, t.idx < xor(t.idx, 1)
+  FROM leaves l, unnest(range(40)) AS u(k) JOIN tops t ON t.level = u.k AND t.idx = xor(l.tree >> u.k, 1)
+), proofs AS (
+  SELECT rid, sha256(string_agg(digest, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY rid
+), folds(rid, level, n, crown, digest) AS (
+  SELECT rid, 0, n, false, shown FROM leaves
+  UNION ALL
+  SELECT f.rid, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.n = 1 THEN l.trees ELSE (f.n + 1) // 2 END, f.crown OR f.n = 1,
+         CASE WHEN f.n = 1 THEN f.digest WHEN s.digest IS NULL THEN sha256(f.digest) WHEN s.is_left THEN sha256(s.digest || f.digest) ELSE sha256(f.digest || s.digest) END
+  FROM folds f JOIN leaves l USING (rid) LEFT JOIN steps s ON s.rid = f.rid AND s.level = f.level + CASE WHEN f.crown THEN 1000 ELSE 0 END AND f.n > 1
+  WHERE NOT (f.crown AND f.n = 1)
+), roots AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM leaves l CROSS JOIN roots JOIN nodes s ON s.tree = l.tree AND s.n = 1 JOIN folds f ON f.rid = l.rid AND f.crown AND f.n = 1 LEFT JOIN proofs p ON p.rid = l.rid
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -195,8 +256,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_ngram_join": op9_ngram_join,
         "op10_warc": op10_warc,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL}
