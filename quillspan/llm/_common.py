@@ -47,10 +47,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def spool(df: DataFrame, label: str) -> DataFrame:
+def spool(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: a lost executor costs its running tasks only."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, line_dedup, merkle, ngram_join, packing, spotsigs, token_counts, toxicity, url_filter, warc_zip
+from quillspan.llm import bpe, exact_dedup, line_dedup, main_text, merkle, ngram_join, packing, spotsigs, token_counts, toxicity, turn_repair, url_filter, warc_zip
 from quillspan.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,6 +244,93 @@ FROM leaves l CROSS JOIN roots JOIN nodes s ON s.tree = l.tree AND s.n = 1 JOIN
 """
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with faults put in by their crc32; rows taken out are not `present`."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), kind.alias("kind"), F.monotonically_increasing_id().alias("tie"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    text = F.when(F.col("kind").isin(0, 1), "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "tie", copies, (F.col("kind") != 0).alias("present"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired."""
+    turns = turn_repair.conversation_rows(damaged(read_table(spark, sf_dir, "conversations")), F.col("present"))
+    return turn_repair.repair_digests(turns)
+
+
+_OP12_TRIM = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+#: Between rows at most two turns are inserted; each step takes a row, and of what leads to one state the cheapest, then least audit stays.
+OP12_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS tie,
+         {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations
+), rows_ AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, tie,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, lag(role[1]) OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, tie, copy) > 1 AS seen, {_OP12_TRIM} AS trimmed
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, tie, copy)
+), marked AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), forced(state, target) AS (VALUES ('b', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+kept(state, initial) AS (VALUES ('b', 's'), ('b', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+inserts(state, target, letters, price) AS (
+  SELECT state, state, '', 0 FROM forced UNION ALL SELECT state, target, 'I', 5 FROM forced
+  UNION ALL SELECT x.state, y.target, 'II', 10 FROM forced x JOIN forced y ON x.target = y.state
+), moves(state, initial, goes, target, letters, price) AS (
+  SELECT i.state, CAST(NULL AS VARCHAR), true, i.target, i.letters || 'D', i.price + 2 FROM inserts i
+  UNION ALL SELECT i.state, CAST(NULL AS VARCHAR), false, f.target, i.letters || 'R', i.price + 1 FROM inserts i JOIN forced f ON f.state = i.target
+  UNION ALL SELECT i.state, k.initial, false, k.initial, i.letters || 'K', i.price FROM inserts i JOIN kept k ON k.state = i.target
+), best(conv_id, i, n, state, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0, n, 'b', 0, '' FROM marked
+  UNION ALL
+  SELECT conv_id, i, n, state, cost, audit FROM (
+    SELECT b.conv_id, m.i, b.n, v.target AS state, b.cost + v.price + CASE WHEN m.fault = 'truncated' AND NOT v.goes THEN 5 ELSE 0 END AS cost, b.audit || v.letters AS audit,
+           row_number() OVER (PARTITION BY b.conv_id, v.target ORDER BY b.cost + v.price + CASE WHEN m.fault = 'truncated' AND NOT v.goes THEN 5 ELSE 0 END, b.audit || v.letters) AS rank
+    FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1
+    JOIN moves v ON v.state = b.state AND (v.goes OR m.fault NOT IN ('blank', 'duplicate')) AND (v.initial IS NULL OR v.initial = m.role[1])
+  ) WHERE rank = 1
+), ends AS (
+  SELECT b.conv_id, b.cost + i.price AS cost, b.audit || i.letters AS audit, row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + i.price, b.audit || i.letters) AS rank
+  FROM best b JOIN inserts i ON i.state = b.state WHERE b.i = b.n AND i.target IN ('a', 'b')
+), edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS spot FROM ends WHERE rank = 1 AND audit <> ''
+), numbered AS (
+  SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS i FROM edits
+), staying AS (
+  SELECT e.conv_id, e.spot, e.edit, m.role, m.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.spot)
+         - max(CASE WHEN e.edit = 'K' AND m.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS place
+  FROM numbered e LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.i = e.i AND e.edit <> 'I' WHERE e.edit <> 'D'
+), texts AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY spot)) AS sha
+  FROM staying GROUP BY conv_id
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM marked GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM ends WHERE rank = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(read_table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -257,8 +344,10 @@ def queries() -> dict[str, Query]:
         "op9_ngram_join": op9_ngram_join,
         "op10_warc": op10_warc,
         "op11_merkle": op11_merkle,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_main_text": op13_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL, "op12_turn_repair": OP12_SQL}
