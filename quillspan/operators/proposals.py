@@ -8,13 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_terms, illustration, make_key, strip
-from quillspan.operators.graph_build import attach_contents, merge_nodes, semantic_edges, structural_edges
+from quillspan.operators.graph_build import CONTENT_TYPES, merge_nodes, semantic_edges, structural_edges
 from quillspan.operators.retrieval import response_items
 
-# Kinds that contents may have.
-CONTENT_TYPES = ("definition", "theorem", "technique", "example", "question", "figure", "other")
-
-
 def _text(name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit("")))
 
@@ -81,36 +77,85 @@ class GraphResult(NamedTuple):
     warnings: DataFrame
 
 
-def apply_bundle(nodes: DataFrame, edges: DataFrame, topics: DataFrame, subtopics: DataFrame, contents: DataFrame, related: DataFrame) -> GraphResult:
-    """The graph with proposals merged in; the same bundle twice changes nothing.
+_NAMES = "array<string>"
+_REFS = {"topic_of_subtopic": "topic", "subtopic_of_subtopic": "subtopic", "subtopic_of_content": "subtopic", "topic_of_content": "topic"}
+
+
+def parent_references(subtopics: DataFrame, contents: DataFrame) -> DataFrame:
+    """(seq, child, reference, pos, parent_name, parent): each name by which a proposal calls a parent, with the key it stands for.
+
+    subtopics: key, seq, parents (topics' names), parent_subtopics; contents: key, seq, parents (subtopics' names), topic_parents.
+    """
+
+    def named(tier: DataFrame, reference: str, column: str) -> Column:
+        names = F.coalesce(F.col(column), F.array().cast(_NAMES)) if column in tier.columns else F.array().cast(_NAMES)
+        return F.transform(names, lambda x, i: F.struct(F.lit(reference).alias("reference"), i.alias("pos"), x.alias("parent_name"), make_key(_REFS[reference], x).alias("parent")))
+
+    found = None
+    for tier, columns in ((subtopics, {"topic_of_subtopic": "parents", "subtopic_of_subtopic": "parent_subtopics"}), (contents, {"subtopic_of_content": "parents", "topic_of_content": "topic_parents"})):
+        rows = tier.select("seq", F.col("key").alias("child"), F.explode(F.concat(*(named(tier, r, c) for r, c in columns.items()))).alias("x")).select("seq", "child", "x.*")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def resolve_references(references: DataFrame, proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """`references` with outcome: bundle, graph, or null where no node of that key is in either (both: key). Every name is looked up once, in one table."""
+    table = proposed.select("key", F.lit("bundle").alias("outcome")).unionByName(known.select("key", F.lit("graph").alias("outcome")))
+    table = table.groupBy(F.col("key").alias("parent")).agg(F.min("outcome").alias("outcome"))
+    return references.join(table, "parent", "left")
+
 
-    topics, subtopics and contents have the columns that merge_nodes takes but key and node_type, the latter two also
-    parents (names: topics, subtopics) and contents topic_parents. Contents hang on topics only where no subtopic of
-    theirs is known. related: src, dst, label, confidence. Edges with missing ends become warnings.
+def apply_bundle(nodes: DataFrame, edges: DataFrame, topics: DataFrame, subtopics: DataFrame, contents: DataFrame, related: DataFrame, at: Column | None = None) -> GraphResult:
+    """The graph with proposals merged in; the same bundle twice changes nothing but updated_at.
+
+    topics, subtopics and contents have the columns that merge_nodes takes but key and node_type; subtopics also parents
+    (topics' names) and parent_subtopics, contents parents (subtopics' names) and topic_parents. related: src, dst, label,
+    confidence, and source_chunk_ids if there are any. Subtopics hang on their topics and on other subtopics, never on themselves. A proposal for a content hangs on
+    its topics only where none of its subtopics is known. counters: (what, n) for nodes added and merged of each kind and
+    edges added and merged. warnings: (seq, src, dst, reason) for topics and subtopics that a subtopic's topics and a
+    content's subtopics name without being there, with the name as src, and for related pairs without both ends; unknown
+    parent subtopics of subtopics and unknown fallback topics are passed over in silence.
     """
     tiers = [df.withColumn("node_type", F.lit(kind)).withColumn("key", make_key(kind, "name")).where("key IS NOT NULL") for kind, df in (("topic", topics), ("subtopic", subtopics), ("content", contents))]
     columns = ["key", "node_type", "name", "summary", "scope", "content_type", "raw_excerpt", "key_terms", "source_ids", "seq"]
-    proposals = tiers[0].select(*columns).unionByName(tiers[1].select(*columns)).unionByName(tiers[2].select(*columns))
-    merged, counters = merge_nodes(nodes.select(*columns), proposals)
+    more = [c for c in ("illustration", "illustration_path", "origin", "created_at") if any(c in t.columns for t in tiers)]
+    proposals = None
+    for tier in tiers:
+        rows = tier.select(*columns, *(c for c in more if c in tier.columns))
+        proposals = rows if proposals is None else proposals.unionByName(rows, allowMissingColumns=True)
+    resolved = resolve_references(parent_references(tiers[1], tiers[2]), proposals, nodes).checkpoint()
+
+    kept = "outcome IS NOT NULL AND parent <> child"
+    parents = resolved.where(f"{kept} AND reference IN ('topic_of_subtopic', 'subtopic_of_content')")
+    by_proposal = parents.groupBy(F.col("seq"), F.col("child").alias("key")).agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("parents"))
+    merged, _ = merge_nodes(nodes, proposals.join(by_proposal, ["seq", "key"], "left"), at)
     order = proposals.select("key", "seq").unionByName(nodes.select("key", "seq")).groupBy("key").agg(F.min("seq").alias("seq"))
     merged = merged.join(order, "key")
-    known = merged.select("key")
-
-    def links(tier: DataFrame, kind: str, column: str) -> DataFrame:
-        return tier.select(F.col("key").alias("content"), F.explode(column).alias("parent")).select("content", make_key(kind, "parent").alias("parent")).where("parent IS NOT NULL")
-
-    under_topics = links(tiers[1], "topic", "parents").select(F.col("parent").alias("src"), F.col("content").alias("dst"), F.lit("HAS_SUBTOPIC").alias("relation"))
-    on_subtopics = links(tiers[2], "subtopic", "parents").join(known.withColumnRenamed("key", "parent"), "parent", "left_semi").select("content", "parent")
-    under = attach_contents(on_subtopics, links(tiers[2], "topic", "topic_parents")).select("src", "dst", F.lit("HAS_CONTENT").alias("relation"))
-    evidence = tiers[2].select(F.col("key").alias("dst"), F.col("source_ids").alias("source_chunk_ids"), "seq")
-    wanted = under_topics.withColumn("source_chunk_ids", F.array().cast("array<string>")).withColumn("seq", F.lit(0).cast("long")).unionByName(under.join(evidence, "dst").select("src", "dst", "relation", "source_chunk_ids", F.col("seq").cast("long").alias("seq")))
-    before = edges.where("relation <> 'RELATED_TO'").select("src", "dst", "relation", F.coalesce("source_chunk_ids", F.array().cast("array<string>")).alias("source_chunk_ids"), F.lit(-1).cast("long").alias("seq"))
-    structural, warnings = structural_edges(before.unionByName(wanted), merged)
-    semantic, more = semantic_edges(edges.where("relation = 'RELATED_TO'").select("src", "dst", "label", "confidence"), related, merged)
+
+    # contents that have a subtopic, by proposal
+    attached = resolved.where("reference = 'subtopic_of_content' AND outcome IS NOT NULL").select("seq", "child").distinct().withColumn("_attached", F.lit(True))
+    links = resolved.where(kept).join(attached, ["seq", "child"], "left").where("reference <> 'topic_of_content' OR _attached IS NULL")
+    relation = F.when(F.col("reference").endswith("_of_content"), "HAS_CONTENT").otherwise("HAS_SUBTOPIC")
+    evidence = tiers[2].select("seq", F.col("key").alias("child"), F.col("source_ids").alias("source_chunk_ids"))
+    wanted = links.select("seq", "child", F.col("parent").alias("src"), relation.alias("relation")).join(evidence, ["seq", "child"], "left")
+    wanted = wanted.select("src", F.col("child").alias("dst"), "relation", F.coalesce("source_chunk_ids", F.array().cast(_NAMES)).alias("source_chunk_ids"), F.col("seq").cast("long").alias("seq"))
+    before = edges.where("relation <> 'RELATED_TO'").select("src", "dst", "relation", F.coalesce("source_chunk_ids", F.array().cast(_NAMES)).alias("source_chunk_ids"), F.lit(-1).cast("long").alias("seq"))
+    structural, _ = structural_edges(wanted, merged, before)
+    semantic, missing = semantic_edges(edges.where("relation = 'RELATED_TO'"), related, merged)
     shape = ["src", "dst", "relation", "label", "confidence", "source_chunk_ids"]
     structural = structural.withColumn("label", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
-    semantic = semantic.withColumn("source_chunk_ids", F.lit(None).cast("array<string>"))
-    return GraphResult(merged, structural.select(*shape).unionByName(semantic.select(*shape)), counters, warnings.unionByName(more.select("src", "dst", F.lit("missing end").alias("reason"))))
+
+    lost = resolved.where("outcome IS NULL AND parent_name IS NOT NULL AND reference IN ('topic_of_subtopic', 'subtopic_of_content')")
+    why = F.when(F.col("reference") == "topic_of_subtopic", "unknown topic").otherwise("unknown subtopic")
+    warnings = lost.select(F.col("seq").cast("long").alias("seq"), F.col("parent_name").alias("src"), F.col("child").alias("dst"), why.alias("reason"))
+    warnings = warnings.unionByName(missing.select(F.lit(None).cast("long").alias("seq"), "src", "dst", F.lit("missing end").alias("reason")))
+
+    known = nodes.select("key", F.lit(True).alias("_known")).distinct()
+    added = proposals.join(known, "key", "left").groupBy("node_type").agg(F.count_distinct(F.when(F.col("_known").isNull(), F.col("key"))).alias("added"), F.count(F.lit(1)).alias("n"))
+    counters = added.select(F.explode(F.array(F.struct(F.concat("node_type", F.lit("s added")).alias("what"), F.col("added").alias("n")), F.struct(F.concat("node_type", F.lit("s merged")).alias("what"), (F.col("n") - F.col("added")).alias("n")))).alias("x")).select("x.*")
+    new_links = wanted.select("src", "dst", "relation").distinct().join(before.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti")
+    counters = counters.unionByName(new_links.agg(F.count(F.lit(1)).alias("n")).select(F.lit("structural edges added").alias("what"), "n"))
+    return GraphResult(merged, structural.select(*shape).unionByName(semantic.select(*shape)), counters, warnings)
 
 
 def linkables(nodes: DataFrame, types: tuple[str, ...] = ("topic", "subtopic", "content")) -> DataFrame:

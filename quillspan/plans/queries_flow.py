@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -11,6 +10,7 @@ from quillspan.operators import metrics as M
 from quillspan.operators import proposals as P
 from quillspan.operators import quiz as Q
 from quillspan.operators import similarity as V
+from quillspan.plans.queries_build import bundle
 from quillspan.plans.queries_graph import _RELEVANT, _TOP, _others, _relevant
 from quillspan.plans.registered import Register
 
@@ -79,39 +79,11 @@ def linkables(nodes):
     return P.linkables(nodes, ("topic", "content"))
 
 
-_NAMED = "summary scope content_type raw_excerpt".split()
-
-
-def _proposed(df, name, *more):
-    return df.select(name.alias("name"), *(F.lit("x").alias(c) for c in _NAMED), F.array(F.lit("t")).alias("key_terms"), F.array(F.concat(F.lit("c"), name)).alias("source_ids"), *more)
-
-
-def _bundle(part, nation, region, nodes=None, edges=None):
-    spark = part.sparkSession
-    topics = _proposed(region, F.col("r_name"), F.col("r_regionkey").cast("long").alias("seq"))
-    subtopics = _proposed(nation.join(region, nation.n_regionkey == region.r_regionkey), F.col("n_name"), F.col("n_nationkey").cast("long").alias("seq"), F.expr("array(r_name, 'nowhere')").alias("parents"))
-    placed = part.join(nation, part.p_partkey % 25 == nation.n_nationkey)
-    contents = _proposed(
-        placed, F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")), F.col("p_partkey").alias("seq"), F.expr("CASE WHEN p_partkey % 4 = 0 THEN array('unknown') ELSE array(n_name) END").alias("parents"), F.array(F.lit("EUROPE")).alias("topic_parents")
-    )
-    related = contents.select(T.make_key("content", "name").alias("src"), F.lag(T.make_key("content", "name")).over(Window.partitionBy(F.pmod("seq", F.lit(25))).orderBy("seq")).alias("dst"), F.lit("Leads to").alias("label"), F.lit(0.5).alias("confidence")).where("dst IS NOT NULL")
-    none = topics.limit(0).withColumn("key", F.lit("")).withColumn("node_type", F.lit(""))
-    no_edges = spark.createDataFrame([], "src string, dst string, relation string, label string, confidence double, source_chunk_ids array<string>")
-    return P.apply_bundle(none if nodes is None else nodes, no_edges if edges is None else edges, topics, subtopics, contents, related)
-
-
-@register.add("g6_apply_bundle", "part", "nation", "region", oracle="""SELECT relation, count(*) AS edges FROM (
-  SELECT 'HAS_SUBTOPIC' AS relation FROM nation UNION ALL SELECT 'HAS_CONTENT' FROM part WHERE p_partkey % 25 IN (SELECT n_nationkey FROM nation)
-  UNION ALL SELECT 'RELATED_TO' FROM (SELECT lag(p_partkey) OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS before FROM part) WHERE before IS NOT NULL) GROUP BY relation""")
-def apply_bundle(part, nation, region):
-    return _bundle(part, nation, region).edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"))
-
-
 @register.add("p1_ingest_graph", "part", "nation", "region", oracle="SELECT 'content' AS node_type, count(*) AS nodes FROM part UNION ALL SELECT 'subtopic', count(*) FROM nation UNION ALL SELECT 'topic', count(*) FROM region")
 def ingest_graph(part, nation, region):
     """Proposals to a pruned graph: merged twice over, which changes nothing, then without what stands alone."""
-    once = _bundle(part, nation, region)
-    twice = _bundle(part, nation, region, once.nodes.checkpoint(), once.edges.checkpoint())
+    once = bundle(part, nation, region)
+    twice = bundle(part, nation, region, once.nodes.checkpoint(), once.edges.checkpoint())
     return B.prune_isolated(twice.nodes, twice.edges).groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"))
 
 

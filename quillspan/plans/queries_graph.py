@@ -93,10 +93,10 @@ def merge_nodes(proposals):
     return nodes.select("key", "summary", "scope", "content_type", F.size("source_ids").cast("long").alias("sources"), F.size("key_terms").alias("terms"))
 
 
-@register.add("g2_counters", "proposals", oracle="""SELECT (SELECT count(DISTINCT key) FROM proposals WHERE seq % 4 <> 1 AND key NOT IN (SELECT key FROM proposals WHERE seq % 1000 = 1)) AS added,
-  (SELECT count(*) FROM proposals WHERE seq % 4 <> 1) - (SELECT count(DISTINCT key) FROM proposals WHERE seq % 4 <> 1 AND key NOT IN (SELECT key FROM proposals WHERE seq % 1000 = 1)) AS merged""")
+@register.add("g2_counters", "proposals", oracle="""SELECT (SELECT count(DISTINCT key) FROM proposals WHERE seq % 1000 <> 1 AND key NOT IN (SELECT key FROM proposals WHERE seq % 1000 = 1)) AS added,
+  (SELECT count(*) FROM proposals WHERE seq % 1000 <> 1) - (SELECT count(DISTINCT key) FROM proposals WHERE seq % 1000 <> 1 AND key NOT IN (SELECT key FROM proposals WHERE seq % 1000 = 1)) AS merged""")
 def counters(proposals):
-    return B.merge_nodes(proposals.where("seq % 1000 = 1"), proposals.where("seq % 4 <> 1"))[1]
+    return B.merge_nodes(proposals.where("seq % 1000 = 1"), proposals.where("seq % 1000 <> 1"))[1]
 
 
 @register.add("g3_subtopics", "proposals", oracle="SELECT arg_min(name, seq) AS name, arg_max(summary, (length(summary), -seq)) AS summary, min(seq) AS seq, count(DISTINCT seq // 10) AS chunks FROM proposals GROUP BY lower(name)")
@@ -130,7 +130,7 @@ def attach(tree):
   FROM related WHERE src <> dst AND src <> 'content:7' AND dst <> 'content:7' GROUP BY 1, 2, 3""")
 def semantic(related, nodes):
     empty = related.limit(0).select("src", "dst", "label", "confidence")
-    return B.semantic_edges(empty, related, nodes.where("key <> 'content:7'"))[0]
+    return B.semantic_edges(empty, related, nodes.where("key <> 'content:7'"))[0].drop("source_chunk_ids")
 
 
 @register.add("g7_remove", "nodes", "tree", oracle="SELECT src, dst FROM tree WHERE src <> 'subtopic:2' AND dst <> 'subtopic:2' AND src <> 'topic:1'")
@@ -141,7 +141,7 @@ def remove(nodes, tree):
 @register.add("g7_remove_edges", "related", oracle="SELECT src, dst, seq FROM related QUALIFY NOT (row_number() OVER (PARTITION BY src, dst ORDER BY seq) = 1 AND src < dst)")
 def remove_edges(related):
     edges = related.withColumn("relation", F.lit("RELATED_TO"))
-    return B.remove_edges(edges, edges.where("src < dst")).select("src", "dst", "seq")
+    return B.remove_edges(edges, edges.where("src < dst").drop("label")).select("src", "dst", "seq")
 
 
 @register.add("g8_degrees", "nodes", "tree", oracle="SELECT key, (SELECT count(*) FROM tree WHERE src = key) + (SELECT count(*) FROM tree WHERE dst = key) AS degree FROM nodes")
@@ -466,6 +466,15 @@ def hit_mrr(vectors, queries, embeddings):
     return M.hit_rate_mrr(_others(vectors, queries), _relevant(embeddings)).select(F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+@register.add("a4_hit_mrr_all", "vectors", "vector_queries", "embeddings", oracle=f"""WITH {_TOP}, {_RELEVANT}, f AS (SELECT query_id, min(rank) FILTER (WHERE (query_id, id) IN (SELECT query_id, id FROM rel)) AS first_rank FROM top WHERE id <> query_id AND query_id % 30 <> 0 GROUP BY 1),
+  a AS (SELECT query_id, first_rank FROM vector_queries LEFT JOIN f USING (query_id))
+  SELECT round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first_rank, 0.0)), 6) AS mrr FROM a""")
+def hit_mrr_all(vectors, queries, embeddings):
+    """Over all queries; for every third nothing is found, which counts as a miss."""
+    found = _others(vectors, queries).where("query_id % 30 <> 0")
+    return M.hit_rate_mrr(found, _relevant(embeddings), queries=queries).select(F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+
+
 @register.add("a5_precision", "vectors", "vector_queries", "embeddings", oracle=f"""WITH {_TOP}, {_RELEVANT}, f AS (SELECT query_id, avg(CASE WHEN (query_id, id) IN (SELECT query_id, id FROM rel) THEN 1.0 ELSE 0.0 END) AS share FROM top WHERE id <> query_id GROUP BY 1)
   SELECT round(avg(share), 6) AS precision FROM f""")
 def precision(vectors, queries, embeddings):
