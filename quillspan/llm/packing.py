@@ -25,7 +25,8 @@ class WordBpe:
     """Ids as the tokenizers library gives them for a lower-casing vocabulary with word ends.
 
     The library's model encodes each distinct word once a worker; splitting a text into words follows the vocabulary's
-    normalizer (NFC, white space, lower case) and split pattern.
+    normalizer (NFC, white space, lower case) and split pattern. Texts with code points that this Python's tables don't
+    know, which the library's may, are left to the library whole.
     """
 
     def __init__(self, data: bytes):
@@ -53,11 +54,20 @@ class WordBpe:
         # the library lower-cases character by character, without the rule for a sigma that ends a word
         return self.findall(self.library.normalizer.normalize_str(text) if "Σ" in text else text.lower())
 
+    @staticmethod
+    def known(text: str) -> bool:
+        """Whether all characters of a text are in this Python's tables."""
+        return text.isascii() or all(unicodedata.category(c) != "Cn" for c in set(text))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts: list[list] = []
-        for text in texts:
-            if any(x in text for x in self.added):
+        alien: dict[int, bytes] = {}
+        for i, text in enumerate(texts):
+            if not self.known(text):
+                alien[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                parts.append([])
+            elif any(x in text for x in self.added):
                 own: list = []
                 for piece in self.cut(text):
                     own += [self.added[piece]] if piece in self.added else self.words(piece)
@@ -70,7 +80,7 @@ class WordBpe:
         for x in fresh:
             found = [x] if isinstance(x, int) else [t.id for t in model("".join([letters[b] for b in x.encode()]))]
             cache[x] = np.array(found, "<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, own)) for own in parts]
+        out = [alien[i] if i in alien else b"".join(map(cache.__getitem__, own)) for i, own in enumerate(parts)]
         if len(cache) > CACHED:
             cache.clear()
         for x in fresh:

@@ -28,7 +28,7 @@ BINARY_ENDINGS = ("exe", "msi", "apk", "dmg", "iso", "torrent", "bin", "dll", "j
 @dataclass(frozen=True)
 class UrlRule:
     """A rule's regular expression is searched in host + path (\\z stands for the end, as in SQL engines); `tokens` are literals
-    that every match contains whole: without other letters or digits of A-Z, a-z and 0-9 beside them."""
+    that every match contains whole, in either case: without other letters or digits of A-Z, a-z and 0-9 beside them."""
 
     name: str
     verdict: str
@@ -37,6 +37,11 @@ class UrlRule:
     rank: tuple[int, int] = (0, 0)
 
 
+def any_case(literal: str) -> str:
+    """A pattern for a literal in which letters of A-Z stand for both cases, and no other letters for them."""
+    return "".join(f"[{c}{c.upper()}]" if "a" <= c <= "z" else re.escape(c) for c in literal.translate(_UPPER))
+
+
 def host_rule(verdict: str, host: str, path: str) -> UrlRule:
     """A host and all its subdomains, and paths that begin with `path`. Longer rules win over shorter ones."""
     host = host.translate(_UPPER)
@@ -46,20 +51,20 @@ def host_rule(verdict: str, host: str, path: str) -> UrlRule:
         host + path,
         verdict,
         rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}",
-        tuple(TOKEN.findall(host) + TOKEN.findall(closed.lower())),
+        tuple(TOKEN.findall(host) + TOKEN.findall(closed.translate(_UPPER))),
         (1, len(host) + len(path)),
     )
 
 
 def word_rule(verdict: str, word: str) -> UrlRule:
     """A word that stands between separators anywhere in host or path."""
-    return UrlRule(f"*{word}*", verdict, rf"(?i)(\A|[^a-z0-9]){re.escape(word)}([^a-z0-9]|\z)", (word,))
+    return UrlRule(f"*{word}*", verdict, rf"(\A|[^a-zA-Z0-9]){any_case(word)}([^a-zA-Z0-9]|\z)", (word,))
 
 
 def part_rule(verdict: str, kind: str, part: str) -> UrlRule:
     """A label of a host, its last label, a directory or the ending of a path."""
     literal = re.escape(part)
-    pattern = {"label": rf"\A([^/]*\.)?{literal}\.", "end": rf"\A[^/]*\.{literal}(/|\z)", "directory": rf"(?i)/{literal}(/|\z)", "ending": rf"(?i)\.{literal}\z"}[kind]
+    pattern = {"label": rf"\A([^/]*\.)?{literal}\.", "end": rf"\A[^/]*\.{literal}(/|\z)", "directory": rf"/{any_case(part)}(/|\z)", "ending": rf"\.{any_case(part)}\z"}[kind]
     return UrlRule(f"{kind} {part}", verdict, pattern, tuple(TOKEN.findall(part)))
 
 
@@ -122,7 +127,7 @@ def filter_urls(
         for url in strings(batch.column(1)):
             host, path = split_url(url)
             whole, best, fallback = host + path, None, None
-            for token in {None, *TOKEN.findall(whole.lower())}:
+            for token in {None, *TOKEN.findall(whole.translate(_UPPER))}:
                 for i in index.get(token, ()):
                     rule = both[i]
                     pattern = compiled.get(i) or compiled.setdefault(i, re.compile(rule.pattern.replace(r"\z", r"\Z")))

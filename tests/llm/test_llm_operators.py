@@ -192,6 +192,17 @@ def test_packing_is_gapless_tight_and_true(spark):
     assert packing.pack_documents(empty(spark), path).collect() == []
 
 
+def test_packing_of_code_points_newer_than_these_tables(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = [0x1C89, *range(0xA7CB, 0xA7DD), 0x105C0, 0x105F3, 0x13460, 0x143FA, 0x16D40, 0x378, 0xE000, 0xFFFF, 0x10FFFF]
+    texts = [f"ab{chr(c)}CD {chr(c)}{chr(c)} é{chr(c)}\u0301 Σ" for c in odd] + [None, "", "Repeated <|endoftext|>", "Repeated <|endoftext|>"]
+    got = packing.token_pieces(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, piece string"), path, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def test_plan_is_best_fit_and_repeated_rows_get_their_own_slots(spark):
     plan = packing.plan_slots({6: 3, 4: 3, 3: 1, 2: 2}, 10)
     assert sum(b - a for _, a, b, _, _ in plan) == 9 and max(s + b - a for _, a, b, s, _ in plan) == 4
@@ -312,7 +323,7 @@ def test_url_rules(spark):
 
 def test_url_index_loses_no_default_rule(spark):
     """Every default rule against every url, one by one, on urls made of what the rules look for; long, repeated and clashing rows too."""
-    parts = [*url_filter.SPAM_WORDS, *url_filter.AD_LABELS, *url_filter.DARK_ENDS, *url_filter.PRIVATE_DIRECTORIES, *url_filter.BINARY_ENDINGS, "12.3.4.5", "ok", "Ads", "CGI-BIN", "x.EXE", "adsx", "é"]
+    parts = [*url_filter.SPAM_WORDS, *url_filter.AD_LABELS, *url_filter.DARK_ENDS, *url_filter.PRIVATE_DIRECTORIES, *url_filter.BINARY_ENDINGS, "12.3.4.5", "ok", "Ads", "CGI-BIN", "x.EXE", "adsx", "é", "ſpam", "CAſINO", "\u212aPILLS", "spam\u0130", "SPAM\u0307", "casıno", "\u212a.exe"]
     rng = np.random.default_rng(2)
     pick = lambda: parts[rng.integers(len(parts))]
     urls = [f"http://{pick()}.{pick()}/{pick()}/{pick()}" for _ in range(300)] + [f"http://a.net/{p}" for p in parts] + [f"http://{p}/" for p in parts] + ["http://b.net/" + "x/" * 200_000 + "a.exe", "http://b.net/a.exe\n"] + ["http://click.me.com/"] * 3
