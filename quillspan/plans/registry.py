@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import queries_build, queries_flow, queries_graph, queries_text
+from quillspan.plans import queries_build, queries_flow, queries_graph, queries_store, queries_text
 
-_ALL = (queries_text.register, queries_graph.register, queries_build.register, queries_flow.register)
+_ALL = (queries_text.register, queries_graph.register, queries_build.register, queries_store.register, queries_flow.register)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

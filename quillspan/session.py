@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,6 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
+def working_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/quillspan-{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, by whatever store Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -180,17 +180,19 @@ class Versions:
         return self.commit(base, {name: (every, self.write(name, rows)) for name, rows in tables.items()})
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete folders that none of the last `keep` versions has, and older manifests; the folders deleted. Not while a writer is at work."""
+        """Delete buckets' folders that none of the last `keep` versions has, and older manifests; the folders deleted. Not while a writer is at work."""
         known = self.versions()
         last = known[-keep:]
-        used = {f.split("/")[1] for v in last for name in self._schemas for f in self.pin(v).folders(name)}
+        used = {f for v in last for name in self._schemas for f in self.pin(v).folders(name)}
         fs, gone = self._fs(), []
-        if fs.exists(self._path("data")):
-            for status in fs.listStatus(self._path("data")):
-                name = status.getPath().getName()
-                if name not in used:
-                    fs.delete(status.getPath(), True)
-                    gone.append(name)
+        for status in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else []:
+            folder = f"data/{status.getPath().getName()}"
+            held = [f"{folder}/{x.getPath().getName()}" for x in fs.listStatus(self._path(folder)) if x.isDirectory()]
+            stale = [f for f in held if f not in used]
+            # a folder without any bucket in use goes whole
+            for f in stale if len(stale) < len(held) else [folder]:
+                fs.delete(self._path(f), True)
+                gone.append(f)
         for version in known[:-keep]:
             fs.delete(self._path(f"_versions/{version:012d}.json"), False)
         return sorted(gone)

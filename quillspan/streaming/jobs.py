@@ -45,6 +45,8 @@ def graph_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
     return reader.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Event time is so much later than a segment's start, as a new stream's watermark stands at 0 and what is not after it counts as late.
+_SHIFT_SEC = 86_400
 _CHUNK = "chunk_id string, source_id string, text string, start_time double, end_time double"
 _STATE = "next_id long, slots array<long>, seqs array<long>, texts array<string>, ends array<double>"
 
@@ -67,7 +69,7 @@ def window_chunks_stream(segments: DataFrame, window_sec: float = 60.0, watermar
             texts += ["" if t is None else t for t in rows["text"]]
             ends += rows["end"].tolist()
         said = sorted(zip(slots, seqs, texts, ends))
-        passed = state.getCurrentWatermarkMs()
+        passed = state.getCurrentWatermarkMs() - _SHIFT_SEC * 1000
         done, rest = [x for x in said if (x[0] + 1) * width <= passed], [x for x in said if (x[0] + 1) * width > passed]
         out = []
         for slot in dict.fromkeys(x[0] for x in done):
@@ -76,9 +78,10 @@ def window_chunks_stream(segments: DataFrame, window_sec: float = 60.0, watermar
             next_id += 1
         state.update((next_id, *([x[k] for x in rest] for k in range(4))))
         if rest:
-            state.setTimeoutTimestamp((rest[0][0] + 1) * width)
-        yield pd.DataFrame(out, columns=["chunk_id", "source_id", "text", "start_time", "end_time"])
+            state.setTimeoutTimestamp((rest[0][0] + 1) * width + _SHIFT_SEC * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["chunk_id", "source_id", "text", "start_time", "end_time"])
 
-    timed = segments.withColumn("ts", F.timestamp_seconds("start")).withWatermark("ts", watermark)
+    timed = segments.withColumn("ts", F.timestamp_seconds(F.col("start") + _SHIFT_SEC)).withWatermark("ts", watermark)
     chosen = timed.select(F.col("source_id").cast("string").alias("source_id"), "ts", F.col("start").cast("double").alias("start"), F.col("seq").cast("long").alias("seq"), F.col("end").cast("double").alias("end"), "text")
     return chosen.groupBy("source_id").applyInPandasWithState(run, _CHUNK, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
