@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import strip
+from quillspan.operators.prefix import running, up_to
 
 
 def sectionize(lines: DataFrame, min_heading_size: float = 14.0) -> DataFrame:
@@ -189,8 +190,11 @@ def doc_preview(chunks: DataFrame, by: str = "source_id", max_chars: int = 3000,
     Chunks beyond those that fill the preview are dropped before they are gathered, so a group of any size is safe.
     """
     kept = chunks.where(strip("text") != "")
-    order = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    needed = kept.withColumn("before", F.coalesce(F.sum(F.length("text") + 2).over(order), F.lit(0))).where(F.col("before") < max_chars)
+    # the chunks before which there is room, told from lengths alone
+    length = F.length("text") + 2
+    summed = running(kept.select(by, "seq", length.cast("long").alias("_length")), by, ["seq"], F.col("_length"))
+    cut = summed.where(F.col("total") - F.col("_length") < max_chars).groupBy(F.col(by).alias("_group")).agg(F.max(F.struct("seq")).alias("_last"))
+    needed = up_to(kept, cut, by, ["seq"])
     needed = needed.withColumn("text", F.substring("text", 1, max_chars))
     body = F.sort_array(F.collect_list(F.struct("seq", "text")))
     bodies = needed.groupBy(by).agg(body.alias("body")).select(by, F.array_join(F.transform("body", lambda x: x["text"]), "\n\n").alias("text"))

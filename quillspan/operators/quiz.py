@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import parse_items, strip, truthy
 from quillspan.operators.graph_build import degrees
+from quillspan.operators.prefix import cuts, running, up_to
 
 
 def stride_sample(chunks: DataFrame, budget: int = 24000) -> DataFrame:
@@ -42,9 +43,13 @@ def triples_near(top: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 50
 
 
 def short_ids(chunks: DataFrame, by: str = "quiz_id") -> DataFrame:
-    """`chunks` (ord) with citation ids C001, C002, ... by position."""
-    position = F.row_number().over(Window.partitionBy(by).orderBy("ord", "chunk_id"))
-    return chunks.withColumn("short_id", F.format_string("C%03d", position))
+    """`chunks` (ord) with citation ids C001, C002, ... by position. A group of any size is numbered in ranges; give keys rather than texts."""
+    return running(chunks, by, ["ord", "chunk_id"], F.lit(0)).drop("total").withColumn("short_id", F.format_string("C%03d", "place")).drop("place")
+
+
+def _id_lengths(place: Column) -> Column:
+    """Characters of the citation ids up to a place: four each, and one more for each digit beyond three."""
+    return sum((F.greatest(place - (10**d - 1), F.lit(0)) for d in range(3, 18)), 4 * place)
 
 
 def validate_questions(items: DataFrame, id_map: DataFrame, wanted: list[str], num_questions: int = 10) -> DataFrame:
@@ -113,19 +118,17 @@ def quiz_context(chunks: DataFrame, triples: DataFrame, budget: int = 24000) ->
 
     chunks: quiz_id, chunk_id, ord, page, text. Relationships (quiz_id, ord, line) take what the chunks that fit leave.
     """
-    named = short_ids(chunks)
     page = F.when(F.col("page").isNotNull(), F.concat(F.lit(" (p. "), F.col("page").cast("string"), F.lit(")"))).otherwise("")
-    entries = named.select("quiz_id", "ord", "short_id", "chunk_id", F.concat(F.lit("["), "short_id", F.lit("]"), page, F.lit(" "), "text").alias("line"), F.lit(0).alias("tier"))
-    both = entries.unionByName(triples.select("quiz_id", "ord", F.lit(None).cast("string").alias("short_id"), F.lit(None).cast("string").alias("chunk_id"), "line", F.lit(1).alias("tier")))
-
-    def fitting(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
-        so_far = Window.partitionBy("quiz_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        counted = rows.withColumn("_total", F.sum(F.length("line")).over(so_far))
-        counted = counted.withColumn("_taken", F.lit(0)) if taken is None else counted.join(taken, "quiz_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-        return counted.where(F.col("_total") + F.col("_taken") <= budget)
-
-    first = fitting(both.where("tier = 0"), None)
-    rest = fitting(both.where("tier = 1"), first.groupBy("quiz_id").agg(F.max("_total").alias("_taken")))
+    order = ["ord", "chunk_id"]
+    # lines but for their ids, whose lengths follow from their places
+    cut = cuts(chunks, "quiz_id", order, 3 + F.length(page) + F.length("text"), budget, extra=_id_lengths(F.col("place"))).checkpoint()
+    # what fits is bounded by the budget, so numbers can be given within it
+    position = F.row_number().over(Window.partitionBy("quiz_id").orderBy(*order))
+    named = up_to(chunks, cut, "quiz_id", order).withColumn("short_id", F.format_string("C%03d", position))
+    first = named.select("quiz_id", "ord", "short_id", "chunk_id", F.concat(F.lit("["), "short_id", F.lit("]"), page, F.lit(" "), "text").alias("line"), F.lit(0).alias("tier"))
+    left = triples.join(cut.select("_group", "_fit"), F.col("quiz_id").eqNullSafe(F.col("_group")), "left").withColumn("_left", F.lit(budget) - F.coalesce("_fit", F.lit(0))).drop("_group", "_fit")
+    below = cuts(left, "quiz_id", ["ord"], F.length("line"), F.col("_left"))
+    rest = up_to(triples, below, "quiz_id", ["ord"]).withColumn("tier", F.lit(1))
     columns = ["quiz_id", "tier", "ord", "line"]
     return first.select(*columns).unionByName(rest.select(*columns)), first.select("quiz_id", "short_id", "chunk_id")
 
@@ -135,6 +138,5 @@ def deep_dive_context(dense: DataFrame, graph: DataFrame, sourced: DataFrame, ch
     both = dense.select("question_id", "chunk_id", F.struct(F.lit(0).alias("way"), F.col("rank").cast("long").alias("rank")).alias("at")).unionByName(graph.select("question_id", "chunk_id", F.struct(F.lit(1).alias("way"), F.col("rank").cast("long").alias("rank")).alias("at")))
     once = both.groupBy("question_id", "chunk_id").agg(F.min("at").alias("at"))
     ranked = once.select("question_id", "chunk_id", F.row_number().over(Window.partitionBy("question_id").orderBy("at", "chunk_id")).alias("rank"))
-    texts = sourced_first(ranked, sourced).join(chunks.select("chunk_id", "text"), "chunk_id")
-    so_far = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return texts.withColumn("_total", F.sum(F.length("text")).over(so_far)).where(F.col("_total") <= max_chars).select("question_id", "chunk_id", "rank")
+    sized = sourced_first(ranked, sourced).join(chunks.select("chunk_id", F.length("text").alias("_size")), "chunk_id")
+    return running(sized, "question_id", ["rank"], F.col("_size")).where(F.col("total") <= max_chars).select("question_id", "chunk_id", "rank")

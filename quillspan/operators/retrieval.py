@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clock, parse_items, relationship_line, sigmoid4, strip, strip_fences, truthy
+from quillspan.operators.prefix import cuts, running, up_to
 from quillspan.operators.similarity import topk
 from quillspan.sources.store import lookup
 
@@ -96,22 +97,28 @@ def rerank(chunks: DataFrame, score_col: str = "logit", min_relevancy: float = 0
     return ranked.drop("rank").withColumnRenamed("new_rank", "rank")
 
 
+#: What stands in place of the first line that doesn't fit.
+MORE = "[{rank}] … (more evidence than fits here)"
+
+
 def pack_context(ranked: DataFrame, max_chars: int = 4000, marker: bool = True) -> DataFrame:
-    """(query_id, rank, line) that fit: numbered lines until the first that would pass max_chars, in whose place a mark may stand."""
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.col("modality"), F.lit(") "), F.col("text"))
-    so_far = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    lines = ranked.select("query_id", "rank", line.alias("line")).withColumn("total", F.sum(F.length("line")).over(so_far))
-    lines = lines.withColumn("over", F.sum((F.col("total") > max_chars).cast("int")).over(so_far))
-    kept = lines.where(F.col("over") <= (1 if marker else 0))
-    cut = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ... (truncated — context limit reached)"))
-    return kept.select("query_id", "rank", F.when(F.col("over") == 1, cut).otherwise(F.col("line")).alias("line"))
+    """(query_id, rank, line) that fit: numbered lines until the first that would pass max_chars, in whose place a mark may stand.
+
+    What fits is told from lengths alone, in ranges of each query's ranks; only lines that fit are then built. Ranks of a query are unique.
+    """
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.col("modality"), F.lit(") "))
+    summed = running(ranked.select("query_id", "rank", (F.length(head) + F.length("text")).cast("long").alias("_length")), "query_id", ["rank"], F.col("_length"))
+    # totals grow, so the first line that doesn't fit is the one before which all did
+    shown = summed.where((F.col("total") <= max_chars) | (F.lit(marker) & (F.col("total") - F.col("_length") <= max_chars)))
+    shown = shown.select(F.col("query_id").alias("_query"), F.col("rank").alias("_rank"), (F.col("total") > max_chars).alias("_cut"))
+    kept = ranked.join(shown, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("rank") == F.col("_rank")))
+    mark = F.replace(F.lit(MORE), F.lit("{rank}"), F.col("rank").cast("string"))
+    return kept.select("query_id", "rank", F.when(F.col("_cut"), mark).otherwise(F.concat(head, "text")).alias("line"))
 
 
 def prefix_by_length(ranked: DataFrame, by: str, max_chars: int, keep_first: bool = True) -> DataFrame:
-    """Rows of each group in order of rank until their texts together would pass max_chars; the first one stays if keep_first."""
-    so_far = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    marked = ranked.withColumn("_total", F.sum(F.length("text")).over(so_far)).withColumn("_first", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
-    return marked.where((F.col("_total") <= max_chars) | ((F.col("_first") == 1) & F.lit(keep_first))).drop("_total", "_first")
+    """Rows of each group in order of rank until their texts together would pass max_chars; the first one stays if keep_first. Rows of one rank stay or go together."""
+    return up_to(ranked, cuts(ranked, by, ["rank"], F.length("text"), max_chars, keep_first), by, ["rank"])
 
 
 def evidence(chunks: DataFrame) -> DataFrame:
@@ -149,11 +156,3 @@ def prompts(asked: DataFrame) -> DataFrame:
     text = F.when(kind == "plain", PROMPTS["plain"]).when(kind == "graph", PROMPTS["graph"]).otherwise(PROMPTS["dense"])
     filled = F.replace(F.replace(F.replace(text, F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("{relationships}"), F.coalesce("relationships", F.lit(""))), F.lit("{question}"), F.col("question"))
     return asked.select("query_id", kind.alias("kind"), filled.alias("prompt"))
-
-
-def subquestion_evidence(dense: DataFrame, graph: DataFrame, verdict: DataFrame | None = None) -> DataFrame:
-    """Parts for merge_evidence: hybrid evidence of each sub-question that isn't judged irrelevant (query_id, is_relevant)."""
-    found = dense.select("query_id", "sub_id", "chunk_id", "rank", F.lit("dense").alias("source")).unionByName(graph.select("query_id", "sub_id", "chunk_id", "rank", F.lit("graph").alias("source")))
-    if verdict is None:
-        return found
-    return found.join(verdict.where("NOT is_relevant").select("query_id").distinct(), "query_id", "left_anti")

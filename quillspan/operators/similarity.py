@@ -21,6 +21,8 @@ from quillspan.operators.chunking import cosine
 QUERY_BYTES, QUERY_BLOCK, PART_VECTORS = 32 << 20, 1024, 50_000
 #: Vectors of a block of band_join, and rows of a product of two matrices that are held at once.
 BLOCK_VECTORS, ROWS_AT_ONCE = 2000, 256
+#: Directions by which band_join tells which blocks can't meet; their angles to all cells are the driver's, a square of this number.
+PIVOTS = 32
 
 
 def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series], np.ndarray] | None = None, features: int = 256, idf: bool = False) -> DataFrame:
@@ -141,30 +143,120 @@ def score_pairs(pairs: DataFrame, a: str = "embedding", b: str = "query_embeddin
     return pairs.withColumn("score", cosine(F.col(a), F.col(b)))
 
 
-def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs: int | None = None, blocks: int | None = None, new_ids: DataFrame | None = None) -> DataFrame:
+def _directions(vectors: DataFrame, count: int) -> np.ndarray:
+    """Up to `count` vectors (those with the smallest hash of id) of the commonest length among them, as unit rows."""
+    some = [r["embedding"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("embedding").collect()]
+    if not some:
+        return np.zeros((0, 0))
+    width = max(sorted({len(x) for x in some}), key=[len(x) for x in some].count)
+    rows = np.array([x for x in some if len(x) == width], np.float64)
+    norm = np.linalg.norm(rows, axis=1)
+    fine = np.isfinite(norm) & (norm > 0)
+    return rows[fine] / norm[fine, None]
+
+
+def _placed(held: pa.Array, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, angles to all pivots, norm) of vectors; the cell is the nearest pivot, or one past the last for vectors that have no angles."""
+    n, k = len(held), len(pivots)
+    cell, angles, norms = np.full(n, k), np.zeros((n, k)), np.zeros(n)
+    if k:
+        fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(held), pivots.shape[1]), False).to_numpy(zero_copy_only=False))
+        rows = held.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), pivots.shape[1])
+        norm = np.linalg.norm(rows, axis=1)
+        fine = np.isfinite(norm) & (norm > 0)
+        fits, rows, norm = fits[fine], rows[fine], norm[fine]
+        angles[fits] = np.arccos(np.clip((rows / norm[:, None]) @ pivots.T, -1, 1))
+        norms[fits] = norm
+        cell[fits] = angles[fits].argmin(axis=1)
+    return cell, angles, norms
+
+
+def cells_that_meet(low: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Which pairs of cells may hold vectors with lo <= inner product <= hi.
+
+    low and high (cell, pivot): the smallest and largest angle of a cell's vectors to each pivot; least and most: their norms.
+    By the triangle inequality the angle between vectors of two cells is at least the gap between their angles to any
+    pivot and at most the sum of these. A margin covers rounding.
+    """
+    slack = 1e-6
+    gap = np.maximum(low[:, None, :] - high[None, :, :], low[None, :, :] - high[:, None, :]).max(axis=2, initial=0.0)
+    span = np.minimum(high[:, None, :] + high[None, :, :], math.pi).min(axis=2, initial=math.pi)
+    nearest, farthest = np.cos(np.maximum(gap - slack, 0)), np.cos(np.minimum(span + slack, math.pi))
+    big, small = most[:, None] * most[None, :], least[:, None] * least[None, :]
+    best = np.where(nearest >= 0, big, small) * nearest
+    worst = np.where(farthest >= 0, small, big) * farthest
+    margin = slack * (1 + big)
+    return (best + margin >= lo) & (worst - margin <= hi)
+
+
+def _cell_bounds(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """low, high, least and most as cells_that_meet takes them, the last cell without bounds. A row a cell and pivot comes from each task."""
+    k = len(pivots)
+
+    def run(batches):
+        low, high, least, most = np.full((k, k), np.inf), np.full((k, k), -np.inf), np.full(k, np.inf), np.full(k, -np.inf)
+        for batch in batches:
+            cell, angles, norms = _placed(batch.column(0), pivots)
+            for c in np.unique(cell[cell < k]):
+                mine = cell == c
+                low[c], high[c] = np.minimum(low[c], angles[mine].min(axis=0)), np.maximum(high[c], angles[mine].max(axis=0))
+                least[c], most[c] = min(least[c], norms[mine].min()), max(most[c], norms[mine].max())
+        c, p = (x.ravel() for x in np.indices((k, k)))
+        seen = np.isfinite(least[c])
+        yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (c, p, low[c, p], high[c, p], least[c], most[c])], ["c", "p", "low", "high", "least", "most"])
+
+    rows = vectors.select("embedding").mapInArrow(run, "c long, p long, low double, high double, least double, most double")
+    rows = rows.groupBy("c", "p").agg(F.min("low"), F.max("high"), F.min("least"), F.max("most")).collect()
+    low, high, least, most = np.zeros((k + 1, k)), np.full((k + 1, k), math.pi), np.zeros(k + 1), np.full(k + 1, np.inf)
+    for c, p, *x in rows:
+        low[c, p], high[c, p], least[c], most[c] = x
+    return low, high, least, most
+
+
+def band_join(vectors: DataFrame, lo: float = 0.55, hi: float = 0.90, max_pairs: int | None = None, blocks: int | None = None, new_ids: DataFrame | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(a, b, score) of unordered pairs (a < b) with lo <= score <= hi; with max_pairs the highest, ties by a and b.
 
-    Exact: vectors are dealt in blocks of about BLOCK_VECTORS and each pair of blocks is one task's matrix product. The
-    work grows with the square of the vectors, as the task is stated; each vector travels once for each block. With
-    new_ids (id) only pairs with a new vector are given; old and new ones have blocks of their own, and old blocks don't
-    meet. near_band_join takes less work and may miss pairs.
+    Exact. Vectors go to the nearest of a few `pivots`, and a pivot's vectors to blocks of about BLOCK_VECTORS; each pair of
+    blocks is one task's matrix product. Pairs of pivots whose vectors can't score within the band, as their angles to
+    all pivots tell, are left out. The rest grows with the square of the vectors, as the task is stated; each vector
+    travels once for each block that its own meets. With new_ids (id) only pairs with a new vector are given; old and
+    new ones have blocks of their own, and old blocks don't meet. near_band_join takes less work and may miss pairs.
 
     Vectors that are null or of unequal lengths, and rows without an id, pair with nothing. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     vectors = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
-    many = lambda rows: blocks or max(1, -(-rows.count() // BLOCK_VECTORS))
-    if new_ids is None:
-        marked, old = vectors.withColumn("new", F.lit(True)), 0
-    else:
-        marked = vectors.join(new_ids.select("id", F.lit(True).alias("new")).distinct(), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
-        old = many(marked.where("NOT new"))
-    total = old + many(marked.where("new"))
-    hashed = F.xxhash64("id")
-    dealt = marked.select("id", "embedding", F.when(F.col("new"), old + F.pmod(hashed, F.lit(total - old))).otherwise(F.pmod(hashed, F.lit(max(1, old)))).alias("own"))
-    met = F.sequence(F.when(F.col("own") < old, F.lit(old)).otherwise(F.lit(0)), F.lit(total - 1))
-    pair = F.transform(met, lambda k: F.struct(F.least(k.cast("long"), F.col("own")).alias("i"), F.greatest(k.cast("long"), F.col("own")).alias("j")))
-    schema = "a {0}, b {0}, score double".format(vectors.schema["id"].dataType.simpleString())
-    empty = vectors.sparkSession.createDataFrame([], schema).toArrow().schema
+    kind = vectors.schema["id"].dataType.simpleString()
+    ways = _directions(vectors, pivots)
+    known = vectors.withColumn("new", F.lit(True)) if new_ids is None else vectors.join(new_ids.select("id", F.lit(True).alias("new")).distinct(), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+
+    def to_cells(batches):
+        for batch in batches:
+            cell = _placed(batch.column(1), ways)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], ["id", "embedding", "new", "cell"])
+
+    element = vectors.schema["embedding"].dataType.simpleString()
+    marked = known.select("id", "embedding", "new").mapInArrow(to_cells, f"id {kind}, embedding {element}, new boolean, cell long")
+    sizes = {(r["cell"], r["new"]): r["count"] for r in marked.groupBy("cell", "new").count().collect()}
+    room = BLOCK_VECTORS if blocks is None else max(1, -(-sum(sizes.values()) // blocks))
+    cells, at, first = len(ways) + 1, 0, {}
+    for c in range(cells):
+        for new in (False, True):
+            parts = -(-sizes.get((c, new), 0) // room)
+            first[c, new] = (at, parts)
+            at += parts
+    meet = cells_that_meet(*_cell_bounds(vectors, ways), lo, hi)
+    table = []
+    for (c, new), (start, parts) in first.items():
+        others = [first[o, way] for o in range(cells) if meet[c, o] for way in ((False, True) if new else (True,))]
+        if parts:
+            table.append((c, new, start, parts, [(s, s + n - 1) for s, n in others if n]))
+    placed = spark.createDataFrame(table, "cell long, new boolean, start long, parts long, runs array<struct<first:long,last:long>>")
+    dealt = marked.join(F.broadcast(placed), ["cell", "new"]).withColumn("own", F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")))
+    met = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
+    pair = F.transform(met, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    schema = f"a {kind}, b {kind}, score double"
+    empty = spark.createDataFrame([], schema).toArrow().schema
 
     def run(table: pa.Table) -> pa.Table:
         i, j, own = table["i"][0].as_py(), table["j"][0].as_py(), table["own"].to_numpy()

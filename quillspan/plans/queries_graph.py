@@ -341,7 +341,7 @@ def _ranked(chunks):
 
 @register.add("w1_pack_context", "chunks", oracle=f"""WITH {_RANKED}, l AS (SELECT query_id, rank, '[' || CAST(rank AS STRING) || '] (' || modality || ') ' || text AS line FROM ranked),
   t AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM l), f AS (SELECT query_id, min(rank) AS first_over FROM t WHERE total > 4000 GROUP BY 1)
-  SELECT t.query_id, rank, CASE WHEN total <= 4000 THEN line ELSE '[' || CAST(rank AS STRING) || '] ... (truncated — context limit reached)' END AS line FROM t LEFT JOIN f USING (query_id) WHERE total <= 4000 OR rank = first_over""")
+  SELECT t.query_id, rank, CASE WHEN total <= 4000 THEN line ELSE '[' || CAST(rank AS STRING) || '] … (more evidence than fits here)' END AS line FROM t LEFT JOIN f USING (query_id) WHERE total <= 4000 OR rank = first_over""")
 def pack_context(chunks):
     return R.pack_context(_ranked(chunks))
 
