@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_terms, illustration, make_key, strip
@@ -204,7 +204,24 @@ def suggestions(nodes: DataFrame, n: int = 6, seed: int = 0) -> DataFrame:
     return first.select("key", F.replace("template", F.lit("{name}"), strip("name")).alias("question"))
 
 
+def _summary_rows(totals: DataFrame, warnings: DataFrame, most: int) -> DataFrame:
+    texts = F.explode(F.array(F.concat(F.col("ok").cast("string"), F.lit(" files read")), F.concat(F.col("bad").cast("string"), F.lit(" files failed"))))
+    first = warnings.orderBy("seq").limit(most).select(F.lit("warning").alias("kind"), "text")
+    return totals.select(F.lit("total").alias("kind"), texts.alias("text")).unionByName(first)
+
+
+def _outcomes() -> list[Column]:
+    return [F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")]
+
+
 def ingest_summary(files: DataFrame, warnings: DataFrame, most: int = 20) -> DataFrame:
     """(kind, text): files read and failed (path, error), then the first warnings (seq, text)."""
-    totals = files.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).select(F.explode(F.array(F.concat(F.col("ok").cast("string"), F.lit(" files read")), F.concat(F.col("bad").cast("string"), F.lit(" files failed")))).alias("text"))
-    return totals.select(F.lit("total").alias("kind"), "text").unionByName(warnings.orderBy("seq").limit(most).select(F.lit("warning").alias("kind"), "text"))
+    return _summary_rows(files.agg(*_outcomes()), warnings, most)
+
+
+def write_with_summary(files: DataFrame, path: str, warnings: DataFrame, most: int = 20) -> DataFrame:
+    """What was read of `files` (path, error and any other columns) written to `path`, and the summary: files are counted by the scan that writes those without an error."""
+    seen = Observation()
+    files.observe(seen, *_outcomes()).where("error IS NULL").drop("error").write.parquet(path)
+    counts = seen.get
+    return _summary_rows(files.sparkSession.createDataFrame([(counts["ok"], counts["bad"])], "ok long, bad long"), warnings, most)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, IDFModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,12 @@ PIVOTS = 32
 def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series], np.ndarray] | None = None, features: int = 256, idf: bool = False) -> DataFrame:
     """`df` with a unit vector of its text: by embed_fn in batches, else by hashed word counts. Null and empty texts give zeros.
 
-    With `idf` counts are weighted by how rare their words are in `df`, log((n + 1) / (rows with the word + 1)).
+    With `idf` counts are weighted by how rare their words are in `df`; fit_encoder keeps such weights for other texts.
     """
     if embed_fn is None:
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_counts").transform(df.withColumn("_words", words))
         if idf:
-            counted = IDF(inputCol="_counts", outputCol="_weighed").fit(counted).transform(counted).drop("_counts").withColumnRenamed("_weighed", "_counts")
-        return counted.withColumn("embedding", _unit(vector_to_array("_counts"))).drop("_words", "_counts")
+            return fit_encoder(df, features, text_col).encode(df, text_col)
+        return _counted(df, text_col, features).withColumn("embedding", _unit(vector_to_array("_counts"))).drop("_words", "_counts")
 
     def run(frames):
         for pdf in frames:
@@ -47,6 +46,44 @@ def embed(df: DataFrame, text_col: str = "text", embed_fn: Callable[[pd.Series],
     return df.drop("embedding").mapInPandas(run, f"{schema}, embedding array<float>")
 
 
+_WORDS = r"[^\p{L}\p{N}]+"
+
+
+@dataclass(frozen=True)
+class TextEncoder:
+    """Hashed word counts, weighted by how rare words are in the corpus that it was fitted on, as unit vectors.
+
+    The corpus and whatever is compared with it are encoded by the same weights; fit_encoder makes one, `save` and
+    `load_encoder` keep it.
+    """
+
+    model: IDFModel
+    features: int
+
+    def encode(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """`df` with the embedding of its text. Null and empty texts, and those of words that every row of the corpus has, give zeros."""
+        weighed = self.model.transform(_counted(df, text_col, self.features))
+        return weighed.withColumn("embedding", _unit(vector_to_array("_weighed"))).drop("_words", "_counts", "_weighed")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+
+def _counted(df: DataFrame, text_col: str, features: int) -> DataFrame:
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _WORDS), lambda w: w != "")
+    return HashingTF(numFeatures=features, inputCol="_words", outputCol="_counts").transform(df.withColumn("_words", words))
+
+
+def fit_encoder(corpus: DataFrame, features: int = 256, text_col: str = "text") -> TextEncoder:
+    """An encoder whose weights are log((n + 1) / (rows with the word + 1)) over `corpus`: one pass, and `features` numbers at the driver."""
+    return TextEncoder(IDF(inputCol="_counts", outputCol="_weighed").fit(_counted(corpus.select(text_col), text_col, features)), features)
+
+
+def load_encoder(path: str) -> TextEncoder:
+    model = IDFModel.load(path)
+    return TextEncoder(model, int(model.idf.size))
+
+
 def _unit(counts: Column) -> Column:
     """The array over its length, as floats; zeros stay zeros."""
     with_norm = F.struct(counts.alias("x"), F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))

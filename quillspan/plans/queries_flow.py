@@ -13,6 +13,7 @@ from quillspan.operators import similarity as V
 from quillspan.plans.queries_build import bundle
 from quillspan.plans.queries_graph import _RELEVANT, _TOP, _others, _relevant
 from quillspan.plans.registered import Register
+from quillspan.session import working_path
 
 register = Register()
 
@@ -113,6 +114,14 @@ def summary(pages, nation):
     return P.ingest_summary(files, nation.select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("text")))
 
 
+@register.add("a8_one_job", "pages", "nation", oracle="""SELECT 'total' AS kind, CAST(count(*) FILTER (WHERE page_id % 10 > 0) AS STRING) || ' files read' AS text FROM pages
+  UNION ALL SELECT 'total', CAST(count(*) FILTER (WHERE page_id % 10 = 0) AS STRING) || ' files failed' FROM pages UNION ALL SELECT 'warning', n_name FROM nation WHERE n_nationkey < 20""")
+def summary_in_one_job(pages, nation):
+    """What was read is written, and counted by the same scan."""
+    files = pages.select(F.col("url").alias("path"), "html", F.expr("CASE WHEN page_id % 10 = 0 THEN 'bad' END").alias("error"))
+    return P.write_with_summary(files, working_path(pages.sparkSession, "files"), nation.select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("text")))
+
+
 @register.add("p5_evaluation", "vectors", "vector_queries", "embeddings", oracle=f"""WITH {_TOP}, {_RELEVANT}, r AS (SELECT query_id, rank, (query_id, id) IN (SELECT query_id, id FROM rel) AS good FROM top WHERE id <> query_id),
   k AS (SELECT query_id, min(rank) FILTER (WHERE good) AS a, min(rank) FILTER (WHERE good AND rank <= 3) AS b FROM r GROUP BY 1)
   SELECT 'mrr' AS metric, round(avg(coalesce(1.0 / a, 0)), 6) AS top5, round(avg(coalesce(1.0 / b, 0)), 6) AS top3 FROM k""")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import evaluation as E
 from quillspan.operators import graph_build as B
 from quillspan.operators import graph_walk as G
 from quillspan.operators import metrics as M
 from quillspan.operators import quiz as Q
 from quillspan.operators import retrieval as R
 from quillspan.operators import similarity as V
+from quillspan.operators.answer import answer_context
 from quillspan.plans.registered import Register
 from quillspan.sources import store as S
 
@@ -500,15 +502,17 @@ def entities(lines):
     return M.distinct_entities(lines.select(F.col("source_id").alias("chunk_id"), F.col("text").alias("entity"), F.col("line_no").alias("pos")))
 
 
-def _text_flow(chunks, nodes, tree, related, questions, **options):
-    """The answer flow over the whole graph for the first turn of every conversation, ids that 100 divides; all texts embedded alike."""
-    from quillspan.operators.answer import answer_context
-
-    embed = lambda df: V.embed(df, features=64)
+def _text_flow(chunks, nodes, tree, related, questions):
+    """What the answer flow takes, for the first turn of every conversation, ids that 100 divides, and the whole graph; all texts are encoded by weights fitted on the chunks."""
+    embed = V.fit_encoder(chunks, 64).encode
     graph = embed(nodes.withColumn("text", F.concat_ws(" ", "name", "summary"))).drop("text").withColumns({"key_terms": F.array(F.lower("name")), "source_ids": F.array(F.concat(F.lit("doc_"), F.col("vec").cast("string")))})
     edges = tree.withColumn("label", F.lit(None).cast("string")).drop("seq").unionByName(related.select("src", "dst", F.lit("RELATED_TO").alias("relation"), "label").distinct())
     vectors = embed(chunks.select(F.col("chunk_id").alias("id"), "text")).drop("text")
-    return answer_context(questions.where("query_id % 100 = 0"), chunks, vectors, graph, edges, embed, max_sources=8, second_min=0.05, threshold=0.1, **options)
+    # nodes are read for anchors, scopes and every hop, edges in every hop
+    return questions.where("query_id % 100 = 0"), chunks, vectors, graph.checkpoint(), edges.checkpoint(), embed
+
+
+_FLOW = {"max_sources": 8, "second_min": 0.05, "threshold": 0.1}
 
 
 def _model_answers(questions):
@@ -522,10 +526,31 @@ def _model_answers(questions):
 @register.add("p2_hybrid_retrieval", "chunks", "nodes", "tree", "related", "questions")
 def hybrid_retrieval(chunks, nodes, tree, related, questions):
     """Questions to packed contexts: sub-questions, routing, dense and graph evidence, the gate, one reranked context each."""
-    return _text_flow(chunks, nodes, tree, related, questions, **_model_answers(questions)).context
+    return answer_context(*_text_flow(chunks, nodes, tree, related, questions), **_model_answers(questions), **_FLOW).context
 
 
 @register.add("p2_hybrid_forced", "chunks", "nodes", "tree", "related", "questions")
 def hybrid_forced(chunks, nodes, tree, related, questions):
     """The same with both ways for every question and no gate: (query_id, chunk_id, source, rank)."""
-    return _text_flow(chunks, nodes, tree, related, questions, forced_mode="hybrid", **_model_answers(questions)).evidence.select("query_id", "chunk_id", "source", "rank")
+    return answer_context(*_text_flow(chunks, nodes, tree, related, questions), forced_mode="hybrid", **_model_answers(questions), **_FLOW).evidence.select("query_id", "chunk_id", "source", "rank")
+
+
+def _variants(chunks, nodes, tree, related, questions):
+    return E.variant_evidence(*_text_flow(chunks, nodes, tree, related, questions), **_model_answers(questions), **_FLOW)
+
+
+@register.add("p5_variant_evidence", "chunks", "nodes", "tree", "related", "questions")
+def variant_evidence(chunks, nodes, tree, related, questions):
+    """What four ways of retrieving find for the same questions, in one run."""
+    return _variants(chunks, nodes, tree, related, questions).select("variant", "query_id", "chunk_id", "source", "rank")
+
+
+@register.add("p5_variants", "chunks", "nodes", "tree", "related", "questions")
+def variants(chunks, nodes, tree, related, questions):
+    """The four ways measured over all these questions. As relevant count chunks of a third of the sources, dealt to questions by number."""
+    asked = questions.where("query_id % 100 = 0")
+    found = _variants(chunks, nodes, tree, related, questions).checkpoint()
+    # only pairs that a way found can count
+    met = found.join(chunks.select("chunk_id", "seq"), "chunk_id").where("pmod(seq, 3) = pmod(query_id DIV 100, 3)").select("query_id", "chunk_id").distinct()
+    answered = found.groupBy(F.col("variant").alias("system"), "query_id").agg((F.max("relevancy_score") >= 0.5).alias("is_supported"), (F.count(F.lit(1)) > 4).alias("is_useful"))
+    return E.compare_variants(found, met, asked, answered)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.functions.tables import register_table_functions
 from quillspan.operators import chunking as C
 from quillspan.operators import retrieval as R
 from quillspan.plans.registered import Register
@@ -210,11 +211,51 @@ def hard_split(documents):
     return C.hard_split(documents.select(F.col("doc_id").alias("id"), T.strip("text").alias("text")), 400)
 
 
-@register.add("c2_split_sections", "documents")
+#: Sections longer than 400 characters, of paragraphs between blank lines: cut, then put together as far as they fit.
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PACKED = f"""RECURSIVE sections AS (SELECT doc_id, {{text}} AS text FROM documents WHERE text IS NOT NULL),
+  paragraphs AS (SELECT doc_id, pos, {_STRIP.format("p")} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS pos FROM sections WHERE length(text) > 400) WHERE {_STRIP.format("p")} <> ''),
+  cuts AS (
+    SELECT doc_id, pos, p AS rest, 0 AS part, NULL::VARCHAR AS piece FROM paragraphs
+    UNION ALL
+    SELECT doc_id, pos, CASE WHEN length(rest) <= 400 THEN '' ELSE {_STRIP.format("substring(rest, cut_at + 1)")} END, part + 1, CASE WHEN length(rest) <= 400 THEN rest ELSE {_STRIP.format("substring(rest, 1, cut_at)")} END
+    FROM (SELECT *, CASE WHEN contains(substring(rest, 1, 400), '. ') THEN 400 - strpos(reverse(substring(rest, 1, 400)), ' .') ELSE 400 END AS cut_at FROM cuts) WHERE rest <> ''
+  ), pieces AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS i FROM cuts WHERE part > 0),
+  packed AS (
+    SELECT doc_id, i, 0 AS part, length(piece) AS size, piece FROM pieces WHERE i = 1
+    UNION ALL
+    SELECT n.doc_id, n.i, CASE WHEN k.size + length(n.piece) <= 400 THEN k.part ELSE k.part + 1 END, CASE WHEN k.size + length(n.piece) <= 400 THEN k.size + length(n.piece) ELSE length(n.piece) END, n.piece
+    FROM packed k JOIN pieces n ON n.doc_id = k.doc_id AND n.i = k.i + 1
+  )
+  SELECT doc_id, CAST(part AS INT) AS part, string_agg(piece, chr(10) || chr(10) ORDER BY i) AS text FROM packed GROUP BY doc_id, part
+  UNION ALL SELECT doc_id, 0, text FROM sections WHERE length(text) <= 400"""
+
+#: Windows of 1200 characters that share about 100: each ends behind the last sentence or line end in it, unless it is the last.
+_SEG = "substring(text, start_at + 1, 1200)"
+_WINDOWS = f"""RECURSIVE w AS (
+    SELECT doc_id, text, CAST(0 AS BIGINT) AS start_at, CAST(-1 AS BIGINT) AS begun, NULL::VARCHAR AS piece FROM documents WHERE length(text) > 1200
+    UNION ALL
+    SELECT doc_id, text, CASE WHEN stop >= length(text) THEN length(text) ELSE greatest(start_at + 1, stop - 100) END, start_at, {_STRIP.format("substring(text, start_at + 1, stop - start_at)")}
+    FROM (SELECT *, CASE WHEN start_at + 1200 < length(text) AND mark > 0 THEN start_at + mark + 1 ELSE start_at + 1200 END AS stop
+      FROM (SELECT *, greatest(CASE WHEN contains({_SEG}, '. ') THEN 1199 - strpos(reverse({_SEG}), ' .') ELSE -1 END, CASE WHEN contains({_SEG}, '.' || chr(10)) THEN 1199 - strpos(reverse({_SEG}), chr(10) || '.') ELSE -1 END,
+                               CASE WHEN contains({_SEG}, chr(10)) THEN 1200 - strpos(reverse({_SEG}), chr(10)) ELSE -1 END) AS mark FROM w WHERE start_at < length(text)))
+  )
+  SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY begun) - 1 AS INT) AS win_no, piece AS win_text FROM w WHERE piece <> ''
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 1200"""
+
+
+@register.add("c2_split_sections", "documents", oracle=f"WITH {_PACKED.format(text='text')}", oracle_views=())
 def split_sections(documents):
     return C.split_sections(documents.select("doc_id", "text"), 400)
 
 
+@register.add("x4_section_parts", "documents", oracle=f"WITH {_PACKED.format(text='replace(text, chr(10), chr(10) || chr(10))')}", oracle_views=())
+def section_parts(documents):
+    """The same as a table function in SQL, over texts whose lines are paragraphs."""
+    register_table_functions(documents.sparkSession)
+    return documents.sparkSession.sql("SELECT d.doc_id, p.part, p.piece AS text FROM {documents} d, LATERAL section_parts(replace(d.text, '\n', '\n\n'), 400) p", documents=documents)
+
+
 @register.add("c4_j9_chunk_images", "lines", "pages", oracle="""WITH marked AS (SELECT *, sum(CASE WHEN font_size >= 14 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY line_no) AS sec, font_size >= 14 AS heading FROM lines),
   s AS (SELECT source_id, sec, arg_min(page_number, line_no) AS page_start, arg_max(page_number, line_no) FILTER (WHERE NOT heading) AS page_end FROM marked GROUP BY source_id, sec HAVING count(*) FILTER (WHERE NOT heading) > 0),
   c AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sec) - 1 AS seq FROM s),
@@ -252,11 +293,24 @@ def change_points(embeddings):
     return C.change_points(frames, 0.05).withColumn("similarity", F.round("similarity", 6))
 
 
-@register.add("c8_overlap_windows", "documents")
+@register.add("c8_overlap_windows", "documents", oracle=f"WITH {_WINDOWS}", oracle_views=())
 def overlap_windows(documents):
     return C.overlap_windows(documents.select(F.col("doc_id").alias("id"), "text"))
 
 
+@register.add("x4_overlap_windows", "documents", oracle=f"WITH {_WINDOWS}", oracle_views=())
+def overlap_windows_sql(documents):
+    register_table_functions(documents.sparkSession)
+    return documents.sparkSession.sql("SELECT d.doc_id AS id, p.* FROM {documents} d, LATERAL overlap_windows(d.text, 1200, 100) p", documents=documents)
+
+
+@register.add("x4_hard_split", "documents", oracle=f"WITH {_HARD} SELECT doc_id AS id, CAST(part - 1 AS INT) AS part, piece FROM cuts WHERE part > 0", oracle_views=())
+def hard_split_sql(documents):
+    register_table_functions(documents.sparkSession)
+    trimmed = documents.withColumn("text", T.strip("text"))
+    return documents.sparkSession.sql("SELECT d.doc_id AS id, p.* FROM {documents} d, LATERAL hard_split(d.text, 400) p", documents=trimmed)
+
+
 @register.add("c9_preview", "chunks", oracle="""SELECT source_id, substring('Source files: ' || string_agg(DISTINCT source_id || '_' || modality, ', ' ORDER BY source_id || '_' || modality) || chr(10) || chr(10)
   || string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE trim(text) <> ''), 1, 3000) AS preview FROM chunks GROUP BY source_id""")
 def preview(chunks):

@@ -1,5 +1,6 @@
 """The flow from questions to contexts on a few rows whose results are plain to see."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspan.operators import similarity as V
@@ -52,3 +53,42 @@ def test_no_questions_and_no_graph(spark):
     assert none.modes.count() == none.evidence.count() == none.context.count() == 0
     bare = answer_context(questions.where("query_id = 2"), chunks, vectors, nodes.limit(0), edges, embed)
     assert bare.evidence.count() == 0 and _rows(bare.modes, "query_id", "mode") == [(2, "graph")]
+
+
+def test_variants_share_one_run_and_equal_their_own(spark):
+    from quillspan.operators import evaluation as E
+
+    questions, chunks, vectors, nodes, edges, embed, responses, classes, judged = _inputs(spark)
+    got = E.variant_evidence(questions, chunks, vectors, nodes, edges, embed, responses, classes, judged, k=1, threshold=0.3).checkpoint()
+    columns = ("query_id", "chunk_id", "source", "rank", "relevancy_score")
+    for name, options in (("dense", {"forced_mode": "dense"}), ("graph", {"forced_mode": "graph"}), ("full", {"judged": judged})):
+        alone = answer_context(questions, chunks, vectors, nodes, edges, embed, responses, classes, k=1, threshold=0.3, **options)
+        assert _rows(got.where(f"variant = '{name}'"), *columns) == _rows(alone.evidence, *columns)
+    # the gate drops what is judged irrelevant and nothing else
+    gated, dense = (_rows(got.where(f"variant = '{v}'"), *columns) for v in ("gated", "dense"))
+    assert gated == [r for r in dense if r[0] != 5] and len(gated) < len(dense)
+    relevant = spark.createDataFrame([(1, "c1"), (2, "c3"), (5, "c1"), (6, "c9")], "query_id long, chunk_id string")
+    verdicts = spark.createDataFrame([("full", True, True), ("full", False, True)], "system string, is_supported boolean, is_useful boolean")
+    table = {r.metric: r for r in E.compare_variants(got, relevant, questions, verdicts).collect()}
+    good = {(r.query_id, r.chunk_id) for r in relevant.collect()}
+    for v in ("dense", "graph", "gated", "full"):
+        rows = [(q, c, r) for q, c, _, r, _ in _rows(got.where(f"variant = '{v}'"), *columns)]
+        first = {q: min([r for p, c, r in rows if p == q and (p, c) in good], default=None) for q in (1, 2, 3, 4, 5, 6)}
+        assert abs(table["mrr"][v] - sum(1 / r for r in first.values() if r) / 6) < 1e-9
+        assert abs(table["hit_rate"][v] - sum(r is not None and r <= 5 for r in first.values()) / 6) < 1e-9
+        shares = [[(p, c) in good for p, c, _ in rows if p == q] for q in first]
+        assert abs(table["precision"][v] - sum(sum(s) / len(s) for s in shares if s) / 6) < 1e-9
+    assert table["supported"]["full"] == 0.5 and table["useful"]["dense"] is None
+
+
+def test_an_encoder_is_fitted_once_and_kept(spark, tmp_path):
+    corpus = spark.createDataFrame([("a b",), ("a c",), ("a a d",), (None,)], "text string")
+    encoder = V.fit_encoder(corpus, 4096)
+    encoder.save(str(tmp_path / "encoder"))
+    asked = spark.createDataFrame([("b",), ("c d",), ("a",), ("",)], "text string")
+    for e in (encoder, V.load_encoder(str(tmp_path / "encoder"))):
+        b, cd, a, none = (r.embedding for r in e.encode(asked).collect())
+        assert max(b) == 1.0 and sorted(x for x in cd if x) == [np.float32(0.5**0.5)] * 2 and max(none) == 0.0 and max(a) == 1.0
+    # weights are the corpus's, whatever is encoded: log(5 / 4) for a, log(5 / 2) for b
+    mixed = sorted((x for x in encoder.encode(spark.createDataFrame([("a b",)], "text string")).first().embedding if x), reverse=True)
+    assert abs(mixed[1] / mixed[0] - np.log(5 / 4) / np.log(5 / 2)) < 1e-6
