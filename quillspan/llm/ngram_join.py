@@ -338,18 +338,21 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, value): whole sets of the documents in `nodes`, and of the few others that a bitmap lets pass.
+    """(node, value): whole sets of `nodes` (node, rep, key), read from the rows of their documents `rep` whose sets have their keys.
 
     For up to FILTER_NODES nodes a bitmap of fixed size goes to all tasks, so that texts are neither shuffled nor all
-    split. For more it would let most texts pass, so they are joined with the nodes.
+    split. For more it would let most texts pass, so they are joined with the nodes. Either way the sets are then joined
+    with the nodes, as an id may have rows of other texts; of rows that repeat one counts.
     """
-    schema = "node long, value binary"
+    schema = "id long, key binary, value binary"
 
     def sets(batch: pa.RecordBatch, hashes: WordHashes):
         for start, texts in text_slices(batch.column(1), SLICE):
             found = [x.tobytes() for x in shingle_sets(texts, words, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found, pa.binary())], ["node", "value"])
+            keys = [xxhash.xxh3_128_digest(x) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["id", "key", "value"])
 
+    reps = nodes.select(F.col("rep").alias("id")).distinct()
     if nodes.count() > FILTER_NODES:
 
         def every(batches):
@@ -357,22 +360,27 @@ def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             for batch in batches:
                 yield from sets(batch, hashes)
 
-        return docs.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "text").mapInArrow(every, schema)
-    shared = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
-    marked = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"bit{k}") for k in (1, 2)))
+        found = docs.join(reps, "id", "left_semi").select("id", "text").mapInArrow(every, schema)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(node_filter(reps.withColumnRenamed("id", "node")))
+        marked = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"bit{k}") for k in (1, 2)))
 
-    def run(batches):
-        bits, hashes = shared.value, WordHashes()
-        for batch in batches:
-            at = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
-            ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
-            yield from sets(batch.filter(pa.array(ok)), hashes)
+        def run(batches):
+            bits, hashes = shared.value, WordHashes()
+            for batch in batches:
+                at = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
+                ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
+                yield from sets(batch.filter(pa.array(ok)), hashes)
 
-    return marked.mapInArrow(run, schema)
+        found = marked.mapInArrow(run, schema)
+    return found.join(broadcast_if_small(nodes.withColumnRenamed("rep", "id")), ["id", "key"]).select("node", "value").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """The pairs whose whole sets are as similar as numer / denom; spooled. Wide sketches, a thirtieth of the sets' size, go first."""
+    """The pairs whose whole sets are as similar as numer / denom; spooled. Wide sketches, a thirtieth of the sets' size, go first.
+
+    wide: node, rep, key, n, wide for each node.
+    """
 
     def may(a: dict, b: dict) -> bool:
         return sketches_differ(a["wide"], b["wide"]) * (numer + denom) <= (a["n"] + b["n"]) * (denom - numer)
@@ -386,12 +394,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, nu
     pairs = spool(pairs, "member-pairs")
     near = spool(_filtered(pairs, may, wide.select("node", F.struct("wide", "n").alias("value"))), "near-pairs")
     nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = spool(_members(docs, nodes, words), "sets")
+    sets = spool(_members(docs, wide.select("node", "rep", "key").join(nodes, "node", "left_semi"), words), "sets")
     links = spool(_filtered(near, alike, sets), "links")
     discard(pairs, near, sets)
     return links
 
 
+def _of_one_id(signed: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """`components` with the classes of each id as one; ids of several classes are told by hashes of their keys, before any join."""
+    hashes = [F.xxhash64("key"), F.xxhash64(F.lit(1), "key")]
+    sound = signed.where("n > 0 AND id IS NOT NULL")
+    several = sound.groupBy("id").agg(*(f(h).alias(f"{name}{k}") for k, h in enumerate(hashes) for f, name in ((F.min, "low"), (F.max, "high")))).where("low0 < high0 OR low1 < high1").select("id")
+    links = sound.join(several, "id", "left_semi").select("id", "key").distinct().join(classes.select("key", "node"), "key")
+    links = spool(links.join(links.groupBy("id").agg(F.min("node").alias("b")), "id").where("node > b").select(F.col("node").alias("a"), "b"), "id-links")
+    if links.isEmpty():
+        return components
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numer: int = 80, denom: int = 100) -> DataFrame:
     """One row for each row of `docs`: id_col (long), n_shingles, component_id.
 
@@ -407,14 +427,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     components is lost. Sets just below the threshold to many others are all verified, pair by pair.
 
     Texts that are null or have no words have no shingles and link with nothing. A row without an id links with
-    nothing and has no component. Where an id repeats, its rows' sets link as one document's if it is the smallest id of
-    each. Texts of any length are read whole. An empty table gives no rows. Other columns are not read.
+    nothing and has no component. Rows that repeat an id are one document: what any of them links with is linked with all.
+    Texts of any length are read whole. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = spool(signatures(rows, words, numer, denom), "signatures")
     same = [F.first(c).alias(c) for c in ("n", "group_key", "prefix", *_words("s", str))]
-    classes = spool(signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node"), *same), "classes")
+    # a class has a number of its own, as an id may have rows of several classes
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), *same)
+    classes = spool(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     groups, members = grouped(classes)
     postings = spool(_postings(groups), "postings")
     buckets = max(shuffle_partitions(spark) * 2, postings.count() // 50_000)
@@ -423,7 +445,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a list or group without a candidate now has none later: what may pass doesn't change
     active = raw.select(F.col("a").alias("gid")).union(raw.select(F.col("b").alias("gid"))).distinct()
     own = spool(members.join(active.union(groups.where("size > 1").select("gid")).distinct(), "gid", "left_semi"), "active-members")
-    wide = spool(signed.select(F.col("id").alias("node"), "n", "wide").join(own.select("node"), "node", "left_semi"), "wide")
+    reps = classes.select("node", "rep", "key").join(own.select("node"), "node", "left_semi")
+    wide = spool(signed.select(F.col("id").alias("rep"), "key", "n", "wide").join(reps, ["rep", "key"]).dropDuplicates(["node"]), "wide")
     lists = spool(postings.join(raw.select("token").distinct(), "token", "left_semi").join(broadcast_if_small(active), "gid", "left_semi"), "postings")
     links = _verified(_expanded(_best(raw, 1), own.withColumn("component", F.col("node")), numer, denom, False, 1), rows, wide, words, numer, denom)
     discard(raw, postings)
@@ -440,7 +463,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # components so far are links to their smallest nodes
         components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
     discard(lists, wide, own)
-    found = classes.select("key", "node").join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    components = _of_one_id(signed, classes, components)
+    placed = spool(classes.select("key", "rep", "node").join(components, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component")), "placed")
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = placed.join(smallest, "component").select("key", "component_id")
     return (
         signed.select("id", "n", "key")
         .join(found, "key", "left")

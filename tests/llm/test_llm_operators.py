@@ -386,6 +386,15 @@ def brute_components(rows, words, numer, denom):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_ngram_components_of_repeated_ids(spark):
+    text = lambda own, *odd: " ".join([f"{own}{k}" for k in range(80)] + list(odd))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (7, text("b", "x")), (9, text("c")), (9, text("d")), (9, text("d")), (11, text("d", "y")), (8, text("c", "z")), (20, text("e")), (20, None), (21, text("e")), (None, text("e"))]
+    rows += [(30, text("f"))] * 40 + [(31, text("f", "q")), (30, text("g")), (29, text("g", "r"))]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    own = {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 11: 8, 20: 20, 21: 20, 29: 29, 30: 29, 31: 29, None: None}
+    assert got == Counter((i, own[i]) for i, _ in rows)
+
+
 @pytest.mark.parametrize(("words", "numer"), [(3, 90), (5, 80)])
 def test_ngram_components_by_brute_force(spark, words, numer):
     rng = np.random.default_rng(3)
