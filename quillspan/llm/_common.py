@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -99,15 +101,55 @@ def text_slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int,
         yield start, strings(column.slice(start, stop - start))
 
 
-def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+_held: dict[str, tuple[object, object]] = {}
+
+
+def worker_keeps(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between the tasks of one operator, made anew for another key; another operator's goes first."""
+    if owner not in _held or _held[owner][0] != key:
+        give_back(True)
+        _held[owner] = (key, make())
+    return _held[owner][1]
+
+
+def give_back(all_kept: bool = False) -> None:
+    """Return a worker's free memory to the machine; workers live as long as the application and would keep their largest size.
+
+    `all_kept` also drops what worker_keeps holds.
+    """
+    if all_kept:
+        if not _held:
+            return
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, giving back memory when a task is done; unless it `keeps` something between tasks, what others kept goes before."""
+
+    def task(batches):
+        if not keeps:
+            give_back(True)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow for a function of one batch; `keeps` as in lean."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, keeps), schema)
 
 
 def strings(column: pa.Array) -> list[str]:

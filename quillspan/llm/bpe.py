@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, map_arrow, runs, text_slices
+from quillspan.llm._common import file_bytes, map_arrow, runs, text_slices, worker_keeps
 from quillspan.llm.words import splitter
 
 #: Bytes of words and ids that a worker remembers, what an entry takes beside them, and the longest word remembered.
@@ -22,7 +22,6 @@ SLICE = 1_000_000
 NONE = np.int64(1 << 40)
 #: Fixed value: the published pre-tokenizer pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_workers: dict[int, ByteBpe] = {}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -181,10 +180,7 @@ class ByteBpe:
 
 
 def _worker(key: int, data: bytes) -> ByteBpe:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = ByteBpe(data)
-    return _workers[key]
+    return worker_keeps("bpe", key, lambda: ByteBpe(data))
 
 
 def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -216,7 +212,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+    return map_arrow(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded, keeps=True).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -234,4 +230,4 @@ def bpe_decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), ids.slice(start, stop - start), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return map_arrow(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_arrow(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string", keeps=True).withColumnRenamed("id", id_col)

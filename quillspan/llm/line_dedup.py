@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import ASCII_SPACE, carried, open_store, runs, scratch_path, shuffle_partitions, spool, text_slices, uncarried
+from quillspan.llm._common import ASCII_SPACE, carried, lean, open_store, runs, scratch_path, shuffle_partitions, spool, text_slices, uncarried
 from quillspan.llm.mph import MinimalPerfectHash
 
 #: Keys a shard holds on average, and bytes of shards that a worker keeps open.
@@ -145,7 +145,7 @@ def line_index(docs: DataFrame, folder: str, min_docs: int, min_chars: int) -> i
                 ids, h = _distinct(batch.slice(start, len(texts)), texts, min_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "h1", "h2"])
 
-    found = docs.mapInArrow(lines, "id long, h1 long, h2 long").withColumn("n", F.lit(1).cast("long"))
+    found = docs.mapInArrow(lean(lines), "id long, h1 long, h2 long").withColumn("n", F.lit(1).cast("long"))
     ids = docs.select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"))
     again = spool(ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again")), "repeated-ids")
     if not again.isEmpty():
@@ -217,5 +217,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for start, stop in runs(pc.binary_length(text).to_numpy(zero_copy_only=False), 2 * SLICE):
                 yield out.slice(start, stop - start)
 
-    done = rows.mapInArrow(run, f"id long, text string, n_lines long, n_dropped long, carried {rows.schema['carried'].dataType.simpleString()}")
+    done = rows.mapInArrow(lean(run), f"id long, text string, n_lines long, n_dropped long, carried {rows.schema['carried'].dataType.simpleString()}")
     return uncarried(done.withColumnRenamed("id", id_col), id_col, "text", "n_lines", "n_dropped")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import broadcast_if_small, discard, shuffle_partitions, spool, text_slices
+from quillspan.llm._common import broadcast_if_small, discard, lean, shuffle_partitions, spool, text_slices
 from quillspan.llm.components import connected_components
 from quillspan.llm.mph import mix
 
@@ -113,7 +113,7 @@ def hot_tokens(docs: DataFrame, words: int, numer: int, denom: int) -> tuple[np.
                 flat = [x[: prefix_length(len(x), numer, denom)] for x in shingle_sets(texts, words, hashes) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
 
-    found = docs.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DF).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
+    found = docs.mapInArrow(lean(run), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DF).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
     tokens = np.array([r["token"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.array([r["n"] for r in found], np.int64)[order]
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, words: int, numer: int, denom: int) -> DataFrame
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, group_key, prefix)), *(pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS)), pa.array(wide, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "id long, n long, key binary, group_key binary, prefix binary, " + ", ".join(_words("s", lambda c: f"{c} long")) + ", wide binary")
+    return docs.mapInArrow(lean(run), "id long, n long, key binary, group_key binary, prefix binary, " + ", ".join(_words("s", lambda c: f"{c} long")) + ", wide binary")
 
 
 def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +182,7 @@ def _postings(groups: DataFrame) -> DataFrame:
             pos = np.concatenate([*(np.arange(k) for k in size), np.zeros(0, np.int64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(pos), batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))], ["token", "pos", "gid"])
 
-    entries = groups.select("gid", "prefix").mapInArrow(run, "token long, pos long, gid long")
+    entries = groups.select("gid", "prefix").mapInArrow(lean(run), "token long, pos long, gid long")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return entries.join(shared, "token")
 
@@ -324,7 +324,7 @@ def _filtered(pairs: DataFrame, test, values: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     both = _with_value(_with_value(pairs, "a", values, "left"), "b", values, "right")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(lean(run), "a long, b long")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -360,7 +360,7 @@ def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             for batch in batches:
                 yield from sets(batch, hashes)
 
-        found = docs.join(reps, "id", "left_semi").select("id", "text").mapInArrow(every, schema)
+        found = docs.join(reps, "id", "left_semi").select("id", "text").mapInArrow(lean(every), schema)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(node_filter(reps.withColumnRenamed("id", "node")))
         marked = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"bit{k}") for k in (1, 2)))
@@ -372,7 +372,7 @@ def _members(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 ok = np.logical_and(*((bits[x >> 6] >> (x & 63)) & 1 for x in at)) & ~np.asarray(batch.column(0).is_null())
                 yield from sets(batch.filter(pa.array(ok)), hashes)
 
-        found = marked.mapInArrow(run, schema)
+        found = marked.mapInArrow(lean(run), schema)
     return found.join(broadcast_if_small(nodes.withColumnRenamed("rep", "id")), ["id", "key"]).select("node", "value").dropDuplicates(["node"])
 
 

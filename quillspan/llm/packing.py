@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, map_arrow, shuffle_partitions, spool, text_slices
+from quillspan.llm._common import file_bytes, map_arrow, shuffle_partitions, spool, text_slices, worker_keeps
 from quillspan.llm.bpe import byte_alphabet
 from quillspan.llm.words import splitter
 
-CAPACITY, CACHED, CACHED_CHARS = 2048, 400_000, 64
+CAPACITY = 2048
+#: Bytes of words and ids that a worker remembers, what an entry takes besides its own, and characters of a word that is remembered.
+CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 32 << 20, 180, 64
 #: Rows of one length that one task ranks, at most.
 BUCKET_ROWS = 1_000_000
-_workers: dict[int, WordBpe] = {}
 
 
 class WordBpe:
@@ -46,6 +47,7 @@ class WordBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")").split
         self.cache: dict[str | int, bytes] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -81,19 +83,19 @@ class WordBpe:
             found = [x] if isinstance(x, int) else [t.id for t in model("".join([letters[b] for b in x.encode()]))]
             cache[x] = np.array(found, "<u4").tobytes()
         out = [alien[i] if i in alien else b"".join(map(cache.__getitem__, own)) for i, own in enumerate(parts)]
-        if len(cache) > CACHED:
-            cache.clear()
         for x in fresh:
             if isinstance(x, str) and len(x) > CACHED_CHARS:
-                cache.pop(x, None)
+                cache.pop(x)
+            else:
+                self.held += ENTRY_BYTES + len(cache[x])
+        if self.held > CACHE_BYTES:
+            cache.clear()
+            self.held = 0
         return out
 
 
 def _worker(key: int, data: bytes) -> WordBpe:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = WordBpe(data)
-    return _workers[key]
+    return worker_keeps("packing", key, lambda: WordBpe(data))
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -130,7 +132,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_arrow(rows, work, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, work, schema, keeps=True).withColumnRenamed("id", id_col)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

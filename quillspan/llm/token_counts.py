@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import file_bytes, text_slices
+from quillspan.llm._common import file_bytes, lean, text_slices, worker_keeps
 from quillspan.llm.mph import MinimalPerfectHash
 
 #: Entries of the broadcast tier and of each partition's summary.
@@ -23,7 +23,6 @@ CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 48 << 20, 160, 64
 SLICE = 1_000_000
 #: Words that the library encodes in one call.
 TOGETHER = 64
-_workers: dict[int, PieceCounter] = {}
 
 
 class LengthTable:
@@ -127,10 +126,7 @@ class PieceCounter:
 
 
 def _worker(key: int, model: bytes) -> PieceCounter:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = PieceCounter(model)
-    return _workers[key]
+    return worker_keeps("token_counts", key, lambda: PieceCounter(model))
 
 
 def _pruned(counts: Counter, most: int) -> Counter:
@@ -176,7 +172,7 @@ def frequent_pre_tokens(docs: DataFrame, model: bytes, text_col: str = "text", m
             total = _pruned(total + _unpacked(data), most)
         return pdf.iloc[:1][["slot"]].assign(summary=[_packed(total)])
 
-    level = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(summarise, "summary binary")
+    level = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(summarise, keeps=True), "summary binary")
     for slots in (4096, 64, 1):
         slot = F.spark_partition_id() % slots if slots == 4096 else F.col("slot") % slots
         level = level.select(slot.alias("slot"), "summary").groupBy("slot").applyInPandas(merge, "slot int, summary binary")
@@ -208,4 +204,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(own.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run, keeps=True), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm._common import carried, map_arrow, spool, strings, text_slices, uncarried
+from quillspan.llm._common import carried, give_back, map_arrow, spool, strings, text_slices, uncarried
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -103,10 +103,12 @@ def feature_rows(docs: DataFrame, learned: list[str], id_col: str = "doc_id", te
 
     @F.arrow_udf("array<double>")
     def of_texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back(True)
         classes = TokenClasses(shared.value)
         for column in columns:
             flat = np.array([features(x, classes) for _, texts in text_slices(column) for x in texts], np.float64).reshape(-1, len(FEATURES))
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(FEATURES), dtype=np.int32)), pa.array(flat.ravel()))
+        give_back()
 
     # only texts go to Python: the other columns wait in Spark
     return docs.select(F.col(id_col), of_texts(F.col(text_col).cast("string")).alias("features"), carried(carry, (id_col, "score")))
