@@ -131,10 +131,10 @@ def walk(queries: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFra
 
     Each hop looks at all neighbours of the last hop's nodes, either way, that weren't reached yet, and accepts those
     of the highest score, at most max_per_hop and none below threshold. All edges between the last hop's nodes and the
-    accepted ones are kept, parallel ones too. A (query, neighbour) is scored once, and the frontier checkpointed.
+    accepted ones are kept, parallel ones too. A (query, neighbour) is scored once; neighbours are made distinct once for all hops, and frontiers checkpointed.
     """
     linked = edges.where("relation <> 'EVIDENCE_OF'").select("src", "dst", "relation", "label")
-    adjacent = linked.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(linked.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where("node <> next").distinct()
+    adjacent = linked.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(linked.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where("node <> next").distinct().checkpoint()
     vectors = nodes.where("node_type <> 'chunk_ref'").select(F.col("key").alias("next"), "embedding")
     asked = queries.select("query_id", F.col("embedding").alias("query_embedding"))
     frontier = starts.select("query_id", "node").distinct().checkpoint()

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import graph_build as B
+from quillspan.operators import ingest as I
 from quillspan.operators import metrics as M
 from quillspan.operators import proposals as P
 from quillspan.operators import quiz as Q
 from quillspan.operators import similarity as V
-from quillspan.plans.queries_build import bundle
+from quillspan.plans.queries_build import _sql_key, bundle
 from quillspan.plans.queries_graph import _RELEVANT, _TOP, _others, _relevant
 from quillspan.plans.registered import Register
 from quillspan.session import working_path
+from quillspan.sources.graph_store import EDGES, NODES
 
 register = Register()
 
@@ -88,6 +90,42 @@ def ingest_graph(part, nation, region):
     return B.prune_isolated(twice.nodes, twice.edges).groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+_PART = "'Part ' || modality || ' ' || CAST({} % 8 AS STRING)"
+
+
+def _ingested(chunks):
+    """An ingest run over all documents' chunks with answers made by rule: two topics a source, a subtopic and a content a chunk."""
+    said = lambda prompt, body: chunks.select(F.col(prompt).alias("prompt_id"), F.expr(body).alias("raw")).distinct()
+    topics = said("source_id", "to_json(array(named_struct('name', 'About ' || source_id, 'scope', 'narrow'), named_struct('name', ' All ', 'scope', 'broad')))")
+    subtopics = said("chunk_id", f"""to_json(array(named_struct('name', {_PART.format("seq")}, 'parent_topic', if(seq % 3 = 0, 'about ' || source_id, ''), 'parent_subtopic', if(seq % 7 = 0, {_PART.format("(seq + 1)")}, ''))))""")
+    contents = said("chunk_id", "to_json(array(named_struct('title', 'Item ' || (seq % 100), 'content_type', 'definition', 'parent_subtopic', if(seq % 2 = 0, '', 'Part gone'), 'key_terms', array(modality, upper(modality)))))")
+    spark = chunks.sparkSession
+    labels = spark.range(20).select((F.col("id") * 0).alias("batch"), F.col("id").alias("index"), F.lit("Close to").alias("label"), F.lit(0.5).alias("confidence"))
+    nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
+    return I.ingest(chunks, I.Responses(topics, subtopics, contents, labels), nodes, edges, lambda df: V.embed(df, features=64), band=(0.5, 0.95), max_pairs=10)
+
+
+_P1_SQL = f"""s AS (SELECT chunk_id, source_id, seq, {_PART.format("seq")} AS part, {_PART.format("(seq + 1)")} AS above, 'Item ' || CAST(seq % 100 AS STRING) AS item FROM chunks),
+  t AS (SELECT *, unnest(CASE WHEN seq % 3 = 0 THEN ['About ' || source_id] ELSE ['About ' || source_id, 'All'] END) AS topic FROM s),
+  f AS (SELECT *, unnest(['About ' || source_id, 'All']) AS topic FROM s WHERE seq % 2 = 1)"""
+
+
+@register.add("p1_ingest_edges", "chunks", oracle=f"""WITH {_P1_SQL}
+  SELECT DISTINCT {_sql_key("topic", "topic")} AS src, {_sql_key("subtopic", "part")} AS dst, 'HAS_SUBTOPIC' AS relation, NULL AS chunks FROM t
+  UNION ALL SELECT DISTINCT {_sql_key("subtopic", "above")}, {_sql_key("subtopic", "part")}, 'HAS_SUBTOPIC', NULL FROM s WHERE seq % 7 = 0 AND above IN (SELECT part FROM s)
+  UNION ALL SELECT {_sql_key("subtopic", "part")} AS src, {_sql_key("content", "item")} AS dst, 'HAS_CONTENT', count(DISTINCT chunk_id) FROM s WHERE seq % 2 = 0 GROUP BY 1, 2
+  UNION ALL SELECT {_sql_key("topic", "topic")} AS src, {_sql_key("content", "item")} AS dst, 'HAS_CONTENT', count(DISTINCT chunk_id) FROM f GROUP BY 1, 2""")
+def ingest_edges(chunks):
+    """The structural edges that the run leaves, with how many chunks stand behind each."""
+    edges = _ingested(chunks).edges.where("relation <> 'RELATED_TO'")
+    return edges.select("src", "dst", "relation", F.when(F.col("relation") == "HAS_CONTENT", F.size("source_chunk_ids").cast("long")).alias("chunks"))
+
+
+@register.add("p1_ingest_warnings", "chunks", oracle=f"""WITH {_P1_SQL} SELECT 'Part gone' AS src, {_sql_key("content", "item")} AS dst, 'unknown subtopic' AS reason FROM s WHERE seq % 2 = 1""")
+def ingest_warnings(chunks):
+    return _ingested(chunks).warnings.select("src", "dst", "reason")
+
+
 @register.add("w9_p3_quiz_context", "chunks", oracle="""WITH n AS (SELECT source_id AS quiz_id, seq AS ord, '[C' || lpad(CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq) AS STRING), 3, '0') || ']' || CASE WHEN page_number IS NULL THEN '' ELSE ' (p. ' || CAST(page_number AS STRING) || ')' END || ' ' || text AS line FROM chunks),
   a AS (SELECT *, sum(length(line)) OVER (PARTITION BY quiz_id ORDER BY ord) AS total FROM n), f AS (SELECT * FROM a WHERE total <= 24000), m AS (SELECT quiz_id, max(total) AS taken FROM f GROUP BY 1),
   t AS (SELECT source_id AS quiz_id, seq AS ord, '- ' || modality AS line, sum(length('- ' || modality)) OVER (PARTITION BY source_id ORDER BY seq) AS total FROM chunks)

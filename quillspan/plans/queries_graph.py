@@ -156,15 +156,13 @@ def isolated(nodes, tree):
     return B.prune_isolated(nodes, tree).select("key")
 
 
-@register.add("g10_ratio", "nodes", "tree", oracle="""WITH n AS (SELECT * FROM nodes WHERE node_type <> 'content' OR seq < 1011), e AS (SELECT * FROM tree WHERE src IN (SELECT key FROM n) AND dst IN (SELECT key FROM n)),
-  d AS (SELECT key, node_type, seq, (SELECT count(*) FROM e WHERE src = key) + (SELECT count(*) FROM e WHERE dst = key) AS degree FROM n),
-  r AS (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY degree, seq) AS turn FROM d)
-  SELECT key FROM r WHERE NOT (node_type = 'subtopic' AND turn <= 15)""")
+@register.add("g10_ratio", "nodes", "tree", oracle="""WITH n AS (SELECT key, CASE WHEN node_type = 'content' AND seq % 3 = 0 THEN 'topic' ELSE node_type END AS kind, seq FROM nodes),
+  d AS (SELECT *, (SELECT count(*) FROM tree WHERE src = key) + (SELECT count(*) FROM tree WHERE dst = key) AS degree FROM n),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY degree, seq) AS turn, count(*) OVER (PARTITION BY kind) AS size FROM d)
+  SELECT key FROM r WHERE NOT (kind = 'topic' AND turn <= size - (SELECT count(*) FROM n WHERE kind = 'subtopic') + 1)""")
 def ratio(nodes, tree):
-    small = nodes.where("node_type <> 'content' OR seq < 1011")
-    keys = small.select("key")
-    edges = tree.join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
-    return B.prune_to_ratio(small, edges, max_rounds=1)[0].select("key")
+    """One round over every node and edge; a third of the parts count as topics, so that their tier is too large."""
+    return B.prune_to_ratio(nodes.withColumn("node_type", F.expr("CASE WHEN node_type = 'content' AND seq % 3 = 0 THEN 'topic' ELSE node_type END")), tree, max_rounds=1)[0].select("key")
 
 
 @register.add("g10_ratio_all", "nodes", "tree")
@@ -423,10 +421,12 @@ def top_degree(nodes, tree):
     return Q.top_degree(nodes, tree)
 
 
-@register.add("w8_triples", "nodes", "tree", oracle="""WITH n AS (SELECT src, dst, relation, seq FROM tree WHERE src IN ('subtopic:3', 'topic:0') OR dst IN ('subtopic:3', 'topic:0'))
+@register.add("w8_triples", "nodes", "tree", oracle="""WITH d AS (SELECT key, (SELECT count(*) FROM tree WHERE src = key) + (SELECT count(*) FROM tree WHERE dst = key) AS degree FROM nodes),
+  t AS (SELECT key FROM d ORDER BY degree DESC, key LIMIT 50), n AS (SELECT DISTINCT src, dst, relation, seq FROM tree WHERE src IN (SELECT key FROM t) OR dst IN (SELECT key FROM t))
   SELECT head, relation, tail FROM (SELECT a.name AS head, relation, b.name AS tail, min(n.seq) AS seq FROM n JOIN nodes a ON a.key = src JOIN nodes b ON b.key = dst GROUP BY 1, 2, 3) ORDER BY seq, head, relation, tail LIMIT 50""")
 def quiz_triples(nodes, tree):
-    return Q.triples_near(nodes.where("key IN ('subtopic:3', 'topic:0')").select("key"), nodes, tree)
+    """The triples around the nodes with most edges."""
+    return Q.triples_near(Q.top_degree(nodes, tree), nodes, tree)
 
 
 @register.add("w7_short_ids", "chunks", oracle="SELECT source_id AS quiz_id, chunk_id, 'C' || lpad(CAST(row_number() OVER (PARTITION BY source_id ORDER BY seq, chunk_id) AS STRING), 3, '0') AS short_id FROM chunks")

@@ -9,7 +9,7 @@ from quillspan.plans.queries_build import _CONTENT, _CONTENTS, _SUB, _TOPIC
 from quillspan.plans.registered import Register
 from quillspan.session import working_path
 from quillspan.sources.graph_store import ARRIVALS, GraphStore
-from quillspan.sources.store import upsert
+from quillspan.sources.store import upsert, write_export
 from quillspan.sources.versions import Snapshot, Versions
 from quillspan.streaming.jobs import graph_stream, window_chunks_stream
 
@@ -103,3 +103,19 @@ def stream_windows(segments):
         stream = window_chunks_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), 3600.0, "1 hour")
         stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").where("source_id <> ''")
+
+
+@register.add("s11_export_nodes", "nodes", oracle="""SELECT key, coalesce(CASE WHEN seq % 4 > 0 THEN name END, key) AS name, coalesce(CASE WHEN seq % 5 > 0 THEN node_type END, 'content') AS node_type, CASE WHEN seq % 2 = 0 THEN summary ELSE '' END AS summary,
+  CASE WHEN seq % 3 = 0 THEN 'c' || CAST(vec AS STRING) ELSE '' END AS sources, CASE WHEN seq % 3 = 0 THEN name END AS excerpt FROM nodes WHERE seq % 7 > 0""")
+def export_nodes(nodes):
+    """Nodes with their details, written as JSON lines and read back."""
+    spark = nodes.sparkSession
+    marked = nodes.where("key IS NOT NULL").select(
+        "key", F.expr("CASE WHEN seq % 4 > 0 THEN name END").alias("name"), F.expr("CASE WHEN seq % 7 = 0 THEN 'chunk_ref' WHEN seq % 5 > 0 THEN node_type END").alias("node_type"), F.expr("CASE WHEN seq % 2 = 0 THEN summary END").alias("summary"),
+        F.expr("CASE WHEN seq % 3 = 0 THEN array('c' || vec) END").alias("source_ids"), F.expr("CASE WHEN seq % 3 = 0 THEN name END").alias("raw_excerpt"),
+    )
+    edges = spark.createDataFrame([], "src string, dst string, relation string, label string, confidence double")
+    path = working_path(spark, "export")
+    write_export(marked, edges, path)
+    read = spark.read.schema("key string, name string, node_type string, summary string, source_ids array<string>, raw_excerpt string").json(f"{path}/nodes")
+    return read.select("key", "name", "node_type", "summary", F.array_join("source_ids", "|").alias("sources"), F.col("raw_excerpt").alias("excerpt"))

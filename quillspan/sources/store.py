@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import strip
+from quillspan.sources.versions import Versions
 
 # File name endings and the kinds of source they stand for.
 VIDEO = ("mp4", "mkv", "mov", "avi")
@@ -74,32 +75,58 @@ def table_counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def graph_versions(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, buckets: int = 16) -> Versions:
+    """Versions of a graph whose tables have the columns of `nodes` (key) and `edges` (src)."""
+    shape = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return Versions(spark, path, {"nodes": ("key", shape(nodes)), "edges": ("src", shape(edges))}, buckets)
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Both tables as the next version below `path`, in one commit; they may have been read from the version before."""
+    graph_versions(nodes.sparkSession, path, nodes, edges).replace(nodes=nodes, edges=edges)
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """Nodes and edges of the latest version; what is saved later doesn't change them."""
+    saved = Versions(spark, path, {}, 16).pin()
+    return saved.table("nodes"), saved.table("edges")
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("id", "embedding").write.mode("overwrite").parquet(path)
+    """Vectors (id, embedding) as the next version below `path`."""
+    rows = vectors.select("id", "embedding")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    Versions(vectors.sparkSession, path, {"vectors": ("id", schema)}, 16).replace(vectors=rows)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return Versions(spark, path, {}, 16).pin().table("vectors")
+
+
+# What an exported node has beyond key, name, kind and summary, where the graph has it.
+NODE_DETAILS = ("source_ids", "origin", "created_at", "updated_at", "scope", "illustration", "illustration_path", "content_type", "raw_excerpt", "key_terms", "parents")
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges for display: no chunk references, only edges between nodes shown, label and confidence of semantic edges only."""
+    """Nodes and edges for display: no chunk references, only edges between nodes shown, label and confidence of semantic edges only.
+
+    Nodes keep those of NODE_DETAILS that they have, edges their source_chunk_ids; lists that are null are empty.
+    """
+    filled = lambda df, c: F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in ("source_ids", "source_chunk_ids") else F.col(c)
     shown = nodes.where("node_type IS NULL OR node_type <> 'chunk_ref'").select(
-        "key", F.coalesce("name", "key").alias("name"), F.coalesce("node_type", F.lit("content")).alias("node_type"), F.coalesce("summary", F.lit("")).alias("summary")
-    )
+        "key", F.coalesce("name", "key").alias("name"), F.coalesce("node_type", F.lit("content")).alias("node_type"), F.coalesce("summary", F.lit("")).alias("summary"), *(filled(nodes, c) for c in NODE_DETAILS if c in nodes.columns)
+    )
     keys = shown.select("key")
     kept = edges.join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
     related = F.col("relation") == "RELATED_TO"
-    return shown, kept.select("src", "dst", "relation", F.when(related, F.col("label")).alias("label"), F.when(related, F.col("confidence")).alias("confidence"))
+    more = [filled(edges, "source_chunk_ids")] if "source_chunk_ids" in edges.columns else []
+    return shown, kept.select("src", "dst", "relation", F.when(related, F.col("label")).alias("label"), F.when(related, F.col("confidence")).alias("confidence"), *more)
+
+
+def write_export(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The export as JSON lines below `path`, in folders nodes and edges; fields that are null are left out, as readers expect of details a node doesn't have."""
+    for name, rows in zip(("nodes", "edges"), export_graph(nodes, edges), strict=True):
+        rows.write.json(f"{path}/{name}", ignoreNullFields=True)
 
 
 def image_chunks(images: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ class Versions:
         """
         content = json.loads(json.dumps(base.content)) | {"version": base.version + 1}
         for name, (buckets, folders) in changes.items():
-            kept = {k: f for k, f in content["tables"][name]["folders"].items() if int(k) not in set(buckets)}
+            kept = {k: f for k, f in content["tables"].get(name, {"folders": {}})["folders"].items() if int(k) not in set(buckets)}
             content["tables"][name] = {"schema": self._schemas[name], "folders": kept | folders}
         if batch is not None:
             content["batches"][writer] = batch
