@@ -17,7 +17,7 @@ from quillspan.llm.words import splitter
 
 CAPACITY = 2048
 #: Bytes of words and ids that a worker remembers, what an entry takes besides its own, and characters of a word that is remembered.
-CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 32 << 20, 180, 64
+CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 64 << 20, 180, 64
 #: Rows of one length that one task ranks, at most.
 BUCKET_ROWS = 1_000_000
 
@@ -48,6 +48,7 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")").split
         self.cache: dict[str | int, bytes] = {}
         self.held = 0
+        self.fine: set[str] = set()
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -56,10 +57,13 @@ class WordBpe:
         # the library lower-cases character by character, without the rule for a sigma that ends a word
         return self.findall(self.library.normalizer.normalize_str(text) if "Σ" in text else text.lower())
 
-    @staticmethod
-    def known(text: str) -> bool:
-        """Whether all characters of a text are in this Python's tables."""
-        return text.isascii() or all(unicodedata.category(c) != "Cn" for c in set(text))
+    def known(self, text: str) -> bool:
+        """Whether all characters of a text are in this Python's tables; those that are, are remembered."""
+        if text.isascii():
+            return True
+        new = set(text) - self.fine
+        self.fine.update(c for c in new if unicodedata.category(c) != "Cn")
+        return new <= self.fine
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
