@@ -20,11 +20,11 @@ GRAM = 6
 def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", relations: tuple[str, ...] = STRUCTURAL, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) of all nodes below (or above) each of roots (root), at their least depth; cycles end.
 
-    The frontier is checkpointed each step, and only whether it is empty comes to the driver. Nodes deeper than
+    Steps are made distinct once for all depths. The frontier is checkpointed each step, and only whether it is empty comes to the driver. Nodes deeper than
     max_depth, where it is given, are an error.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = edges.where(F.col("relation").isin(*relations)).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = edges.where(F.col("relation").isin(*relations)).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct().repartition("node").checkpoint()
     frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
     seen = frontier
     for depth in count(1):
