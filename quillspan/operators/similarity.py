@@ -124,17 +124,8 @@ def _hits(asked_ids: pa.Array, asked: pa.Array, ids: pa.Array, vectors: pa.Array
             yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(first + row)), v_ids.take(pa.array(col)), pa.array(scores[row, col])], ["query_id", "id", "score"])
 
 
-def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, id, score, rank): for each query (query_id, embedding) the k nearest of corpus by inner product, ties by id.
-
-    Queries whose matrix takes up to broadcast_bytes, as measured, go to all tasks, and the corpus stays where it is
-    read. More queries are dealt in blocks and the corpus in parts, and each block meets each part in one task; blocks
-    and parts hold a bounded number of vectors. Either way a batch of vectors keeps its k best for each query, and only
-    those are ranked together. Scores are compared at nine digits.
-
-    Vectors that are null or of another length than the query's, and rows without an id, are left out. Repeated rows
-    count each. An empty side gives no rows.
-    """
+def _scored(corpus: DataFrame, queries: DataFrame, k: int | None, broadcast_bytes: int) -> DataFrame:
+    """(query_id, id, score): of each batch or part of the corpus the k best for each query, all of them without k."""
     spark = corpus.sparkSession
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
     asked, held = queries.select("query_id", "embedding").where("embedding IS NOT NULL"), corpus.select("id", "embedding").where("embedding IS NOT NULL")
@@ -145,7 +136,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int
 
         def near(batches):
             for batch in batches:
-                yield from _hits(*shared.value, batch.column(0), batch.column(1), k)
+                yield from _hits(*shared.value, batch.column(0), batch.column(1), k or batch.num_rows)
 
         found = held.mapInArrow(near, schema)
     else:
@@ -160,10 +151,30 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int
         def meet(queries_: pa.Table, vectors: pa.Table) -> pa.Table:
             if not queries_.num_rows or not vectors.num_rows:
                 return empty.empty_table()
-            batches = _hits(_flat(queries_["query_id"]), _flat(queries_["embedding"]), _flat(vectors["vector_id"]), _flat(vectors["vector"]), k)
+            batches = _hits(_flat(queries_["query_id"]), _flat(queries_["embedding"]), _flat(vectors["vector_id"]), _flat(vectors["vector"]), k or vectors.num_rows)
             return pa.Table.from_batches(batches, empty)
 
         found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, schema)
+    return found
+
+
+def all_scores(corpus: DataFrame, queries: DataFrame, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, score): every query against every vector, as topk meets them. The result is as large as that; it is for few queries that rank all."""
+    return _scored(corpus, queries, None, broadcast_bytes)
+
+
+def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, broadcast_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, embedding) the k nearest of corpus by inner product, ties by id.
+
+    Queries whose matrix takes up to broadcast_bytes, as measured, go to all tasks, and the corpus stays where it is
+    read. More queries are dealt in blocks and the corpus in parts, and each block meets each part in one task; blocks
+    and parts hold a bounded number of vectors. Either way a batch of vectors keeps its k best for each query, and only
+    those are ranked together. Scores are compared at nine digits.
+
+    Vectors that are null or of another length than the query's, and rows without an id, are left out. Repeated rows
+    count each. An empty side gives no rows.
+    """
+    found = _scored(corpus, queries, k, broadcast_bytes)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

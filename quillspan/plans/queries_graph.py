@@ -43,6 +43,15 @@ def focus(vectors):
     return V.score_pairs(vectors.withColumn("other", (F.col("id") * 7 + 3) % 500).join(other, "other")).select("id", F.round("score", 6).alias("score"))
 
 
+@register.add("v8_focus_ranking", "vectors", "vector_queries", "chunks", oracle=f"""WITH s AS (SELECT q.query_id AS quiz_id, c.chunk_id, c.seq, length(c.text) AS size, CASE WHEN v.id IS NULL THEN 1 ELSE 0 END AS tier, coalesce(-round({_DOT.format("q.embedding", "v.embedding")}, 9), 0) AS behind
+    FROM vector_queries q CROSS JOIN chunks c LEFT JOIN vectors v ON 'doc_' || CAST(v.id AS STRING) = c.chunk_id AND v.id % 9 > 0),
+  t AS (SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS total FROM s WINDOW w AS (PARTITION BY quiz_id ORDER BY tier, behind, seq, chunk_id))
+  SELECT quiz_id, chunk_id, rank FROM t WHERE total <= 24000 OR rank = 1""")
+def focus_ranking(vectors, queries, chunks):
+    """The chunks nearest to each focus as far as a quiz's budget goes; every ninth vector is missing."""
+    return Q.focus_context(queries.withColumnRenamed("query_id", "quiz_id"), _chunk_vectors(vectors.where("id % 9 > 0")), chunks)
+
+
 _BAND = f"""SELECT a.id AS a, b.id AS b, round({_DOT.format('a.embedding', 'b.embedding')}, 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id
   WHERE {_DOT.format('a.embedding', 'b.embedding')} BETWEEN 0.3 AND 0.9"""
 
