@@ -16,6 +16,8 @@ from quillspan.llm.bpe import byte_alphabet
 from quillspan.llm.words import splitter
 
 CAPACITY = 2048
+#: Bytes of text that a task holds as words at a time.
+SLICE = 1_000_000
 #: Bytes of words and ids that a worker remembers, what an entry takes besides its own, and characters of a word that is remembered.
 CACHE_BYTES, ENTRY_BYTES, CACHED_CHARS = 64 << 20, 180, 64
 #: Rows of one length that one task ranks, at most.
@@ -114,7 +116,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def work(batch: pa.RecordBatch):
         own = _worker(key, shared.value)
-        for first, texts in text_slices(batch.column(1)):
+        for first, texts in text_slices(batch.column(1), SLICE):
             found = [x + tail for x in own.ids(texts)]
             rows, piece, start, size, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(found):
