@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import parse_items, strip, truthy
 from quillspan.operators.graph_build import degrees
 from quillspan.operators.prefix import cuts, running, up_to
-from quillspan.operators.similarity import all_scores
+from quillspan.operators.similarity import nearest_within
 
 
 def stride_sample(chunks: DataFrame, budget: int = 24000) -> DataFrame:
@@ -27,11 +27,13 @@ def focus_context(quizzes: DataFrame, vectors: DataFrame, chunks: DataFrame, max
     """(quiz_id, chunk_id, rank): for each quiz with a focus (quiz_id, embedding) the chunks nearest to it, as many as stay within max_chars.
 
     All chunks are ranked by score, ties by seq, those without a vector (id, embedding) last in order of seq; the first one that would
-    pass the limit ends the list, but the first of all stays. Texts are not moved: lengths tell what fits, in ranges of each quiz's chunks.
+    pass the limit ends the list, but the first of all stays. Texts are not moved: lengths tell what fits, and only what may
+    fit of each batch of chunks is ranked together.
     """
     sizes = chunks.select("chunk_id", F.col("seq").cast("long").alias("seq"), F.length("text").cast("long").alias("size"))
-    scored = all_scores(vectors, quizzes.select(F.col("quiz_id").alias("query_id"), "embedding")).select(F.col("query_id").alias("quiz_id"), F.col("id").alias("chunk_id"), (-F.round("score", 9)).alias("behind"))
-    ranked = scored.join(sizes, "chunk_id").select("quiz_id", F.lit(0).alias("tier"), "behind", "seq", "chunk_id", "size")
+    sized = vectors.select(F.col("id").alias("chunk_id"), "embedding").join(sizes, "chunk_id").withColumnRenamed("chunk_id", "id")
+    scored = nearest_within(sized, quizzes.select(F.col("quiz_id").alias("query_id"), "embedding"), max_chars).checkpoint()  # ranges are sampled before they are made
+    ranked = scored.select(F.col("query_id").alias("quiz_id"), F.lit(0).alias("tier"), (-F.round("score", 9)).alias("behind"), "seq", F.col("id").alias("chunk_id"), "size")
     # each quiz has the same chunks behind its ranked ones: they are put in line once
     rest = sizes.join(vectors.where("embedding IS NOT NULL").select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").withColumn("all", F.lit(0))
     rest = running(rest, "all", ["seq", "chunk_id"], F.col("size")).where((F.col("total") <= max_chars) | (F.col("place") == 1))
