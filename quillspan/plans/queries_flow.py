@@ -164,7 +164,8 @@ def summary_in_one_job(pages, nation):
   k AS (SELECT query_id, min(rank) FILTER (WHERE good) AS a, min(rank) FILTER (WHERE good AND rank <= 3) AS b FROM r GROUP BY 1)
   SELECT 'mrr' AS metric, round(avg(coalesce(1.0 / a, 0)), 6) AS top5, round(avg(coalesce(1.0 / b, 0)), 6) AS top3 FROM k""")
 def evaluation(vectors, queries, embeddings):
-    ranked, good = _others(vectors, queries), _relevant(embeddings)
+    ranked = _others(vectors, queries)
+    good = _relevant(embeddings, ranked)
     runs = [M.hit_rate_mrr(r, good, 5).select(F.lit(name).alias("system"), F.lit("mrr").alias("metric"), F.col("mrr").alias("value")) for name, r in (("top5", ranked), ("top3", ranked.where("rank <= 3")))]
     return M.compare_systems(runs[0].unionByName(runs[1]), ["top5", "top3"]).select("metric", F.round("top5", 6).alias("top5"), F.round("top3", 6).alias("top3"))
 
