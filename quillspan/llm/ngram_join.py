@@ -277,6 +277,22 @@ def _best(found: DataFrame, turn: int) -> DataFrame:
     return found.select("a", "b").distinct().withColumn("rank", rank).where(F.col("rank") <= BEST).drop("rank")
 
 
+def _between(pairs: DataFrame, members: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """The members x and y of pairs of groups (a, b), all that may be of different components.
+
+    A pair has a row for each member of its smaller group, but those of the one component that the larger group has; these meet the members
+    of the larger group, of which parts of about HUB lie in one place.
+    """
+    spans = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    of = lambda side: spans.select(F.col("gid").alias(side), F.struct("size", "gid", "low", "high").alias(f"of_{side}"))
+    sided = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("few"), F.greatest("of_a", "of_b").alias("many"))
+    parts = lambda size: F.ceil(size / HUB).cast("long")
+    asking = sided.join(x, F.col("few.gid") == F.col("x_gid")).where((F.col("many.low") < F.col("many.high")) | (F.col("x_component") != F.col("many.low")))
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("many.size")) - 1)))
+    asked = y.join(spans.select(F.col("gid").alias("y_gid"), "size"), "y_gid").withColumn("y_part", F.pmod(F.xxhash64("y_node"), parts(F.col("size"))))
+    return asking.join(asked, (F.col("many.gid") == F.col("y_gid")) & (F.col("part") == F.col("y_part")))
+
+
 def _expanded(pairs: DataFrame, members: DataFrame, numer: int, denom: int, every: bool, turn: int) -> DataFrame:
     """(a, b): pairs of members of different components, for pairs of groups (a, b) and within groups, that sketches don't rule out.
 
@@ -289,7 +305,7 @@ def _expanded(pairs: DataFrame, members: DataFrame, numer: int, denom: int, ever
         inner = members.join(split, "gid", "left_semi")
         x_in = inner.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "gid", "n", "component", *_words("s", str))))
         within = x_in.join(y, (F.col("x_gid") == F.col("y_gid")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")))
-        between = pairs.join(x, F.col("a") == F.col("x_gid")).join(y, F.col("b") == F.col("y_gid"))
+        between = _between(pairs, members, x, y)
         met = within.select(*x.columns, *y.columns).unionByName(between.select(*x.columns, *y.columns))
     else:
         sizes = broadcast_if_small(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
