@@ -18,6 +18,8 @@ BLOCK = 2048
 TURNS, BEST, HEADS = 3, 4, 16
 #: First members right before one, by which a pair of sets that has met at one of these is told.
 WINDOW = 32
+#: Longs of a set's sketch, a power of two.
+SKETCH = 4
 #: Sets from which frequent signatures are counted, and how many of those come last in the common order, by tiers.
 SAMPLED, TIERS = 50_000, (64, 512, 4096)
 
@@ -117,8 +119,27 @@ def _first_members(n: Column, share: Column | float) -> Column:
     return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
 
 
+def _parities(signature_set: Column) -> list[Column]:
+    """SKETCH longs, whose bits tell whether an odd number of a set's members falls on each; they differ in no more bits than sets do in members."""
+
+    def word(k: int) -> Column:
+        own = F.filter(signature_set, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(SKETCH - 1)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [word(k).alias(f"s{k}") for k in range(SKETCH)]
+
+
+def _not_far(pairs: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches allow them to be as similar as `least`; none that is gets lost, and no set is shuffled."""
+    sketches = prefixes.select("node", F.struct("n", *(f"s{k}" for k in range(SKETCH))).alias("sketch"))
+    x, y = (sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")) for side in ("a", "b"))
+    apart = sum((F.bit_count(F.col(f"sketch_a.s{k}").bitwiseXOR(F.col(f"sketch_b.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    members = F.col("sketch_a.n") + F.col("sketch_b.n")
+    return pairs.join(x, "a").join(y, "b").where(apart <= members * ((1 - least) / (1 + least)) + 1e-9).select("a", "b")
+
+
 def _prefixes(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(node, n, prefix): the first members of each set, rare signatures first; spooled.
+    """(node, n, prefix, s0 and so on): the first members of each set, rare signatures first, and its sketch; spooled.
 
     Which signatures count as frequent is told from at most about SAMPLED sets. It only sets the order of members,
     which may be any: it decides how long lists are, not what is found.
@@ -133,7 +154,7 @@ def _prefixes(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     n = F.size("signatures")
     first = F.slice(F.sort_array(F.transform("signatures", placed)), F.lit(1), _first_members(n, least))
-    return spool(sets.select("node", n.alias("n"), first["token"].alias("prefix")), "prefixes")
+    return spool(sets.select("node", n.alias("n"), first["token"].alias("prefix"), *_parities(F.col("signatures"))), "prefixes")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -189,9 +210,9 @@ def _heads(postings: DataFrame, least: float, labels: DataFrame | None, turn: in
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of the pairs whose whole sets are as similar as `least`; spooled. Only sets of candidates are shuffled."""
-    pairs = spool(pairs, "pairs")
+def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of the pairs whose whole sets are as similar as `least`; spooled. Only sets of pairs that sketches leave go along with pairs."""
+    pairs = spool(_not_far(pairs, prefixes, least), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = spool(_sets_of(rows, asked), "candidate-sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("signatures").alias("x")), sets.select(F.col("node").alias("b"), F.col("signatures").alias("y"))
@@ -207,11 +228,11 @@ def near_pairs(rows: DataFrame, least: float = LEAST) -> DataFrame:
     of a group of near copies; near_groups does without all its pairs.
     """
     prefixes = _prefixes(rows, set_classes(rows), least)
-    return _verified(_candidates(_postings(prefixes), prefixes, least), rows, least)
+    return _verified(_candidates(_postings(prefixes), prefixes, least), prefixes, rows, least)
 
 
 def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(row_no, near_group) for each of `rows` (as set_rows gives them): the smallest id reachable by near copies.
+    """(row_no, id, near_group) for each of `rows` (as set_rows gives them): the smallest id reachable by near copies.
 
     Two sets link when their Jaccard similarity is at least `least`; equal sets are one. First each set is compared with
     a few others, in TURNS turns, so that a large group is mostly joined; then all candidates between different
@@ -224,14 +245,14 @@ def near_groups(rows: DataFrame, least: float = LEAST) -> DataFrame:
     components = None
     for turn in range(TURNS + 1):
         pairs = _heads(postings, least, components, turn) if turn < TURNS else _candidates(postings, prefixes, least, components)
-        links = _verified(pairs, rows, least).select("a", "b")
+        links = _verified(pairs, prefixes, rows, least).select("a", "b")
         # components so far are links to their smallest nodes
         known = links if components is None else links.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         components = connected_components(known)
     placed = classes.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     members = rows.select("row_no", "id", "k1", "k2").join(placed, ["k1", "k2"], "left").select("row_no", "id", "component")
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("smallest"))
-    found = members.join(smallest, "component", "left").select("row_no", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
+    found = members.join(smallest, "component", "left").select("row_no", "id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("near_group"))
     found = spool(found, "near-groups")
     discard(postings, prefixes, classes)
     return found
