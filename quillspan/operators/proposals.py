@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import clean_terms, illustration, make_key, strip
 from quillspan.operators.graph_build import CONTENT_TYPES, merge_nodes, semantic_edges, structural_edges
 from quillspan.operators.retrieval import response_items
+from quillspan.session import stored
 
 def _text(name: str) -> Column:
     return strip(F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit("")))
@@ -115,15 +116,20 @@ def apply_bundle(nodes: DataFrame, edges: DataFrame, topics: DataFrame, subtopic
     edges added and merged. warnings: (seq, src, dst, reason) for topics and subtopics that a subtopic's topics and a
     content's subtopics name without being there, with the name as src, and for related pairs without both ends; unknown
     parent subtopics of subtopics and unknown fallback topics are passed over in silence.
+
+    Proposals and pairs are dealt among all tasks and stored with their keys, as each is read many times.
     """
-    tiers = [df.withColumn("node_type", F.lit(kind)).withColumn("key", make_key(kind, "name")).where("key IS NOT NULL") for kind, df in (("topic", topics), ("subtopic", subtopics), ("content", contents))]
+    tiers = [stored(df.repartition("name").withColumn("node_type", F.lit(kind)).withColumn("key", make_key(kind, "name")).where("key IS NOT NULL")) for kind, df in (("topic", topics), ("subtopic", subtopics), ("content", contents))]
+    related = stored(related)
     columns = ["key", "node_type", "name", "summary", "scope", "content_type", "raw_excerpt", "key_terms", "source_ids", "seq"]
     more = [c for c in ("illustration", "illustration_path", "origin", "created_at") if any(c in t.columns for t in tiers)]
     proposals = None
     for tier in tiers:
         rows = tier.select(*columns, *(c for c in more if c in tier.columns))
         proposals = rows if proposals is None else proposals.unionByName(rows, allowMissingColumns=True)
-    resolved = resolve_references(parent_references(tiers[1], tiers[2]), proposals, nodes).checkpoint()
+    resolved = stored(resolve_references(parent_references(tiers[1], tiers[2]), proposals, nodes))
+    # the keys of the merged nodes, without merging them
+    keys = stored(proposals.select("key").unionByName(nodes.select("key")).distinct())
 
     kept = "outcome IS NOT NULL AND parent <> child"
     parents = resolved.where(f"{kept} AND reference IN ('topic_of_subtopic', 'subtopic_of_content')")
@@ -140,8 +146,8 @@ def apply_bundle(nodes: DataFrame, edges: DataFrame, topics: DataFrame, subtopic
     wanted = links.select("seq", "child", F.col("parent").alias("src"), relation.alias("relation")).join(evidence, ["seq", "child"], "left")
     wanted = wanted.select("src", F.col("child").alias("dst"), "relation", F.coalesce("source_chunk_ids", F.array().cast(_NAMES)).alias("source_chunk_ids"), F.col("seq").cast("long").alias("seq"))
     before = edges.where("relation <> 'RELATED_TO'").select("src", "dst", "relation", F.coalesce("source_chunk_ids", F.array().cast(_NAMES)).alias("source_chunk_ids"), F.lit(-1).cast("long").alias("seq"))
-    structural, _ = structural_edges(wanted, merged, before)
-    semantic, missing = semantic_edges(edges.where("relation = 'RELATED_TO'"), related, merged)
+    structural, _ = structural_edges(wanted, keys, before)
+    semantic, missing = semantic_edges(edges.where("relation = 'RELATED_TO'"), related, keys)
     shape = ["src", "dst", "relation", "label", "confidence", "source_chunk_ids"]
     structural = structural.withColumn("label", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
 

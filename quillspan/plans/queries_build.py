@@ -9,6 +9,7 @@ from quillspan.functions import text as T
 from quillspan.operators import graph_build as B
 from quillspan.operators import proposals as P
 from quillspan.plans.registered import Register
+from quillspan.session import stored
 
 register = Register()
 
@@ -79,7 +80,7 @@ def bundle_warnings(part, nation, region):
 def bundle_counters(part, nation, region):
     """The same bundle twice: all is merged, nothing added."""
     once = bundle(part, nation, region)
-    return bundle(part, nation, region, once.nodes.checkpoint(), once.edges.checkpoint()).counters
+    return bundle(part, nation, region, stored(once.nodes), stored(once.edges)).counters
 
 
 @register.add("g7_remove_labelled", "related", oracle="""WITH r AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g') AS form FROM related)

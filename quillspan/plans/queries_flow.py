@@ -14,7 +14,7 @@ from quillspan.operators import similarity as V
 from quillspan.plans.queries_build import _sql_key, bundle
 from quillspan.plans.queries_graph import _RELEVANT, _TOP, _others, _relevant
 from quillspan.plans.registered import Register
-from quillspan.session import working_path
+from quillspan.session import stored, working_path
 from quillspan.sources.graph_store import EDGES, NODES
 
 register = Register()
@@ -86,7 +86,7 @@ def linkables(nodes):
 def ingest_graph(part, nation, region):
     """Proposals to a pruned graph: merged twice over, which changes nothing, then without what stands alone."""
     once = bundle(part, nation, region)
-    twice = bundle(part, nation, region, once.nodes.checkpoint(), once.edges.checkpoint())
+    twice = bundle(part, nation, region, stored(once.nodes), stored(once.edges))
     return B.prune_isolated(twice.nodes, twice.edges).groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"))
 
 

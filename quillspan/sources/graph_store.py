@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import make_key
 from quillspan.operators import proposals as P
+from quillspan.session import stored
 from quillspan.sources.versions import Snapshot, Versions
 
 NODES = (
@@ -43,7 +44,7 @@ class GraphStore:
         base = self.pin()
         if batch <= base.done(writer):
             return base
-        arrivals = arrivals.checkpoint()
+        arrivals = stored(arrivals)
         tiers = {k: arrivals.where(F.col("kind") == k) for k in _KINDS}
         related = arrivals.where("kind = 'related'").select("src", "dst", "label", "confidence", F.col("source_ids").alias("source_chunk_ids"), "seq")
         keyed = {k: t.withColumn("key", make_key(k, "name")).where("key IS NOT NULL") for k, t in tiers.items()}
@@ -59,7 +60,7 @@ class GraphStore:
         fields = lambda ddl: [f.name for f in arrivals.sparkSession.createDataFrame([], ddl).schema]
         have = grown.nodes.columns
         kept = grown.nodes.where(mine).select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in fields(NODES) if c != "illustration"), (F.col("illustration") if "illustration" in have else F.lit(None).cast("struct<kind:string,hint:string>")).alias("illustration"))
-        said = grown.warnings.select(F.lit(batch).cast("long").alias("batch"), "seq", "src", "dst", "reason").checkpoint()
+        said = stored(grown.warnings.select(F.lit(batch).cast("long").alias("batch"), "seq", "src", "dst", "reason"))
         own_warnings = self.versions.touched(said, "batch")
         changes = {
             "nodes": (own, self.versions.write("nodes", kept.select(*fields(NODES)))),
