@@ -38,3 +38,13 @@ def test_unions_are_the_same_in_one_row_and_taken_apart(spark, monkeypatch):
     assert sorted(map(str, B.ordered_union(table, ["key"], "items").collect())) == plain
     monkeypatch.setattr(B, "ELEMENTS_AT_ONCE", 3)
     assert sorted(map(str, B.ordered_union(table, ["key"], "items").collect())) == plain
+
+
+def test_components_of_chains_stars_and_alien_ends(spark):
+    chain = [(f"k{i:02d}", f"k{i + 1:02d}") for i in range(0, 30)]
+    star = [("z", f"s{i}") for i in range(9)]
+    edges = spark.createDataFrame(chain[::-1] + star + [("alone", "alone"), ("s0", "gone"), ("gone", "k00"), (None, "z")], "src string, dst string")
+    keys = {x for pair in chain + star for x in pair} | {"alone"}
+    nodes = spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
+    got = {r.key: r.component for r in G.components(nodes, edges).collect()}
+    assert got == {k: "k00" if k[0] == "k" else "alone" if k == "alone" else "s0" for k in keys}
