@@ -48,3 +48,19 @@ def test_components_of_chains_stars_and_alien_ends(spark):
     nodes = spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
     got = {r.key: r.component for r in G.components(nodes, edges).collect()}
     assert got == {k: "k00" if k[0] == "k" else "alone" if k == "alone" else "s0" for k in keys}
+
+
+def test_responses_of_one_block_are_parsed_by_many_tasks(spark):
+    responses = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("prompt_id"), F.lit('{"items": [{"a": 1}, 2, {"a": 3}]}').alias("raw"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = R.response_items(responses).select(F.spark_partition_id().alias("task"), "pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 800 and len({r.task for r in tasks}) > 1
+
+
+def test_items_of_every_shape(spark):
+    shapes = ['[{"a":1},2]', '{"topics":3,"contents":[{"b":2}]}', '{"x":1}', "7", "not json", None, '```json\n{"items":[]}\n```']
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, raw string").select("i", F.to_json(F.transform(T.parse_items("raw"), lambda v: F.to_json(v))).alias("out"))
+    assert [r.out for r in rows.orderBy("i").collect()] == ['["{\\"a\\":1}"]', '["{\\"b\\":2}"]', '["{\\"x\\":1}"]', "[]", "[]", "[]", "[]"]
